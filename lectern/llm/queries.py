@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import attribution, bitplanes, packing
+from lectern.llm import attribution, bitplanes, decontam, packing
 from lectern.llm.storage import shared_folder, stored
 from lectern.session import table
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -26,7 +30,7 @@ def op7_bit_plane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_best_fit_packing, op6_token_counts, op7_bit_plane_output]
+    found = [op3_benchmark_decontamination, op5_best_fit_packing, op6_token_counts, op7_bit_plane_output]
     return {f.__name__: f for f in found}
 
 
