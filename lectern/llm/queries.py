@@ -5,16 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import attribution, bitplanes, decontam, packing
+from lectern.llm import attribution, bitplanes, decontam, langid, packing, toxicity
 from lectern.llm.storage import shared_folder, stored
 from lectern.session import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
+    predicted = F.when(F.col("toxicity") >= toxicity.CUT, 1).otherwise(0)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), predicted.alias("predicted"), "toxic_in_language")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -30,7 +44,7 @@ def op7_bit_plane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_benchmark_decontamination, op5_best_fit_packing, op6_token_counts, op7_bit_plane_output]
+    found = [op2_toxicity, op3_benchmark_decontamination, op4_language_id, op5_best_fit_packing, op6_token_counts, op7_bit_plane_output]
     return {f.__name__: f for f in found}
 
 
