@@ -51,8 +51,8 @@ class PieceEncoder:
         plain = [p for p in new if p and p.find("\n") < 0 and p.find(" ", 1) < 0 and p != " " and not _ODD.search(p)]
         if self.newline is None:
             plain = []
-        for i in range(0, len(plain), 20_000):
-            part = plain[i : i + 20_000]
+        for i in range(0, len(plain), 500):
+            part = plain[i : i + 500]
             ids = np.array(self.library.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(ids == self.newline)
             if len(ends) != len(part):
