@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import attribution, bitplanes, decontam, langid, packing, toxicity
+from lectern.llm import attribution, bitplanes, chat, decontam, fingerprints, langid, packing, toxicity
 from lectern.llm.storage import shared_folder, stored
 from lectern.session import table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
@@ -43,10 +47,20 @@ def op7_bit_plane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_ids(stored(manifest, "planes-manifest"))
 
 
+#: A conversation whose texts hold control strings of a chat template.
+CONTROL_CONVERSATION = [(-7, turn, role, r"\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(rows.unionByName(more)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_toxicity, op3_benchmark_decontamination, op4_language_id, op5_best_fit_packing, op6_token_counts, op7_bit_plane_output]
+    found = [op1_fingerprints, op2_toxicity, op3_benchmark_decontamination, op4_language_id, op5_best_fit_packing, op6_token_counts, op7_bit_plane_output, op10_chat_formatting]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat_formatting": chat.ORACLE}
