@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.pieces import encoder
+from lectern.llm.pieces import PRINTABLE, encoder
 
 START, ROLE_END, TURN_END = "### ", ": ", "</turn>\n"
 TRAINED = "assistant"
@@ -53,10 +53,9 @@ class Assembler:
 
     @staticmethod
     def _byte_letters() -> dict[str, int]:
-        """Byte-level vocabularies spell printable bytes as themselves and others by code points from 256 on."""
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        other = [b for b in range(256) if b not in plain]
-        return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+        """The byte that each character of a token's spelling stands for."""
+        other = [b for b in range(256) if b not in PRINTABLE]
+        return {chr(b): b for b in PRINTABLE} | {chr(256 + k): b for k, b in enumerate(other)}
 
     def assemble(self, turns: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
         """ids and loss mask of (role, text) turns."""

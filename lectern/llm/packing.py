@@ -95,12 +95,12 @@ def piece_rows(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
                         raw += END_ID.to_bytes(4, "little")
                         for k, (a, b) in enumerate(cut(len(raw) // 4, capacity)):
                             part = raw[4 * a : 4 * b]
-                            for column_, value in zip(out, (doc, k, a, b - a, zlib.crc32(part), np.frombuffer(part, "<u4")), strict=True):
+                            for column_, value in zip(out, (doc, k, a, b - a, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None), strict=True):
                                 column_.append(value)
                     arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:5])]
                     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                     if with_ids:
-                        arrays.append(pa.array([x.astype(np.int32) for x in out[5]], pa.list_(pa.int32())))
+                        arrays.append(pa.array(out[5], pa.list_(pa.int32())))
                         names.append("ids")
                     yield pa.RecordBatch.from_arrays(arrays, names)
 

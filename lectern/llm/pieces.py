@@ -8,29 +8,36 @@ pieces in a row. Results equal those of encoding the whole text (tests compare t
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: White space other than blank and newline, by any of Unicode's and Python's definitions, and the mark used here.
-_ODD = re.compile("[\0\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD = "\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(r"(?<=\S)(?=\s)")
-_PAIRS = ("  ", "\n\n", " \n", "\n ")
+_SLOW = ("  ", "\n\n", " \n", "\n ", *_ODD)
+#: Byte-level vocabularies spell printable bytes as themselves, others by code points from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+_HAS_ODD = re.compile(f"[{_ODD}]").search
 
 
 def cut_pieces(text: str) -> list[str]:
     """The text in pieces that share no token; joined they are the text."""
-    if any(p in text for p in _PAIRS) or _ODD.search(text):
-        return _CUT.split(text)
+    for p in _SLOW:
+        if p in text:
+            return _CUT.split(text)
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
 class PieceEncoder:
     """Ids as little-endian unsigned 32-bit bytes. The memo holds at most ``limit`` pieces of one batch's end."""
 
-    def __init__(self, path: str | None = None, limit: int = 300_000, keep: int = 8):
+    def __init__(self, path: str | None = None, limit: int = 400_000, keep: int = 8):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -45,10 +52,25 @@ class PieceEncoder:
         self.limit, self.keep, self.memo = limit, keep, {}
         newline = self.library.encode("\n", add_special_tokens=False).ids
         self.newline = newline[0] if len(newline) == 1 else None
+        self.pack = struct.Struct("<I").pack
+        self.marks = {p: np.array(self.library.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes() for p in ".,"}
 
     def _learn(self, new: set[str]) -> None:
+        memo = self.memo
+        # A letter and a full stop or comma at the end never share a token, so words are learned without the latter.
+        marked = [p for p in new if p[-1:] in (".", ",") and p[-2:-1].isalpha()] if self.marks else []
+        if marked:
+            new.difference_update(marked)
+            new.update({p[:-1] for p in marked}.difference(memo))
+        # Letters, with a blank before them or not, are one word to the library: its model takes them as they are.
+        tokenize, pack = self.library.model.tokenize, self.pack
+        words = [p for p in new if (p[1:] if p[:1] == " " else p).isalpha()] if self.marks else []
+        for p in words:
+            spelled = p if p.isascii() else p.encode().decode("latin-1").translate(_LETTERS)
+            memo[p] = b"".join([pack(t.id) for t in tokenize("\u0120" + spelled[1:] if p[0] == " " else spelled)])
+        new.difference_update(words)
         # Pieces without a newline are encoded in one call, parted by newlines, whose id no other token holds.
-        plain = [p for p in new if p and p.find("\n") < 0 and p.find(" ", 1) < 0 and p != " " and not _ODD.search(p)]
+        plain = [p for p in new if p and p.find("\n") < 0 and p.find(" ", 1) < 0 and p != " " and not _HAS_ODD(p)]
         if self.newline is None:
             plain = []
         for i in range(0, len(plain), 500):
@@ -58,12 +80,14 @@ class PieceEncoder:
             if len(ends) != len(part):
                 raise ValueError("the vocabulary joins newlines with other text")
             raw, s = ids.tobytes(), 0
-            for p, e in zip(part, ends.tolist(), strict=True):
-                self.memo[p] = raw[4 * s : 4 * e]
-                s = e + 1
+            for p, e in zip(part, (4 * ends).tolist(), strict=True):
+                memo[p] = raw[s:e]
+                s = e + 4
         rest = list(new.difference(plain))
         for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.memo[p] = np.array(e.ids, dtype="<u4").tobytes()
+            memo[p] = np.array(e.ids, dtype="<u4").tobytes()
+        for p in marked:
+            memo[p] = memo[p[:-1]] + self.marks[p[-1]]
 
     def pieces(self, texts: Iterable[str]) -> list[list[str]]:
         """Pieces of each text; all of them are in the memo until the next call."""
@@ -79,8 +103,8 @@ class PieceEncoder:
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         cut = self.pieces(texts)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, p)) for p in cut]
+        memo = self.memo
+        return [b"".join(itemgetter(*p)(memo)) if len(p) > 1 else memo[p[0]] for p in cut]
 
 
 _encoders: dict[str | None, PieceEncoder] = {}
