@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import attribution, bitplanes, chat, decontam, fingerprints, langid, packing, toxicity
+from lectern.llm import attribution, bitplanes, chat, decontam, fingerprints, jaccard_join, langid, packing, toxicity
 from lectern.llm.storage import shared_folder, stored
 from lectern.session import table
 
@@ -47,6 +47,10 @@ def op7_bit_plane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_ids(stored(manifest, "planes-manifest"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_components(table(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts hold control strings of a chat template.
 CONTROL_CONVERSATION = [(-7, turn, role, r"\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
 
@@ -58,7 +62,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_toxicity, op3_benchmark_decontamination, op4_language_id, op5_best_fit_packing, op6_token_counts, op7_bit_plane_output, op10_chat_formatting]
+    found = [op1_fingerprints, op2_toxicity, op3_benchmark_decontamination, op4_language_id, op5_best_fit_packing, op6_token_counts, op7_bit_plane_output, op9_ngram_jaccard_join, op10_chat_formatting]
     return {f.__name__: f for f in found}
 
 
