@@ -30,14 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.blobs import dealt, pack, pack_sorted, unpack, unpack_sorted
 from lectern.llm.components import connected
-from lectern.llm.storage import stored
+from lectern.llm.storage import stored, width
 from lectern.llm.wordarrays import SOLID, STEP, buffers, gram_places, grams, mix, runs, split_words
 
 SHINGLE, PERCENT = 4, 85
 #: A shingle is common if this share of documents holds it; fewer shingles than SHARE x (their mean number) can be.
 COMMON_SHARE, COMMON_LEAST = 1 / 2000, 64
 BATCH_BYTES = 8 << 20
+#: Bits of the map of shingles that more than one text holds: so many for each document, and at most.
+MAP_BITS_A_DOCUMENT, MAP_BITS = 128, 1 << 28
 #: Classes whose ids may be broadcast to fetch their texts; beyond, that is a shuffled join.
 BROADCAST_ROWS = 500_000
 #: Classes of a cluster, or of a block of one, that one task joins.
@@ -137,6 +140,70 @@ def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFr
     return docs.mapInArrow(make, "doc_id long, key long, n long, prefix array<long>")
 
 
+def _map_bits(n_docs: int) -> int:
+    return min(MAP_BITS, max(1 << 16, 1 << (n_docs * MAP_BITS_A_DOCUMENT - 1).bit_length())) if n_docs else 1 << 16
+
+
+def shared_shingles(made: DataFrame, bits: int) -> np.ndarray:
+    """A map of fixed size in which a bit is set for each prefix shingle that more than one class or run has.
+
+    Most shingles are one text's own; with the map those need not be shuffled with their classes. Runs send their
+    distinct shingles once, as compressed sorted keys; each shard returns its part of the map.
+    """
+    shards = 1 << min(8, (width(made.sparkSession) - 1).bit_length())
+    part = bits // shards
+
+    def send(batches):
+        for batch in batches:
+            column = batch.column(0)
+            h = np.concatenate([np.zeros(0, np.int64), column.flatten().to_numpy(zero_copy_only=False)]).astype(np.int64).view(np.uint64)
+            keys, counts = np.unique(h, return_counts=True)
+            if len(keys):
+                shard = (keys >> np.uint64(64 - shards.bit_length() + 1)).astype(np.int64) if shards > 1 else np.zeros(len(keys), np.int64)
+                rows = [(s, pack_sorted(keys[at]), pack(np.packbits(counts[at] > 1))) for s, at in dealt(shard)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "keys", "often"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        keys, often = [], []
+        for row in table.to_pylist():
+            keys.append(unpack_sorted(row["keys"]))
+            often.append(np.unpackbits(unpack(row["often"], np.uint8), count=len(keys[-1])))
+        keys, often = np.concatenate(keys), np.concatenate(often)
+        order = np.argsort(keys, kind="stable")
+        keys, often = keys[order], often[order].astype(bool)
+        often[1:] |= keys[1:] == keys[:-1]
+        there = np.zeros(part, np.uint8)
+        there[_bit_of(keys[often], bits) % part] = 1
+        return pa.table({"shard": table.column("shard")[:1], "map": pa.array([np.packbits(there).tobytes()], pa.binary())})
+
+    rows = made.filter("size(prefix) > 0").select("prefix").mapInArrow(send, "shard long, keys binary, often binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for row in rows.groupBy("shard").applyInArrow(gather, "shard long, map binary").collect():
+        out[row["shard"] * part // 8 : (row["shard"] + 1) * part // 8] = np.frombuffer(row["map"], np.uint8)
+    return out
+
+
+def _bit_of(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+
+
+def _prefix_rows(made: DataFrame, bits: int) -> DataFrame:
+    """key, n, h of the prefix shingles that the map has."""
+    sent = made.sparkSession.sparkContext.broadcast(shared_shingles(made, bits))
+
+    def keep(batches):
+        for batch in batches:
+            keys, n, prefix = batch.columns
+            h = prefix.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(prefix.offsets.to_numpy()))
+            bit = _bit_of(h, bits)
+            good = (sent.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+            at = pa.array(row[good])
+            yield pa.RecordBatch.from_arrays([keys.take(at), n.take(at), pa.array(signed(h[good]))], ["key", "n", "h"])
+
+    return made.filter("size(prefix) > 0").select("key", "n", "prefix").mapInArrow(keep, "key long, n long, h long")
+
+
 def _compare(pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Exact comparison of pairs of texts: a, b, linked. Texts that are not of their class are left out."""
 
@@ -273,7 +340,7 @@ def _texts(docs: DataFrame, keys: DataFrame, wanted: DataFrame) -> DataFrame:
     """key and text of the wanted classes, of their documents with the least id."""
     reps = stored(keys.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "join-reps")
     small = reps.count() <= BROADCAST_ROWS
-    return stored(docs.join(F.broadcast(reps) if small else reps, "doc_id").select("key", "text").distinct(), "join-texts")
+    return stored(docs.join(F.broadcast(reps) if small else reps, "doc_id").select("key", "text"), "join-texts")
 
 
 def _blocks(members: DataFrame, block: int) -> DataFrame:
@@ -281,22 +348,23 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
 
     Components larger than a block have blocks of their own, and two of the same component are not paired.
     """
-    sizes = members.groupBy("cluster", "comp").agg(F.count("*").alias("size"))
+    names = members.select("cluster", "comp", "key")
+    sizes = names.groupBy("cluster", "comp").agg(F.count("*").alias("size"))
     big = F.col("size") > block
     rest = sizes.groupBy("cluster").agg(F.sum(F.when(~big, F.col("size")).otherwise(0)).alias("rest"), F.sum("size").alias("whole"))
-    dealt = members.join(sizes, ["cluster", "comp"]).join(rest, "cluster")
     own = F.concat_ws("#", F.col("comp").cast("string"), F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / block)).cast("string"))
     mixed = F.concat(F.lit("m"), F.pmod(F.xxhash64("comp"), F.greatest(F.ceil(F.col("rest") / block), F.lit(1))).cast("string"))
     one = F.col("whole") <= block
-    dealt = dealt.select("cluster", "key", "comp", "hs", "text", F.when(one, F.lit("all")).when(big, own).otherwise(mixed).alias("block"), F.when(big & ~one, F.col("comp")).alias("alone"))
-    there = dealt.select("cluster", "block", "alone").distinct()
+    placed = names.join(sizes, ["cluster", "comp"]).join(rest, "cluster")
+    placed = stored(placed.select("cluster", "key", F.when(one, F.lit("all")).when(big, own).otherwise(mixed).alias("block"), F.when(big & ~one, F.col("comp")).alias("alone")), "join-blocks")
+    there = placed.select("cluster", "block", "alone").distinct()
     left = there.select("cluster", F.col("block").alias("b1"), F.col("alone").alias("alone1"))
     right = there.select("cluster", F.col("block").alias("b2"), F.col("alone").alias("alone2"))
     pairs = left.join(right, "cluster").filter("b1 <= b2 and not coalesce(alone1 = alone2, false)").select("cluster", "b1", "b2")
-    first = dealt.withColumn("b1", F.col("block")).join(pairs, ["cluster", "b1"]).withColumn("side", F.when(F.col("b1") == F.col("b2"), 2).otherwise(0))
-    second = dealt.withColumn("b2", F.col("block")).join(pairs.filter("b1 < b2"), ["cluster", "b2"]).withColumn("side", F.lit(1))
-    names = ["cluster", "b1", "b2", "side", "key", "comp", "hs", "text"]
-    return first.select(*names).unionByName(second.select(*names))
+    first = placed.withColumn("b1", F.col("block")).join(pairs, ["cluster", "b1"]).withColumn("side", F.when(F.col("b1") == F.col("b2"), 2).otherwise(0))
+    second = placed.withColumn("b2", F.col("block")).join(pairs.filter("b1 < b2"), ["cluster", "b2"]).withColumn("side", F.lit(1))
+    tasks = ["cluster", "b1", "b2", "side", "key"]
+    return first.select(*tasks).unionByName(second.select(*tasks)).join(members.drop("cluster"), "key")
 
 
 def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -304,7 +372,7 @@ def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     made = stored(classes(docs, n, percent), "join-classes")
     keys = made.select("doc_id", "key", "n")
-    rows = made.select("key", "n", F.explode("prefix").alias("h"))
+    rows = stored(_prefix_rows(made, _map_bits(made.count())), "join-prefixes")
     regions = rows.groupBy("h").agg(F.min(F.struct("key", "n")).alias("p"), F.max("key").alias("top")).filter("p.key <> top")
     regions = regions.select("h", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n"))
     held = stored(rows.join(regions, "h").distinct(), "join-regions")
