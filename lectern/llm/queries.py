@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import attribution, bitplanes, chat, decontam, fingerprints, jaccard_join, langid, packing, toxicity
+from lectern.llm import attribution, bitplanes, chat, decontam, fingerprints, jaccard_join, langid, ngram_lm, packing, toxicity
 from lectern.llm.storage import shared_folder, stored
 from lectern.session import table
 
@@ -47,6 +47,12 @@ def op7_bit_plane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_ids(stored(manifest, "planes-manifest"))
 
 
+def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = ngram_lm.score_documents(docs, ~ngram_lm.held_out(F.col("doc_id")))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_components(table(spark, sf_dir, "documents"))
 
@@ -62,7 +68,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_toxicity, op3_benchmark_decontamination, op4_language_id, op5_best_fit_packing, op6_token_counts, op7_bit_plane_output, op9_ngram_jaccard_join, op10_chat_formatting]
+    found = [op1_fingerprints, op2_toxicity, op3_benchmark_decontamination, op4_language_id, op5_best_fit_packing, op6_token_counts, op7_bit_plane_output, op8_ngram_lm, op9_ngram_jaccard_join, op10_chat_formatting]
     return {f.__name__: f for f in found}
 
 
