@@ -62,7 +62,8 @@ def stems(words: DataFrame) -> DataFrame:
     out = words.select("lower").distinct().withColumn("w", F.expr("replace(lower, \"'\", '')"))
     for step in _steps(lambda text, pattern: f"({text} RLIKE '{pattern}')"):
         out = out.withColumn("w", F.expr(step))
-    return out.withColumnRenamed("w", "stem")
+    # An aggregate by the same key costs no shuffle, and keeps the optimizer from copying filters into the steps.
+    return out.groupBy("lower").agg(F.first("w").alias("stem"))
 
 
 def stems_sql(source: str = "tokens") -> str:

@@ -63,7 +63,7 @@ SQL = {
     "tokens": f"""tokens AS (SELECT doc_id, CAST(unnest(range(len(t))) AS INT) AS pos, unnest(t) AS token, lower(unnest(t)) AS lower
   FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN.replace("'", "''")}') AS t FROM documents))""",
     "sentences": r"""sentences AS (SELECT doc_id, CAST(unnest(range(len(s))) AS INT) AS sent_id, unnest(s) AS sentence
-  FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), x -> trim(x) <> '') AS s FROM documents))""",
+  FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM documents))""",
     "lines": r"""lines AS (SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS line_no, unnest(l) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""",
 }

@@ -34,4 +34,4 @@ def maximal(counts: DataFrame) -> DataFrame:
 
 def top_phrases(counts: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy(F.desc("cnt"), F.desc("n"), "first_pos")
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return counts.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)

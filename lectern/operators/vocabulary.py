@@ -30,7 +30,7 @@ def rank_cut(counts: DataFrame, share: float, most: int, by=("doc_id",)) -> Data
     order = Window.partitionBy(*by).orderBy(F.desc("cnt"), "first_pos")
     n = F.count("*").over(Window.partitionBy(*by))
     limit = F.least(F.ceil(n * (F.lit(1.0) - F.lit(float(share)))), F.lit(most))
-    return counts.withColumn("rank", F.row_number().over(order)).withColumn("keep", limit).filter("rank <= keep").drop("keep")
+    return counts.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("keep", limit).filter("rank <= keep").drop("keep")
 
 
 def corpus_stems(rows: DataFrame, share: float, most: int) -> DataFrame:
@@ -53,12 +53,12 @@ def words_of_stems(rows: DataFrame, share: float, least: int) -> DataFrame:
     order = Window.partitionBy("doc_id", "stem").orderBy(F.desc("cnt"), "first_pos")
     n = F.count("*").over(Window.partitionBy("doc_id", "stem"))
     keep = F.greatest(F.ceil(n * (F.lit(1.0) - F.lit(float(share)))), F.lit(least))
-    return counts.withColumn("rank", F.row_number().over(order)).withColumn("keep", keep).filter("rank <= keep").drop("keep", "first_pos")
+    return counts.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("keep", keep).filter("rank <= keep").drop("keep", "first_pos")
 
 
 def first_occurrences(rows: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("doc_id", "stem").orderBy("pos")
-    return rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
+    return rows.withColumn("n", F.row_number().over(order).cast("long")).filter(F.col("n") <= k)
 
 
 def pseudo_clusters(top: DataFrame, k: int = 3) -> DataFrame:
@@ -70,7 +70,7 @@ def sweep(rows: DataFrame, shares: list[float]) -> DataFrame:
     """For each candidate share: stems kept, distinct words, tokens hit. The cap on stems is ignored here on purpose."""
     counts = stem_counts(rows)
     order = Window.partitionBy("doc_id").orderBy(F.desc("cnt"), "first_pos")
-    ranked = counts.withColumn("rank", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
+    ranked = counts.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
     tried = ranked.withColumn("share", F.explode(F.array(*(F.lit(float(s)) for s in shares)))).filter(F.col("rank") <= F.ceil(F.col("n") * (F.lit(1.0) - F.col("share"))))
     hit = rows.filter(F.col("lower").rlike("^[a-z]+$")).join(tried.select("doc_id", "stem", "share"), ["doc_id", "stem"])
     return hit.groupBy("doc_id", "share").agg(F.count_distinct("stem").alias("n_stems"), F.count_distinct("lower").alias("n_words"), F.count("*").alias("n_hits"))

@@ -149,7 +149,7 @@ def p05(spark, sf):
     return W.tokens(docs_of(spark, sf)).filter(F.col("lower").rlike("^[a-z]+$")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("P06_dense_lemma_positions", W.with_sql("tokens", stems_sql(), STEMMED) + f"SELECT doc_id, sum(pos) AS places, sum(dense * length(stem)) AS weighted FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS dense FROM stemmed WHERE {CONTENT}) GROUP BY doc_id")
+@query("P06_dense_lemma_positions", W.with_sql("tokens", stems_sql(), STEMMED) + f"SELECT doc_id, CAST(sum(pos) AS BIGINT) AS places, CAST(sum(dense * length(stem)) AS BIGINT) AS weighted FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS dense FROM stemmed WHERE {CONTENT}) GROUP BY doc_id")
 def p06(spark, sf):
     from pyspark.sql import Window
 
@@ -198,7 +198,7 @@ def p22(spark, sf):
 OCCURRENCES = "occ AS (SELECT s.* FROM stemmed s JOIN top USING (doc_id, stem) WHERE regexp_matches(s.lower, '^[a-z]+$'))"
 
 
-@query("J01_stem_occurrences", UPTO_TOP.rstrip() + ", " + OCCURRENCES + " SELECT doc_id, stem, count(*) AS n, sum(pos) AS places FROM occ GROUP BY ALL")
+@query("J01_stem_occurrences", UPTO_TOP.rstrip() + ", " + OCCURRENCES + " SELECT doc_id, stem, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places FROM occ GROUP BY ALL")
 def j01(spark, sf):
     rows = stemmed_of(spark, sf)
     top = vocabulary.rank_cut(vocabulary.stem_counts(rows), SHARE, MOST)
@@ -278,7 +278,8 @@ def a06(spark, sf):
     return counts.groupBy("doc_id").agg(F.coalesce(F.percentile("cnt", 0.95), F.lit(0.0)).alias("threshold"), F.count("*").alias("n_grams"))
 
 
-MAXIMAL = "kept AS (SELECT * FROM gram_counts a WHERE NOT EXISTS (SELECT 1 FROM gram_counts b WHERE b.doc_id = a.doc_id AND b.n > a.n AND contains(' ' || b.gram || ' ', ' ' || a.gram || ' ')))"
+MAXIMAL = """inside AS (SELECT DISTINCT doc_id, array_to_string(w[p + 1:p + m], ' ') AS gram FROM (SELECT doc_id, w, m, unnest(range(0, len(w) - m + 1)) AS p
+ FROM (SELECT doc_id, string_split(gram, ' ') AS w, unnest(range(1, n)) AS m FROM gram_counts))), kept AS (SELECT * FROM gram_counts ANTI JOIN inside USING (doc_id, gram))"""
 
 
 @query("L02_maximal_phrases", "WITH " + grams_sql(2, 4) + ", " + MAXIMAL + " SELECT * FROM kept")
