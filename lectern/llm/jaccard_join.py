@@ -8,14 +8,19 @@ every pivot. Therefore regions are made in two levels.
    of shingles, two linked texts share one among the first ``n - ceil(t n) + 1`` of either, so a text is put into the
    regions of those only. Shingles that many texts hold are last in the order, so that a common passage does not
    make a region. Texts are classed by their sets first: equal sets are one class.
-2. Document pivots. Each region's first pivot is its least class; all others are compared with it exactly. Links
-   join classes to components, and a region all of whose classes are in one component is done. What is left over
-   falls into clusters of regions that share classes. A cluster (in blocks, if it is large) is joined recursively:
-   pivots make Voronoi regions, classes within the triangle inequality's window of a region are replicated to it,
-   and regions are joined until they are small or no longer shrink; then pairs that share a region of level 1, are
-   in different components and pass the pivots' windows are compared exactly.
-
-Components need only enough links to connect them, so pairs within a component are skipped; none is lost.
+2. Document pivots. Each region's first pivot is its least class; all others are compared with it. Links join
+   classes to components, and a region all of whose classes are in one component is done. What is left over falls
+   into clusters of regions that share classes. A cluster (in blocks, if it is large) is joined recursively: pivots
+   make Voronoi regions, classes within the triangle inequality's window of a region are replicated to it, and
+   regions are joined until they are small or no longer shrink; then pairs that share a region of level 1 and are in
+   different components are compared.
+
+Distances to document pivots are taken in a contraction of the space: a set's histogram over 128 hash buckets. The
+L1 distance of two histograms is a metric and never more than the sets' symmetric difference, which is at most
+``(1 - t) / (1 + t) (n + m)`` for linked sets of sizes n and m. It parts unrelated texts well, where 1 - Jaccard is
+1 for all, and needs 256 bytes a class and no text. Pairs that pass are compared exactly by their texts, the nearest
+pairs of two components first; pairs within a component are skipped, as components need only enough links to
+connect them. No link between components is lost.
 
 Sets are compared as 64-bit hashes of shingles, and classes are known by a 64-bit hash of the set.
 
@@ -27,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.blobs import dealt, pack, pack_sorted, unpack, unpack_sorted
@@ -44,8 +49,10 @@ MAP_BITS_A_DOCUMENT, MAP_BITS = 128, 1 << 28
 #: Classes whose ids may be broadcast to fetch their texts; beyond, that is a shuffled join.
 BROADCAST_ROWS = 500_000
 #: Classes of a cluster, or of a block of one, that one task joins.
-BLOCK = 4000
-LEAF, PIVOTS = 64, 8
+BLOCK = 40_000
+LEAF, PIVOTS, BUCKETS = 64, 8, 128
+#: Pairs of two components that are compared first.
+FIRST = 3
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -78,6 +85,11 @@ def set_key(shingles: np.ndarray) -> int:
     return int(signed(mix(np.array([total], np.uint64)))[0])
 
 
+def histogram(shingles: np.ndarray) -> bytes:
+    counts = np.bincount((shingles & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    return np.minimum(counts, 65535).astype("<u2").tobytes()
+
+
 def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n + (-percent * n // 100) + 1 if n else 0
 
@@ -120,12 +132,13 @@ def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFr
             data, bounds = buffers(batch.column(1))
             for i, j in runs(bounds, BATCH_BYTES):
                 sets = shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], n)
-                keys, prefixes, seen = [], [], set()
+                keys, prefixes, histograms, seen = [], [], [], set()
                 for s in sets:
                     key = set_key(s) if len(s) else None
                     keys.append(key)
                     if key is None or key in seen:
                         prefixes.append(np.zeros(0, np.int64))
+                        histograms.append(None)
                         continue
                     seen.add(key)
                     last = np.zeros(len(s), bool)
@@ -135,9 +148,10 @@ def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFr
                     order = s[~last]
                     order = order[:k] if len(order) >= k else np.concatenate([order, s[last][: k - len(order)]])
                     prefixes.append(signed(order))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "key", "n", "prefix"])
+                    histograms.append(histogram(s))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(histograms, pa.binary())], ["doc_id", "key", "n", "prefix", "histogram"])
 
-    return docs.mapInArrow(make, "doc_id long, key long, n long, prefix array<long>")
+    return docs.mapInArrow(make, "doc_id long, key long, n long, prefix array<long>, histogram binary")
 
 
 def _map_bits(n_docs: int) -> int:
@@ -230,108 +244,89 @@ def _compare(pairs: DataFrame, n: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def _near(h1: np.ndarray, h2: np.ndarray, n1, n2, percent: int) -> np.ndarray:
+    """Whether histograms are near enough for their sets to be linked."""
+    return np.abs(h1 - h2).sum(axis=1) * (100 + percent) <= (n1 + n2) * (100 - percent)
+
+
+def _matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, BUCKETS).astype(np.int32)
+
+
+def _near_pairs(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose histograms are near enough, and their distance. pairs: a, b, n_a, n_b, h_a, h_b."""
+
+    def keep(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                h1, h2 = _matrix(part.column(4)), _matrix(part.column(5))
+                good = _near(h1, h2, part.column(2).to_numpy(), part.column(3).to_numpy(), percent)
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(good)) for k in (0, 1)], ["a", "b"])
+
+    return pairs.select("a", "b", "n_a", "n_b", "h_a", "h_b").mapInArrow(keep, "a long, b long")
+
+
 class Cluster:
-    """Classes of one task: sets as ids of a common vocabulary, components as a union-find forest."""
-
-    def __init__(self, sets: list[np.ndarray], component: list[int], regions: list[np.ndarray], side: np.ndarray, percent: int):
-        self.percent, self.side = percent, side
-        self.sizes = np.array([len(s) for s in sets])
-        self.at = np.concatenate(([0], np.cumsum(self.sizes)))
-        vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        self.ids = ids.astype(np.int32)
-        self.mask = np.zeros(len(vocabulary), np.int32)
-        names = sorted(set(component))
-        self.parent = np.arange(len(names))
-        self.component = np.searchsorted(names, component)
-        self.regions = regions
+    """Classes of one task by their histograms. ``pairs`` gets all that may be linked."""
+
+    def __init__(self, histograms: np.ndarray, sizes: np.ndarray, component: np.ndarray, regions: list[np.ndarray], side: np.ndarray, percent: int):
+        self.histograms, self.sizes, self.component, self.regions, self.side, self.percent = histograms, sizes, component, regions, side, percent
         self.members: dict[int, list[int]] = {}
         for i, r in enumerate(regions):
             for h in r.tolist():
                 self.members.setdefault(h, []).append(i)
-        self.radius = 1 - percent / 100
-        self.links: list[tuple[int, int]] = []
-
-    def find(self, c: int) -> int:
-        while self.parent[c] != c:
-            self.parent[c] = self.parent[self.parent[c]]
-            c = self.parent[c]
-        return int(c)
-
-    def overlaps(self, x: int, others: np.ndarray) -> np.ndarray:
-        """Sizes of the intersections of one set with some others."""
-        mine = self.ids[self.at[x] : self.at[x + 1]]
-        self.mask[mine] = 1
-        size = self.sizes[others]
-        first = np.repeat(self.at[others] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-        hit = self.mask[self.ids[first + np.arange(len(first))]]
-        self.mask[mine] = 0
-        return np.add.reduceat(hit, np.concatenate(([0], np.cumsum(size)[:-1])))
-
-    def distances(self, x: int, others: np.ndarray) -> np.ndarray:
-        inter = self.overlaps(x, others)
-        return 1 - inter / (self.sizes[x] + self.sizes[others] - inter)
-
-    def test(self, core: np.ndarray, everyone: np.ndarray, to_pivots: np.ndarray | None) -> None:
-        """Compare each of the core with all it may link to."""
-        place = {int(y): k for k, y in enumerate(everyone)}
+        self.members = {h: np.array(m) for h, m in self.members.items()}
+        self.radius = sizes * ((100 - percent) / percent)
+        self.pairs: set[tuple[int, int]] = set()
+        self.inside = np.zeros(len(sizes), bool)
+
+    def test(self, core: np.ndarray, everyone: np.ndarray) -> None:
+        """Compare each of the core with all of the others that share a region with it."""
+        self.inside[everyone] = True
         for x in core.tolist():
-            near = {y for h in self.regions[x].tolist() for y in self.members[h] if y != x and y in place}
-            if not near:
-                continue
-            mine = self.find(self.component[x])
-            y = np.array(sorted(y for y in near if self.find(self.component[y]) != mine and (self.side[x] != self.side[y] or self.side[x] == 2)), dtype=np.int64)
-            if not len(y):
-                continue
+            near = np.unique(np.concatenate([self.members[h] for h in self.regions[x].tolist()])) if len(self.regions[x]) else np.zeros(0, np.int64)
+            y = near[self.inside[near] & (self.component[near] != self.component[x]) & ((self.side[near] != self.side[x]) | (self.side[x] == 2))]
             low, high = np.minimum(self.sizes[y], self.sizes[x]), np.maximum(self.sizes[y], self.sizes[x])
             y = y[100 * low >= self.percent * high]
-            if to_pivots is not None and len(y):
-                rows = to_pivots[[place[k] for k in y.tolist()]]
-                y = y[(np.abs(rows - to_pivots[place[x]]) <= self.radius + 1e-9).all(axis=1)]
-            if not len(y):
-                continue
-            inter = self.overlaps(x, y)
-            for k in y[_linked(inter, self.sizes[x] + self.sizes[y] - inter, self.percent)].tolist():
-                a, b = self.find(self.component[x]), self.find(self.component[k])
-                if a != b:
-                    self.parent[a] = b
-                    self.links.append((x, k))
+            if len(y):
+                y = y[_near(self.histograms[y], self.histograms[x], self.sizes[y], self.sizes[x], self.percent)]
+                self.pairs.update((min(x, k), max(x, k)) for k in y.tolist())
+        self.inside[everyone] = False
 
     def join(self, core: np.ndarray, window: np.ndarray) -> None:
-        """Links between classes of the core, and between core and window."""
+        """Pairs within the core, and of core and window."""
         everyone = np.concatenate([core, window])
-        if not len(core) or len(everyone) < 2 or len({self.find(c) for c in self.component[everyone]}) < 2:
+        if not len(core) or len(everyone) < 2 or (self.component[everyone] == self.component[everyone[0]]).all():
             return
         if len(everyone) <= LEAF:
-            return self.test(core, everyone, None)
+            return self.test(core, everyone)
         pivots = core[np.linspace(0, len(core) - 1, min(PIVOTS, len(core))).astype(int)]
-        to_pivots = np.stack([self.distances(int(p), everyone) for p in pivots], axis=1)
-        nearest = to_pivots[: len(core)].argmin(axis=1)
+        distance = np.stack([np.abs(self.histograms[everyone] - self.histograms[p]).sum(axis=1) for p in pivots], axis=1)
+        nearest = distance[: len(core)].argmin(axis=1)
         for k in range(len(pivots)):
             mine = nearest == k
             if not mine.any():
                 continue
-            reach = to_pivots[: len(core)][mine, k].max() + self.radius + 1e-9
+            own, radius = distance[: len(core)][mine, k], self.radius[core[mine]]
             inside = np.concatenate([mine, np.zeros(len(window), bool)])
-            replicated = ~inside & (to_pivots[:, k] <= reach)
+            replicated = ~inside & (distance[:, k] <= (own + radius).max() + 1e-6) & (distance[:, k] >= (own - radius).min() - 1e-6)
             if mine.sum() + replicated.sum() < 0.7 * len(everyone):
                 self.join(core[mine], everyone[replicated])
             else:
-                self.test(core[mine], everyone, to_pivots)
+                self.test(core[mine], everyone[inside | replicated])
 
 
-def _join_cluster(n: int, percent: int):
+def _join_cluster(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_pylist()
-        data, bounds = buffers(table.column("text"))
-        sets = [s for k, j in runs(bounds) for s in shingle_sets(data[bounds[k] : bounds[j]], bounds[k : j + 1] - bounds[k], n)]
-        good = [i for i, k in enumerate(keys) if len(sets[i]) and set_key(sets[i]) == k]
-        links = []
-        if len(good) > 1:
-            components, regions, sides = (table.column(c).to_pylist() for c in ("comp", "hs", "side"))
-            cluster = Cluster([sets[i] for i in good], [components[i] for i in good], [np.array(regions[i], np.int64) for i in good], np.array([sides[i] for i in good]), percent)
-            cluster.join(np.arange(len(good)), np.zeros(0, np.int64))
-            links = [(keys[good[a]], keys[good[b]]) for a, b in cluster.links]
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        keys, components = table.column("key").to_numpy(), table.column("comp").to_numpy()
+        regions = [np.array(r, np.int64) for r in table.column("hs").to_pylist()]
+        cluster = Cluster(_matrix(table.column("histogram")), table.column("n").to_numpy(), components, regions, table.column("side").to_numpy(), percent)
+        cluster.join(np.arange(len(keys)), np.zeros(0, np.int64))
+        x = np.array(sorted(cluster.pairs), np.int64).reshape(-1, 2)
+        a, b = x[:, 0], x[:, 1]
+        far = np.abs(cluster.histograms[a] - cluster.histograms[b]).sum(axis=1) if len(x) else np.zeros(0, np.int64)
+        return pa.table({"a": keys[a], "b": keys[b], "comp_a": components[a], "comp_b": components[b], "far": pa.array(far, pa.int64())})
 
     return run
 
@@ -377,25 +372,43 @@ def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
     regions = regions.select("h", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n"))
     held = stored(rows.join(regions, "h").distinct(), "join-regions")
 
+    facts = stored(made.filter("histogram is not null").join(held.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("histogram").alias("histogram")), "join-facts")
+
+    def side(x: str) -> DataFrame:
+        return facts.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("histogram").alias(f"h_{x}"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs.select("a", "b").distinct(), "join-pairs")
+        wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        texts = _texts(docs, keys, wanted)
+        both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+        return stored(_compare(both, n, percent).filter("linked").select("a", "b"), "join-links")
+
     # The first pivot of each region against all others there.
     apart = F.col("key") != F.col("pivot")
     sized = F.lit(100) * F.least("n", "pivot_n") >= F.lit(percent) * F.greatest("n", "pivot_n")
     pairs = held.filter(apart & sized).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    texts = _texts(docs, keys, held.select("key").distinct())
-    both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    links = stored(_compare(both, n, percent).filter("linked").select("a", "b"), "join-links")
+    links = verified(_near_pairs(pairs.join(side("b"), "b").join(side("a"), "a"), percent))
 
     # Regions whose classes, the pivot apart, are in more than one component.
-    component = connected(links)
-    inside = held.filter(apart).select("h", "key").join(component.select(F.col("node").alias("key"), F.col("label").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    component = connected(links).select(F.col("node").alias("key"), F.col("label").alias("comp"))
+    inside = held.filter(apart).select("h", "key").join(component, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     open_regions = inside.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("key").alias("first")).filter("c1 <> c2").select("h", "first")
     left = stored(inside.join(open_regions, "h"), "join-open")
     cluster = connected(left.select(F.col("first").alias("a"), F.col("key").alias("b")))
     members = left.groupBy("key").agg(F.min("comp").alias("comp"), F.collect_set("h").alias("hs"))  # a prefix bounds hs
-    members = members.join(cluster.select(F.col("node").alias("key"), F.col("label").alias("cluster")), "key").join(texts, "key")
-    dealt = _blocks(stored(members, "join-members"), block)
-    more = dealt.groupBy("cluster", "b1", "b2").applyInArrow(_join_cluster(n, percent), "a long, b long")
-    return keys, links.unionByName(stored(more, "join-links"))
+    members = members.join(cluster.select(F.col("node").alias("key"), F.col("label").alias("cluster")), "key").join(facts, "key")
+    dealt_out = _blocks(stored(members, "join-members"), block)
+    found = stored(dealt_out.groupBy("cluster", "b1", "b2").applyInArrow(_join_cluster(percent), "a long, b long, comp_a long, comp_b long, far long"), "join-candidates")
+
+    # The nearest pairs of two components first; then those whose components are still apart.
+    order = Window.partitionBy(F.least("comp_a", "comp_b"), F.greatest("comp_a", "comp_b")).orderBy("far", "a", "b")
+    first = verified(found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= FIRST))
+    links = links.unionByName(first)
+    component = connected(links).select(F.col("node").alias("key"), F.col("label").alias("c"))
+    rest = found.join(component.withColumnsRenamed({"key": "a", "c": "ca"}), "a", "left").join(component.withColumnsRenamed({"key": "b", "c": "cb"}), "b", "left")
+    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    return keys, links.unionByName(verified(rest))
 
 
 def linked_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
