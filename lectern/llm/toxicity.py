@@ -98,7 +98,12 @@ def pooled(lookup: np.ndarray, bias: np.ndarray, ids: np.ndarray, offsets: np.nd
 
 
 def _logit(model: Model, ids: np.ndarray, offsets: np.ndarray, lookup=None) -> np.ndarray:
-    return pooled(model.lookup() if lookup is None else lookup, model.bias, ids, offsets) @ model.out + model.out_bias
+    lookup = model.lookup() if lookup is None else lookup
+    out = np.zeros(len(offsets) - 1, np.float32)
+    for i, j in runs(offsets, 1 << 17):  # so many words at a time bound the memory
+        part = pooled(lookup, model.bias, ids[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        out[i:j] = part @ model.out + model.out_bias
+    return out
 
 
 def score(model: Model, ids: np.ndarray, offsets: np.ndarray, lookup=None) -> np.ndarray:
@@ -252,7 +257,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn, each: int = SAMPLE) -> lis
     # At most about 2 x each ids: a bounded list, which makes the join with the documents a filter.
     chosen = known.filter(keep).withColumn("weight", weight)
     rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
-    return rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text").collect()
+    return rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text").select("text", "lang", "toxic", "weight").toArrow().to_pylist()
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, learn=None) -> DataFrame:
@@ -260,6 +265,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn=None) -> DataFrame
     learn = (lambda c: ~held_out(c)) if learn is None else learn
     rows = sample(docs, labels, learn)
     model, thresholds = train([r["text"] for r in rows], [r["toxic"] for r in rows], [r["weight"] for r in rows], [r["lang"] for r in rows])
+    del rows
     docs = docs.drop(*({"toxicity", "toxic_in_language"} & set(docs.columns)))
     sent = docs.sparkSession.sparkContext.broadcast((model, None if model.constant is not None else model.lookup()))
     names = docs.columns
