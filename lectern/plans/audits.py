@@ -81,7 +81,7 @@ _GROUP = "CASE category " + " ".join(f"WHEN '{c}' THEN '{g}'" for c, g in audit.
 @query("A33_groups_by_tag", "WITH " + CALLS_SQL + f" SELECT condition, tag, {', '.join(f'count(*) FILTER (WHERE {_GROUP} = {chr(39)}{g}{chr(39)}) AS {g}' for g in sorted(set(audit.GROUPS.values())))} FROM outcomes GROUP BY condition, tag")
 def a33(spark, sf):
     groups = sorted(set(audit.GROUPS.values()))
-    return outcomes(spark, sf).groupBy("condition", "tag").pivot("group", groups).agg(F.count("*")).fillna(0, groups)
+    return outcomes(spark, sf).groupBy("condition", "tag").pivot("group", groups).agg(F.count(F.lit(1))).fillna(0, groups)
 
 
 @query("A35_median_words", "WITH " + CALLS_SQL + " SELECT condition, median(n_original) AS median_words, max(n_original) AS most FROM calls GROUP BY condition")
