@@ -43,13 +43,13 @@ from lectern.llm.wordarrays import SOLID, STEP, buffers, gram_places, grams, mix
 SHINGLE, PERCENT = 4, 85
 #: A shingle is common if this share of documents holds it; fewer shingles than SHARE x (their mean number) can be.
 COMMON_SHARE, COMMON_LEAST = 1 / 2000, 64
-BATCH_BYTES = 8 << 20
+BATCH_BYTES, PART_BYTES = 8 << 20, 2 << 20
 #: Bits of the map of shingles that more than one text holds: so many for each document, and at most.
 MAP_BITS_A_DOCUMENT, MAP_BITS = 128, 1 << 28
 #: Classes whose ids may be broadcast to fetch their texts; beyond, that is a shuffled join.
 BROADCAST_ROWS = 500_000
 #: Classes of a cluster, or of a block of one, that one task joins.
-BLOCK = 40_000
+BLOCK = 20_000
 LEAF, PIVOTS, BUCKETS = 64, 8, 128
 #: Pairs of two components that are compared first.
 FIRST = 3
@@ -105,10 +105,12 @@ def _common_counts(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             data, bounds = buffers(batch.column(0))
             for i, j in runs(bounds, BATCH_BYTES):
-                sets = shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], n)
-                sets = list({set_key(s): s for s in sets if len(s)}.values())
+                sets = {}
+                for k, m in runs(bounds[i : j + 1], PART_BYTES):
+                    part = shingle_sets(data[bounds[i + k] : bounds[i + m]], bounds[i + k : i + m + 1] - bounds[i + k], n)
+                    sets.update((set_key(s), s) for s in part if len(s))
                 if sets:
-                    h, c = np.unique(np.concatenate(sets), return_counts=True)
+                    h, c = np.unique(np.concatenate(list(sets.values())), return_counts=True)
                     often = c >= 3
                     yield pa.RecordBatch.from_arrays([pa.array(signed(h[often])), pa.array(c[often].astype(np.int64))], ["h", "c"])
 
@@ -130,7 +132,7 @@ def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFr
         common = sent.value
         for batch in batches:
             data, bounds = buffers(batch.column(1))
-            for i, j in runs(bounds, BATCH_BYTES):
+            for i, j in runs(bounds, PART_BYTES):
                 sets = shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], n)
                 keys, prefixes, histograms, seen = [], [], [], set()
                 for s in sets:
