@@ -197,7 +197,7 @@ def a16(spark, sf):
 
 
 @query("L01_longest_verbatim_match", "WITH " + """g AS (SELECT doc_id, k, array_to_string(w[p + 1:p + k], ' ') AS gram FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z'']+') AS w FROM documents), (SELECT unnest([4, 8, 12]) AS k) WHERE len(w) >= k)),
-i AS (SELECT item_id, p AS pos, k, array_to_string(w[p + 1:p + k], ' ') AS gram FROM (SELECT item_id, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM (SELECT item_id, regexp_extract_all(lower(text), '[A-Za-z'']+') AS w FROM benchmark), (SELECT unnest([4, 8, 12]) AS k) WHERE len(w) >= k))
+i AS (SELECT item_id, CAST(p AS INT) AS pos, k, array_to_string(w[p + 1:p + k], ' ') AS gram FROM (SELECT item_id, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM (SELECT item_id, regexp_extract_all(lower(text), '[A-Za-z'']+') AS w FROM benchmark), (SELECT unnest([4, 8, 12]) AS k) WHERE len(w) >= k))
 SELECT item_id, pos, max(k) AS longest FROM i SEMI JOIN g USING (k, gram) GROUP BY item_id, pos""")
 def l01(spark, sf):
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
