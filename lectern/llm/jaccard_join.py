@@ -381,6 +381,8 @@ def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.select("a", "b").distinct(), "join-pairs")
+        if pairs.isEmpty():
+            return pairs
         wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         texts = _texts(docs, keys, wanted)
         both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
@@ -397,11 +399,15 @@ def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
     inside = held.filter(apart).select("h", "key").join(component, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     open_regions = inside.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("key").alias("first")).filter("c1 <> c2").select("h", "first")
     left = stored(inside.join(open_regions, "h"), "join-open")
+    if left.isEmpty():
+        return keys, links
     cluster = connected(left.select(F.col("first").alias("a"), F.col("key").alias("b")))
     members = left.groupBy("key").agg(F.min("comp").alias("comp"), F.collect_set("h").alias("hs"))  # a prefix bounds hs
     members = members.join(cluster.select(F.col("node").alias("key"), F.col("label").alias("cluster")), "key").join(facts, "key")
     dealt_out = _blocks(stored(members, "join-members"), block)
     found = stored(dealt_out.groupBy("cluster", "b1", "b2").applyInArrow(_join_cluster(percent), "a long, b long, comp_a long, comp_b long, far long"), "join-candidates")
+    if found.isEmpty():
+        return keys, links
 
     # The nearest pairs of two components first; then those whose components are still apart.
     order = Window.partitionBy(F.least("comp_a", "comp_b"), F.greatest("comp_a", "comp_b")).orderBy("far", "a", "b")
