@@ -7,9 +7,13 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: A type, not a string of one, as strings are parsed by a session and modules are imported without.
+SIMILARITY = T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("containment", T.DoubleType())])
 
-@F.pandas_udf("struct<ratio double, containment double>")
+
+@F.pandas_udf(SIMILARITY)
 def word_similarity(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Ratcliff-Obershelp ratio of two texts' words, and the share of the second's distinct words that the first has."""
     ratio, inside = [], []
@@ -20,7 +24,7 @@ def word_similarity(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"ratio": ratio, "containment": inside})
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def inserted_words(source: pd.Series, text: pd.Series) -> pd.Series:
     """Words that a text inserts or replaces in its source."""
     out = []
