@@ -17,6 +17,8 @@ from lectern.session import table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A language's score below which no language is taken to be recognised.
 LANGUAGE_LEAST = 0.15
+#: Near duplicates: words of a shingle, and the least Jaccard similarity in percent.
+SHINGLE, PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id stays; of repeated rows of it, one."""
-    found = stored(jaccard_join.linked_components(docs), "pipeline-groups")
+    found = stored(jaccard_join.linked_components(docs, n=SHINGLE, percent=PERCENT), "pipeline-groups")
     gone = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
     few = gone.count() <= jaccard_join.BROADCAST_ROWS
     kept = docs.select(*COLUMNS).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")

@@ -419,10 +419,31 @@ def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
     return keys, links.unionByName(verified(rest))
 
 
-def linked_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id: the least doc_id that links reach."""
+def keyed_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """doc_id, key of its set, n_shingles, label of the component (null without words, as key), component_id."""
     keys, links = similarity_links(docs, n, percent, block)
     label = connected(links).select(F.col("node").alias("key"), "label")
     rows = stored(keys.join(label, "key", "left").withColumn("label", F.coalesce("label", "key")), "join-labels")
     least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    return rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(least, "label", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), "label", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def linked_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id: the least doc_id that links reach."""
+    return keyed_components(docs, n, percent, block).select("doc_id", "n_shingles", "component_id")
+
+
+def with_keys(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """docs with ``key``, that of each text's set; null without words."""
+    names = [c for c in docs.columns if c != "key"]
+    rows = docs.select(*names, F.coalesce("text", F.lit("")).alias("key"))
+
+    def make(batches):
+        for batch in batches:
+            data, bounds = buffers(batch.column(len(names)))
+            keys = []
+            for i, j in runs(bounds, PART_BYTES):
+                keys += [set_key(s) if len(s) else None for s in shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.int64())], [*names, "key"])
+
+    return rows.mapInArrow(make, docs.select(*names, F.lit(None).cast("long").alias("key")).schema)

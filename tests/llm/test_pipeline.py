@@ -10,6 +10,7 @@ from lectern.llm.storage import stored
 from lectern.session import table
 from tests.llm.test_decontam import brute as leaks
 from tests.llm.test_jaccard_join import brute as groups
+from tests.llm.test_jaccard_join import shingles
 
 
 def rows(df):
@@ -75,3 +76,25 @@ def test_toxicity_of_held_out_texts(spark, labelled, edge_docs):
     nobody = toxicity.score_documents(edge_docs, labels.limit(0)).collect()
     assert {r.toxicity for r in nobody} == {0.0}
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
+
+
+def test_near_copies_of_five_words_and_80_percent(spark, sf_dir):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:248])), (3, " ".join(f"x{i}" for i in range(300)))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], table(spark, sf_dir, "documents").schema)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()) == [1, 3]
+    docs = table(spark, sf_dir, "documents")
+    sets = [(r.doc_id, shingles(r.text, 5)) for r in docs.collect()]
+    label = {d: d for d, _ in sets}
+
+    def find(d):
+        while label[d] != d:
+            d = label[d]
+        return d
+
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[i + 1 :]:
+            if x and 100 * len(x & y) >= 80 * len(x | y):
+                label[max(find(a), find(b))] = min(find(a), find(b))
+    single = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in single.collect()) == sorted(d for d in label if find(d) == d)
