@@ -34,16 +34,24 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays; of repeated rows of it, one."""
-    found = stored(jaccard_join.linked_components(docs, n=SHINGLE, percent=PERCENT), "pipeline-groups")
+    """Of each group of linked documents the one with the least id stays; of repeated rows of it, one.
+
+    Rows whose id occurs once are decided by it. Where ids repeat, rows are told apart by the keys of their sets too, as
+    rows of one id may be of different groups."""
+    found = stored(jaccard_join.keyed_components(docs, n=SHINGLE, percent=PERCENT), "pipeline-groups")
+    repeated = stored(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-repeated")
     gone = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
     few = gone.count() <= jaccard_join.BROADCAST_ROWS
-    kept = docs.select(*COLUMNS).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    twice = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(once)
+    docs = docs.select(*COLUMNS)
+    if repeated.isEmpty():
+        return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    single = docs.join(repeated, "doc_id", "left_anti")
+    kept = single.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    least = found.filter("doc_id = component_id").join(repeated, "doc_id", "left_semi")
+    least = least.groupBy("doc_id", "label").agg(F.min("key").alias("key")).select(F.col("doc_id").alias("id"), F.col("key").alias("least"))
+    several = jaccard_join.with_keys(docs.join(repeated, "doc_id", "left_semi"), SHINGLE)
+    several = several.join(least, (F.col("doc_id") == F.col("id")) & F.col("key").eqNullSafe(F.col("least")), "left_semi")
+    return kept.unionByName(several.dropDuplicates(["doc_id", "key"]).select(*COLUMNS))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

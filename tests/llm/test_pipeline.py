@@ -98,3 +98,11 @@ def test_near_copies_of_five_words_and_80_percent(spark, sf_dir):
                 label[max(find(a), find(b))] = min(find(a), find(b))
     single = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
     assert sorted(r.doc_id for r in single.collect()) == sorted(d for d in label if find(d) == d)
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark, sf_dir):
+    a, b, c = ("a b c d e f", "g h i j k l", "m n o p q r")
+    rows = [(1, a), (1, b), (1, a), (2, b), (2, c), (3, a), (4, "s t u v w"), (5, None), (5, " ")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], table(spark, sf_dir, "documents").schema)
+    kept = [(r.doc_id, (r.text or "").strip()) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()]
+    assert sorted(kept) == [(1, a), (1, b), (2, c), (4, "s t u v w"), (5, "")]
