@@ -27,8 +27,8 @@ from lectern.llm.wordarrays import LOWER, buffers, runs
 UNKNOWN = "und"
 LENGTHS = (1, 2, 3)
 FEATURES = 1 << 12
-#: Texts to train with, for each language and in all; landmarks for each language and in all.
-SAMPLE, SAMPLE_ALL, LANDMARKS, LANDMARKS_ALL = 300, 6000, 40, 512
+#: Texts to train with, for each language at most, in all, and for each language at least; landmarks for each language and in all.
+SAMPLE, SAMPLE_ALL, SAMPLE_LEAST, LANDMARKS, LANDMARKS_ALL = 300, 6000, 20, 40, 512
 RIDGE = 1e-3
 #: Rows of presence at a time.
 ROWS = 256
@@ -120,17 +120,16 @@ def sample(docs: DataFrame, learn, each: int = SAMPLE, total: int = SAMPLE_ALL)
     """Whole texts to train with: for each language those with the lowest hashes of their ids.
 
     Counts of languages come first, so that only rows below a hash that leaves about as many as are wanted are
-    ranked. Languages beyond ``total / each``, the rarest, are not learned.
+    ranked. Every language is learned: the more there are, the fewer texts of each, down to ``SAMPLE_LEAST``.
     """
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)).alias("h"), F.col("doc_id").cast("string").alias("id"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(1, total // each)).collect()
+    counts = [tuple(row) for row in known.groupBy("lang").count().collect()]  # a number for each language
     if not counts:
         return []
-    limit = F.lit(0)
-    for row in counts:
-        limit = F.when(F.col("lang") == row["lang"], min(1 << 30, int((1 << 30) * 2 * each / row["count"]) + 1)).otherwise(limit)
+    each = min(each, max(SAMPLE_LEAST, total // len(counts)))
+    limits = docs.sparkSession.createDataFrame([(lang, min(1 << 30, int((1 << 30) * 2 * each / n) + 1)) for lang, n in counts], "lang string, limit long")
     order = Window.partitionBy("lang").orderBy("h", "id", "text")
-    low = known.filter(F.col("h") < limit).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each)
+    low = known.join(F.broadcast(limits), "lang").filter(F.col("h") < F.col("limit")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each)
     return [(r["text"], r["lang"]) for r in low.orderBy("lang", "rank").select("text", "lang").collect()]
 
 
