@@ -57,17 +57,18 @@ def permutation_p(rows: DataFrame, row: str, column: str, n: int = 1000, seed: i
         e = t.sum(1, keepdims=True) * t.sum(0, keepdims=True) / t.sum()
         return float(((t - e) ** 2 / e).sum())
 
-    labels = np.repeat(np.arange(table.shape[1]), table.sum(0).astype(int))
-    groups = np.repeat(np.arange(table.shape[0]), table.sum(1).astype(int))
+    sizes, margin = table.sum(1).astype(int), table.sum(0).astype(int)
     seen = statistic(table)
 
     def shuffle(batches):
         for part in batches:
             out = []
             for i in part["id"]:
-                mixed = np.random.default_rng([seed, i]).permutation(labels)
-                t = np.zeros(table.shape)
-                np.add.at(t, (groups, mixed), 1)
+                rng, left, t = np.random.default_rng([seed, i]), margin.copy(), np.zeros(table.shape)
+                for k, size in enumerate(sizes):  # a shuffle of labels: each group draws from what others left
+                    drawn = rng.multivariate_hypergeometric(left, size, method="marginals")
+                    t[k] = drawn
+                    left -= drawn
                 out.append(statistic(t) >= seen - 1e-9)
             yield pd.DataFrame({"above": out})
 

@@ -147,7 +147,7 @@ def l08(spark, sf):
 @query("A37_permutation_p")
 def a37(spark, sf):
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    return sequences.permutation_p(rows, "lang", "quality", 200)
+    return sequences.permutation_p(rows, "lang", "quality", 10_000)
 
 
 @query("J28_aligned_hits", "SELECT coalesce(a.lang, b.lang) AS lang, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM (SELECT lang, count(*) AS x FROM documents WHERE doc_id % 2 = 0 GROUP BY lang) a FULL JOIN (SELECT lang, count(*) AS y FROM documents WHERE n_chars > 20000 GROUP BY lang) b ON a.lang = b.lang")
