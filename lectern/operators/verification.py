@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.words import is_function_word, word_array
+from lectern.operators import phrases
 
 
 def content_words(text: Column) -> Column:
@@ -45,3 +46,22 @@ def blocks(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", F.sum("new").over(order)).filter("kind <> 'blank'")
     parts = F.sort_array(F.collect_list(F.struct("line_no", F.trim("line").alias("line"))))
     return rows.groupBy("doc_id", "block", "kind").agg(F.array_join(parts["line"], " ").alias("text"))
+
+
+def verbatim_runs(items: DataFrame, sources: DataFrame, least: int = 4, most: int = 40) -> DataFrame:
+    """doc_id, pos, length of the runs of tokens of each item that a source holds, left to right: at each place the longest
+    of at most ``most`` tokens, then on from its end. Both: doc_id, text.
+
+    Shared runs of ``least`` tokens that follow each other in both texts are one longer match, so no other size is
+    joined. Texts are known by hashes, as ids may repeat."""
+    mine = phrases.grams(items, (least,)).select("doc_id", "pos", "gram")
+    theirs = phrases.grams(sources.select(F.xxhash64("text").alias("doc_id"), "text"), (least,)).select(F.col("doc_id").alias("src"), F.col("pos").alias("at"), "gram")
+    hits = mine.join(theirs, "gram").select("doc_id", "pos", "src", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
+    line = Window.partitionBy("doc_id", "src", "diagonal").orderBy("pos")
+    islands = hits.withColumn("island", F.col("pos") - F.row_number().over(line))
+    end = F.max("pos").over(Window.partitionBy("doc_id", "src", "diagonal", "island")) + least
+    longest = islands.withColumn("length", F.least(end - F.col("pos"), F.lit(most))).groupBy("doc_id", "pos").agg(F.max("length").cast("int").alias("length"))
+    places = longest.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "length"))).alias("places"))
+    start = "named_struct('next', 0, 'runs', cast(array() as array<struct<pos: int, length: int>>))"
+    step = "if(x.pos >= a.next, named_struct('next', x.pos + x.length, 'runs', concat(a.runs, array(x))), a)"
+    return places.select("doc_id", F.explode(F.expr(f"aggregate(places, {start}, (a, x) -> {step}, a -> a.runs)")).alias("run")).select("doc_id", "run.pos", "run.length")

@@ -207,6 +207,12 @@ def l01(spark, sf):
     return found.groupBy(F.col("doc_id").alias("item_id"), "pos").agg(F.max("n").alias("longest"))
 
 
+@query("L01_verbatim_runs")
+def l01_runs(spark, sf):
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return verification.verbatim_runs(items, docs_of(spark, sf)).withColumnRenamed("doc_id", "item_id")
+
+
 @query("F22_blocks", W.with_sql("lines") + r"""SELECT doc_id, CAST(block AS BIGINT) AS block, kind, string_agg(trim(line), ' ' ORDER BY line_no) AS text FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM
  (SELECT *, CASE WHEN kind = 'p' AND lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) = 'p' THEN 0 ELSE 1 END AS new FROM
  (SELECT *, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^\s*Definition\s+\d+') THEN 'defn' WHEN regexp_matches(line, '^\s*\d+\.\d+\s+\S') THEN 'h3' WHEN regexp_matches(line, '^\s*\d+\.?\s+[A-Z]') THEN 'h2' ELSE 'p' END AS kind FROM lines))) WHERE kind <> 'blank' GROUP BY ALL""")
