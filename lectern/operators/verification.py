@@ -38,6 +38,12 @@ def coverage(source: DataFrame, summary: DataFrame, tolerance: float = 5.0) -> D
     return shares.select("doc_id", "cluster", "target", "actual", "delta", status.alias("status"))
 
 
+def aligned_hits(source: DataFrame, summary: DataFrame) -> DataFrame:
+    """doc_id, cluster, source_hits, summary_hits; what one side lacks is 0. Both: doc_id, cluster, hits."""
+    both = source.withColumnRenamed("hits", "source_hits").join(summary.withColumnRenamed("hits", "summary_hits"), ["doc_id", "cluster"], "full")
+    return both.fillna(0, ["source_hits", "summary_hits"])
+
+
 def blocks(rows: DataFrame) -> DataFrame:
     """Lines to blocks: headings and definitions stand alone, other lines up to a blank one make a paragraph."""
     kind = F.when(F.trim("line") == "", "blank").when(F.col("line").rlike(r"^\s*Definition\s+\d+"), "defn").when(F.col("line").rlike(r"^\s*\d+\.\d+\s+\S"), "h3").when(F.col("line").rlike(r"^\s*\d+\.?\s+[A-Z]"), "h2").otherwise("p")

@@ -182,18 +182,29 @@ def j16(spark, sf):
 HITS = "src AS (SELECT doc_id, cluster, count(*) AS h1 FROM occ JOIN clusters USING (doc_id, stem) GROUP BY ALL)"
 
 
-@query("A16_coverage", UPTO + CLUSTERS + ", " + OCCURRENCES + ", " + HITS + ", " + W.SQL["sentences"] + ", " + SUMMARY + f""", pw AS (SELECT doc_id, unnest(words) AS lower FROM picked), smy AS (SELECT doc_id, cluster, count(*) AS h2 FROM pw JOIN stems USING (lower) JOIN clusters USING (doc_id, stem) WHERE regexp_matches(lower, '^[a-z]+$') GROUP BY ALL),
-both_ AS (SELECT doc_id, cluster, coalesce(h1, 0) AS h1, coalesce(h2, 0) AS h2 FROM src FULL JOIN smy USING (doc_id, cluster)),
-shares AS (SELECT *, round(coalesce(100 * h1 / nullif(CAST(sum(h1) OVER w AS DOUBLE), 0), 0.0), 1) AS target, round(coalesce(100 * h2 / nullif(CAST(sum(h2) OVER w AS DOUBLE), 0), 0.0), 1) AS actual FROM both_ WINDOW w AS (PARTITION BY doc_id))
-SELECT doc_id, cluster, target, actual, round(actual - target, 1) AS delta, CASE WHEN h1 > 0 AND h2 = 0 THEN 'DARK' WHEN abs(round(actual - target, 1)) > 5 THEN 'WARN' ELSE 'OK' END AS status FROM shares""")
-def a16(spark, sf):
+def cluster_hits(spark, sf):
+    """Hits of each cluster in each source, and in its summary."""
     places, clusters, _, rows = places_of(spark, sf)
     named = clusters.withColumnRenamed("stem", "term")
     source = places.join(named, ["doc_id", "term"]).groupBy("doc_id", "cluster").agg(F.count("*").alias("hits"))
     words = selection.condensed(selection.densities(docs_of(spark, sf)), 0.25).select("doc_id", F.explode("words").alias("lower"))
     known = rows.select("lower", "stem").distinct()
     summary = words.filter(F.col("lower").rlike("^[a-z]+$")).join(known, "lower").join(clusters, ["doc_id", "stem"]).groupBy("doc_id", "cluster").agg(F.count("*").alias("hits"))
-    return verification.coverage(source, summary)
+    return source, summary
+
+
+@query("A16_coverage", UPTO + CLUSTERS + ", " + OCCURRENCES + ", " + HITS + ", " + W.SQL["sentences"] + ", " + SUMMARY + f""", pw AS (SELECT doc_id, unnest(words) AS lower FROM picked), smy AS (SELECT doc_id, cluster, count(*) AS h2 FROM pw JOIN stems USING (lower) JOIN clusters USING (doc_id, stem) WHERE regexp_matches(lower, '^[a-z]+$') GROUP BY ALL),
+both_ AS (SELECT doc_id, cluster, coalesce(h1, 0) AS h1, coalesce(h2, 0) AS h2 FROM src FULL JOIN smy USING (doc_id, cluster)),
+shares AS (SELECT *, round(coalesce(100 * h1 / nullif(CAST(sum(h1) OVER w AS DOUBLE), 0), 0.0), 1) AS target, round(coalesce(100 * h2 / nullif(CAST(sum(h2) OVER w AS DOUBLE), 0), 0.0), 1) AS actual FROM both_ WINDOW w AS (PARTITION BY doc_id))
+SELECT doc_id, cluster, target, actual, round(actual - target, 1) AS delta, CASE WHEN h1 > 0 AND h2 = 0 THEN 'DARK' WHEN abs(round(actual - target, 1)) > 5 THEN 'WARN' ELSE 'OK' END AS status FROM shares""")
+def a16(spark, sf):
+    return verification.coverage(*cluster_hits(spark, sf))
+
+
+@query("J28_aligned_cluster_hits", UPTO + CLUSTERS + ", " + OCCURRENCES + ", " + HITS + ", " + W.SQL["sentences"] + ", " + SUMMARY + """, pw AS (SELECT doc_id, unnest(words) AS lower FROM picked), smy AS (SELECT doc_id, cluster, count(*) AS h2 FROM pw JOIN stems USING (lower) JOIN clusters USING (doc_id, stem) WHERE regexp_matches(lower, '^[a-z]+$') GROUP BY ALL)
+SELECT doc_id, cluster, coalesce(h1, 0) AS source_hits, coalesce(h2, 0) AS summary_hits FROM src FULL JOIN smy USING (doc_id, cluster)""")
+def j28_clusters(spark, sf):
+    return verification.aligned_hits(*cluster_hits(spark, sf))
 
 
 @query("L01_longest_verbatim_match", "WITH " + """g AS (SELECT doc_id, k, array_to_string(w[p + 1:p + k], ' ') AS gram FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z'']+') AS w FROM documents), (SELECT unnest([4, 8, 12]) AS k) WHERE len(w) >= k)),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+import duckdb
 import numpy as np
 
 from lectern.operators import sequences, verification
-from lectern.plans import all_queries
+from lectern.plans import all_oracles, all_queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -59,3 +60,14 @@ def test_verbatim_runs_of_whole_tables(spark):
     both = [spark.read.parquet(f"{FOLDER}/{t}.parquet").select(i, "text").collect() for t, i in (("benchmark", "item_id"), ("documents", "doc_id"))]
     expected = runs([tuple(r) for r in both[0]], [r.text for r in both[1]])
     assert sorted((r.item_id, r.pos, r.length) for r in all_queries()["L01_verbatim_runs"](spark, FOLDER).collect()) == expected
+
+
+def test_aligned_hits_are_of_all_documents(spark):
+    from tests.test_queries import shown
+
+    name, con = "J28_aligned_cluster_hits", duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    other = con.sql(all_oracles()[name])
+    found = all_queries()[name](spark, FOLDER).select(*other.columns).collect()
+    assert any(r.doc_id % 2 for r in found)
+    assert sorted(tuple(map(shown, r)) for r in found) == sorted(tuple(map(shown, r)) for r in other.fetchall())
