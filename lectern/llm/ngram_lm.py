@@ -2,8 +2,8 @@
 
 The model is a trie of words and their successors (order 2), smoothed by absolute discounting: kept bigrams give
 ``(c(u,w) - D) / c(u)``, and what a context does not give away goes to the words' own probabilities, which are
-discounted likewise in favour of the one unknown word. Bigrams seen once are pruned; their share goes the same way,
-so every context's probabilities sum to one. Counts are of all training documents.
+discounted likewise in favour of the one unknown word. Bigrams seen less often than ``least`` are pruned; their share goes the
+same way, so every context's probabilities sum to one. Counts are of all training documents.
 
 Neither the vocabulary nor the trie need fit one machine. Words are 64-bit hashes; a bigram is 34 bits of its context and
 30 of its successor. Documents are read in blocks. A block asks for each distinct bigram and word once, with its count
@@ -143,7 +143,7 @@ ANSWER = "kind int, shard long, block long, a binary, b binary"
 _ANSWER = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
 
-def _bigram_answers(requests: DataFrame, folder: str, shards: int) -> DataFrame:
+def _bigram_answers(requests: DataFrame, folder: str, shards: int, least: int) -> DataFrame:
     """Kind 2: for a block's bigrams of a shard which are kept, and their discounted counts. Kind 0: for a shard of
     words, contexts and the sum of what they give away in this shard."""
 
@@ -151,7 +151,7 @@ def _bigram_answers(requests: DataFrame, folder: str, shards: int) -> DataFrame:
         rows = table.to_pylist()
         asked = [(unpack_sorted(r["keys"]), unpack(r["counts"], np.uint32)) for r in rows]
         keys, counts = _summed(asked)
-        kept = counts >= KEPT
+        kept = counts >= least
         keys, counts = keys[kept], counts[kept]
         context, word = keys >> np.uint64(SUCCESSOR_BITS), keys & np.uint64((1 << SUCCESSOR_BITS) - 1)
         level = _opened(folder, Level.of(context, word, counts - DISCOUNT, SUCCESSOR_BITS).to_bytes())
@@ -231,13 +231,14 @@ def held_out(doc_id) -> F.Column:
 SCORES = ["n_tokens", "n_known", "base_score", "score"]
 
 
-def score_documents(docs: DataFrame, train) -> DataFrame:
-    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score. ``train`` says which rows are learned from."""
+def score_documents(docs: DataFrame, train, least: int = KEPT) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score. ``train`` says which rows are learned from,
+    ``least`` how often a bigram that is kept occurs in them."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     shards = SHARDS * width(spark)
     folder = shared_folder(spark, "lm")
-    found2 = stored(_bigram_answers(_requests(docs, 2, shards), f"{folder}/levels", shards), "lm-bigrams")
+    found2 = stored(_bigram_answers(_requests(docs, 2, shards), f"{folder}/levels", shards, least), "lm-bigrams")
     found1 = stored(_word_answers(_requests(docs, 1, shards), found2.filter("kind = 0")), "lm-words")
     totals = found1.filter("kind = 3").select("a", "b").collect()  # two numbers from each shard
     n_different, n_words = (sum(int.from_bytes(r[k], "little") for r in totals) for k in ("a", "b"))

@@ -50,7 +50,7 @@ def op7_bit_plane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = ngram_lm.score_documents(docs, ~ngram_lm.held_out(F.col("doc_id")))
+    scored = ngram_lm.score_documents(docs, ~ngram_lm.held_out(F.col("doc_id")), least=1)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -111,3 +111,23 @@ def test_quantise():
     book, codes = quantise(many)
     assert len(book) <= 256
     assert (np.abs(book[codes] / many - 1) < 0.05).all()
+
+
+def test_query_keeps_bigrams_seen_once(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]
+    train = [tokens(t) for d, t in docs if zlib.crc32(str(d).encode()) % 5 != 1]
+    c, two, context = Counter(), Counter(), Counter()
+    for w in train:
+        c.update(w)
+        two.update(zip(["<s>", *w], w, strict=False))
+        context.update(["<s>", *w[:-1]])
+    followers = Counter(u for u, _ in two)
+    n, v, texts = sum(c.values()), len(c), dict(docs)
+    for r in op8_ngram_lm(spark, sf_dir).collect():
+        w, score = tokens(texts[r.doc_id]), 0.0
+        for u, x in zip(["<s>", *w], w, strict=False):
+            p = max(c[x] - 0.7, 0) / n + 0.7 * v / n / (v + 1)
+            if context[u]:
+                p = max(two[u, x] - 0.75, 0) / context[u] + 0.75 * followers[u] / context[u] * p
+            score += math.log10(p)
+        assert r.score == pytest.approx(score, rel=1e-4, abs=1e-4)
