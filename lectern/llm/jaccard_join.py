@@ -6,26 +6,33 @@ every pivot. Therefore regions are made in two levels.
 
 1. Pivots of one shingle. A text is nearer than 1 to such a pivot just if it holds the shingle. Of any total order
    of shingles, two linked texts share one among the first ``n - ceil(t n) + 1`` of either, so a text is put into the
-   regions of those only. Shingles that many texts hold are last in the order, so that a common passage does not
-   make a region. Texts are classed by their sets first: equal sets are one class.
+   regions of those only. Texts are classed by their sets first: equal sets are one class. A first pass orders
+   shingles by hash and counts the regions that come of it; shingles of large regions, and those that recur within
+   runs of texts, are last in the order of the second pass, the most frequent at the very end. So a common passage
+   makes no region as long as its texts hold enough of their own.
 2. Document pivots. Each region's first pivot is its least class; all others are compared with it. Links join
-   classes to components, and a region all of whose classes are in one component is done. What is left over falls
-   into clusters of regions that share classes. A cluster (in blocks, if it is large) is joined recursively: pivots
-   make Voronoi regions, classes within the triangle inequality's window of a region are replicated to it, and
-   regions are joined until they are small or no longer shrink; then pairs that share a region of level 1 and are in
-   different components are compared.
-
-Distances to document pivots are taken in a contraction of the space: a set's histogram over 128 hash buckets. The
-L1 distance of two histograms is a metric and never more than the sets' symmetric difference, which is at most
-``(1 - t) / (1 + t) (n + m)`` for linked sets of sizes n and m. It parts unrelated texts well, where 1 - Jaccard is
-1 for all, and needs 256 bytes a class and no text. Pairs that pass are compared exactly by their texts, the nearest
-pairs of two components first; pairs within a component are skipped, as components need only enough links to
-connect them. No link between components is lost.
+   classes to components, and a region whose other classes are all in one component is done. Each region that is
+   left is joined by itself: pivots make Voronoi regions, classes within the triangle inequality's window of a region
+   are replicated to it, and regions are joined until they are small or no longer shrink; then pairs of different
+   components are compared. Small regions are dealt to tasks many at a time, large ones in pairs of blocks, where
+   blocks of one component are not paired.
+
+Two bounds hold before any distance is taken. Linked sets differ in size by the similarity at most, and the places i
+and j of their least common shingle add up to no more than their symmetric difference, ``n + m - 2 T``, as all that
+is before them is not common. Distances to document pivots are taken in a contraction of the space: a set's histogram
+over 128 hash buckets, or 64 in the second step of level 2. The L1 distance of two histograms is a metric and never
+more than the sets' symmetric difference, which is at most ``(1 - t) / (1 + t) (n + m)`` for linked sets of sizes n
+and m. It parts unrelated texts well, where 1 - Jaccard is 1 for all, and needs no text. Pairs that pass are compared
+exactly by their texts, the nearest pairs of two components first; pairs within a component are skipped, as components
+need only enough links to connect them. No link between components is lost.
 
 Sets are compared as 64-bit hashes of shingles, and classes are known by a 64-bit hash of the set.
 
 Edge cases: texts without words (null, empty, blank) have an empty set and link with nothing. Texts of fewer words
-than a shingle are one shingle. Repeated rows are in one class. Empty table: no rows.
+than a shingle are one shingle. Very long texts are taken whole; a run holds at least one text, so memory grows with
+the longest one. Repeated rows are in one class. Columns other than doc_id and text are not read. Empty table: no rows.
+
+Jobs run while the result is being planned; its steps are stored in the shared folder and deleted when they are used up.
 """
 
 from __future__ import annotations
@@ -37,12 +44,13 @@ from pyspark.sql import functions as F
 
 from lectern.llm.blobs import dealt, pack, pack_sorted, unpack, unpack_sorted
 from lectern.llm.components import connected
-from lectern.llm.storage import stored, width
+from lectern.llm.storage import drop_folder, stored, width
 from lectern.llm.wordarrays import SOLID, STEP, buffers, gram_places, grams, mix, runs, split_words
 
 SHINGLE, PERCENT = 4, 85
-#: A shingle is common if this share of documents holds it; fewer shingles than SHARE x (their mean number) can be.
-COMMON_SHARE, COMMON_LEAST = 1 / 2000, 64
+#: A region is large from so many classes on, and so many shingles of large regions may be sent to all tasks; if there
+#: are more, only the larger regions count.
+LARGE, LARGE_SHINGLES = 48, 1 << 20
 BATCH_BYTES, PART_BYTES = 8 << 20, 2 << 20
 #: Bits of the map of shingles that more than one text holds: so many for each document, and at most.
 MAP_BITS_A_DOCUMENT, MAP_BITS = 128, 1 << 28
@@ -50,7 +58,9 @@ MAP_BITS_A_DOCUMENT, MAP_BITS = 128, 1 << 28
 BROADCAST_ROWS = 500_000
 #: Classes of a cluster, or of a block of one, that one task joins.
 BLOCK = 20_000
-LEAF, PIVOTS, BUCKETS = 64, 8, 128
+#: Rows of small regions that are dealt to one task.
+SHARD_ROWS = 40_000
+LEAF, PIVOTS, BUCKETS, SMALL_BUCKETS = 64, 8, 128, 64
 #: Pairs of two components that are compared first.
 FIRST = 3
 
@@ -81,8 +91,8 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int = SHINGLE) -> list
 
 def set_key(shingles: np.ndarray) -> int:
     """A hash of a set, as a signed number."""
-    total = mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles)) * STEP
-    return int(signed(mix(np.array([total], np.uint64)))[0])
+    total = mix(shingles).sum(dtype=np.uint64, keepdims=True) + np.array([len(shingles)], np.uint64) * STEP
+    return int(signed(mix(total))[0])
 
 
 def histogram(shingles: np.ndarray) -> bytes:
@@ -98,62 +108,92 @@ def _linked(inter, union, percent):
     return 100 * inter >= percent * union
 
 
-def _common_counts(docs: DataFrame, n: int) -> DataFrame:
-    """Shingles that at least three different texts of a run hold, with their numbers."""
+def _often(sets: list[np.ndarray]) -> bytes | None:
+    """Shingles that at least three different sets of a run hold, and their numbers, as bytes."""
+    if not sets:
+        return None
+    h, c = np.unique(np.concatenate(sets), return_counts=True)
+    return np.stack([h[c >= 3], c[c >= 3].astype(np.uint64)]).tobytes() if (c >= 3).any() else None
 
-    def count(batches):
-        for batch in batches:
-            data, bounds = buffers(batch.column(0))
-            for i, j in runs(bounds, BATCH_BYTES):
-                sets = {}
-                for k, m in runs(bounds[i : j + 1], PART_BYTES):
-                    part = shingle_sets(data[bounds[i + k] : bounds[i + m]], bounds[i + k : i + m + 1] - bounds[i + k], n)
-                    sets.update((set_key(s), s) for s in part if len(s))
-                if sets:
-                    h, c = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-                    often = c >= 3
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(h[often])), pa.array(c[often].astype(np.int64))], ["h", "c"])
 
-    return docs.select("text").mapInArrow(count, "h long, c long")
+def _in_order(s: np.ndarray, last: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+    """The first k of a set: by hash, but those of ``last`` (shingles, ranks) at the end by their ranks."""
+    names, ranks = last
+    if not len(names):
+        return s[:k]
+    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+    late = names[at] == s
+    first = s[~late][:k]
+    if len(first) == k:
+        return first
+    rest = np.flatnonzero(late)
+    rest = rest[np.argsort(ranks[at[rest]], kind="stable")][: k - len(first)]
+    return np.concatenate([first, s[rest]])
 
 
-def common_shingles(docs: DataFrame, n: int = SHINGLE) -> np.ndarray:
-    """Shingles that a fixed share of all documents holds; their number is bounded whatever the input's size."""
-    least = max(COMMON_LEAST, int(docs.count() * COMMON_SHARE))
-    rows = _common_counts(docs, n).groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).select("h").toArrow()
-    return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
+NO_LAST = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, key (null without words), n and the prefix of each document; repeats in a run have no prefix."""
-    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n))
+def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, last: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """doc_id, key (null without words), n, prefix and histogram of each document; repeats in a run have neither of the
+    latter. Without ``last`` also ``often``, once a run: shingles that recur in it."""
+    sent = docs.sparkSession.sparkContext.broadcast(last or NO_LAST)
+    counting = last is None
 
     def make(batches):
-        common = sent.value
         for batch in batches:
             data, bounds = buffers(batch.column(1))
-            for i, j in runs(bounds, PART_BYTES):
-                sets = shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], n)
-                keys, prefixes, histograms, seen = [], [], [], set()
-                for s in sets:
-                    key = set_key(s) if len(s) else None
-                    keys.append(key)
-                    if key is None or key in seen:
-                        prefixes.append(np.zeros(0, np.int64))
-                        histograms.append(None)
-                        continue
-                    seen.add(key)
-                    last = np.zeros(len(s), bool)
-                    if len(common):
-                        last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-                    k = prefix_size(len(s), percent)
-                    order = s[~last]
-                    order = order[:k] if len(order) >= k else np.concatenate([order, s[last][: k - len(order)]])
-                    prefixes.append(signed(order))
-                    histograms.append(histogram(s))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(histograms, pa.binary())], ["doc_id", "key", "n", "prefix", "histogram"])
-
-    return docs.mapInArrow(make, "doc_id long, key long, n long, prefix array<long>, histogram binary")
+            for i, j in runs(bounds, BATCH_BYTES):
+                seen: dict[int, np.ndarray] = {}
+                for a, b in runs(bounds[i : j + 1], PART_BYTES):
+                    a, b = a + i, b + i
+                    sets = shingle_sets(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], n)
+                    keys, prefixes, histograms = [], [], []
+                    for s in sets:
+                        key = set_key(s) if len(s) else None
+                        keys.append(key)
+                        if key is None or key in seen:
+                            prefixes.append(None)
+                            histograms.append(None)
+                            continue
+                        seen[key] = s if counting else s[:0]
+                        prefixes.append(signed(_in_order(s, sent.value, prefix_size(len(s), percent))))
+                        histograms.append(histogram(s))
+                    often = [None] * len(sets)
+                    if b == j and counting:
+                        often[-1] = _often(list(seen.values()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(histograms, pa.binary()), pa.array(often, pa.binary())], ["doc_id", "key", "n", "prefix", "histogram", "often"])
+
+    return docs.mapInArrow(make, "doc_id long, key long, n long, prefix array<long>, histogram binary, often binary")
+
+
+def _recurring(made: DataFrame) -> DataFrame:
+    """h and count of the shingles that recur within runs."""
+
+    def read(batches):
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                h, c = np.frombuffer(raw, np.uint64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(signed(c))], ["h", "c"])
+
+    return made.filter("often is not null").select("often").mapInArrow(read, "h long, c long")
+
+
+def large_shingles(rows: DataFrame, made: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that go last, sorted, and their ranks by frequency: those of large regions, and those that recur within
+    runs. There are LARGE_SHINGLES at most, the least number of texts being doubled until there are no more."""
+    counts = rows.groupBy("h").agg(F.count("*").alias("c")).unionByName(_recurring(made).groupBy("h").agg(F.sum("c").alias("c")))
+    counts = counts.groupBy("h").agg(F.max("c").alias("c")).filter(F.col("c") >= LARGE)
+    counts = stored(counts, "join-large")
+    least, sizes = LARGE, {r["l"]: r["n"] for r in counts.groupBy(F.floor(F.log2(F.col("c") / LARGE)).alias("l")).agg(F.count("*").alias("n")).collect()}
+    while sum(n for k, n in sizes.items() if LARGE << k >= least) > LARGE_SHINGLES:
+        least *= 2
+    found = counts.filter(F.col("c") >= least).toArrow()
+    drop_folder(counts)
+    h, c = (found.column(k).to_numpy().astype(np.int64) for k in (0, 1))
+    order = np.argsort(h.view(np.uint64))
+    h, c = h.view(np.uint64)[order], c[order]
+    return h, np.lexsort((h, c)).argsort()
 
 
 def _map_bits(n_docs: int) -> int:
@@ -204,20 +244,23 @@ def _bit_of(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _prefix_rows(made: DataFrame, bits: int) -> DataFrame:
-    """key, n, h of the prefix shingles that the map has."""
+    """key, n, h and its place of the prefix shingles that the map has."""
     sent = made.sparkSession.sparkContext.broadcast(shared_shingles(made, bits))
 
     def keep(batches):
         for batch in batches:
             keys, n, prefix = batch.columns
             h = prefix.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(prefix.offsets.to_numpy()))
+            bounds = prefix.offsets.to_numpy().astype(np.int64)
+            bounds = bounds - bounds[0]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            place = (np.arange(len(h)) - bounds[row]).astype(np.int32)
             bit = _bit_of(h, bits)
             good = (sent.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
             at = pa.array(row[good])
-            yield pa.RecordBatch.from_arrays([keys.take(at), n.take(at), pa.array(signed(h[good]))], ["key", "n", "h"])
+            yield pa.RecordBatch.from_arrays([keys.take(at), n.take(at).cast(pa.int32()), pa.array(signed(h[good])), pa.array(place[good])], ["key", "n", "h", "place"])
 
-    return made.filter("size(prefix) > 0").select("key", "n", "prefix").mapInArrow(keep, "key long, n long, h long")
+    return made.filter("size(prefix) > 0").select("key", "n", "prefix").mapInArrow(keep, "key long, n int, h long, place int")
 
 
 def _compare(pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -269,32 +312,39 @@ def _near_pairs(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "h_a", "h_b").mapInArrow(keep, "a long, b long")
 
 
-class Cluster:
-    """Classes of one task by their histograms. ``pairs`` gets all that may be linked."""
+def least_overlap(both, percent: int):
+    """The least intersection of linked sets whose sizes add up to ``both``."""
+    return -(-percent * both // (100 + percent))
 
-    def __init__(self, histograms: np.ndarray, sizes: np.ndarray, component: np.ndarray, regions: list[np.ndarray], side: np.ndarray, percent: int):
-        self.histograms, self.sizes, self.component, self.regions, self.side, self.percent = histograms, sizes, component, regions, side, percent
-        self.members: dict[int, list[int]] = {}
-        for i, r in enumerate(regions):
-            for h in r.tolist():
-                self.members.setdefault(h, []).append(i)
-        self.members = {h: np.array(m) for h, m in self.members.items()}
+
+class Region:
+    """Classes of one region by their small histograms. ``pairs`` gets all that may be linked."""
+
+    def __init__(self, histograms: np.ndarray, sizes: np.ndarray, places: np.ndarray, component: np.ndarray, side: np.ndarray, percent: int):
+        self.histograms, self.sizes, self.places, self.component, self.side, self.percent = histograms, sizes, places, component, side, percent
         self.radius = sizes * ((100 - percent) / percent)
-        self.pairs: set[tuple[int, int]] = set()
-        self.inside = np.zeros(len(sizes), bool)
+        self.pairs: list[np.ndarray] = []
 
     def test(self, core: np.ndarray, everyone: np.ndarray) -> None:
-        """Compare each of the core with all of the others that share a region with it."""
-        self.inside[everyone] = True
-        for x in core.tolist():
-            near = np.unique(np.concatenate([self.members[h] for h in self.regions[x].tolist()])) if len(self.regions[x]) else np.zeros(0, np.int64)
-            y = near[self.inside[near] & (self.component[near] != self.component[x]) & ((self.side[near] != self.side[x]) | (self.side[x] == 2))]
-            low, high = np.minimum(self.sizes[y], self.sizes[x]), np.maximum(self.sizes[y], self.sizes[x])
-            y = y[100 * low >= self.percent * high]
-            if len(y):
-                y = y[_near(self.histograms[y], self.histograms[x], self.sizes[y], self.sizes[x], self.percent)]
-                self.pairs.update((min(x, k), max(x, k)) for k in y.tolist())
-        self.inside[everyone] = False
+        """Compare each of the core with all of the others. The core comes first in everyone."""
+        n, place, comp, side = (x[everyone] for x in (self.sizes, self.places, self.component, self.side))
+        step = max(1, (1 << 18) // len(everyone))
+        for i in range(0, len(core), step):
+            c = slice(i, min(i + step, len(core)))
+            m = n[c, None]
+            good = comp[c, None] != comp
+            good &= (side[c, None] != side) | (side == 2)
+            good &= (100 * m >= self.percent * n) & (100 * n >= self.percent * m)
+            good &= place[c, None] + place <= m + n - 2 * least_overlap(m + n, self.percent)
+            # A pair within the core is met once.
+            good[:, : len(core)] &= np.arange(c.start, c.stop)[:, None] < np.arange(len(core))
+            x, y = np.nonzero(good)
+            x, y = core[x + i], everyone[y]
+            for k in range(0, len(x), 1 << 16):
+                a, b = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+                near = _near(self.histograms[a], self.histograms[b], self.sizes[a], self.sizes[b], self.percent)
+                if near.any():
+                    self.pairs.append(np.stack([a[near], b[near]], axis=1))
 
     def join(self, core: np.ndarray, window: np.ndarray) -> None:
         """Pairs within the core, and of core and window."""
@@ -306,29 +356,51 @@ class Cluster:
         pivots = core[np.linspace(0, len(core) - 1, min(PIVOTS, len(core))).astype(int)]
         distance = np.stack([np.abs(self.histograms[everyone] - self.histograms[p]).sum(axis=1) for p in pivots], axis=1)
         nearest = distance[: len(core)].argmin(axis=1)
+        parts = []
         for k in range(len(pivots)):
             mine = nearest == k
-            if not mine.any():
-                continue
-            own, radius = distance[: len(core)][mine, k], self.radius[core[mine]]
-            inside = np.concatenate([mine, np.zeros(len(window), bool)])
-            replicated = ~inside & (distance[:, k] <= (own + radius).max() + 1e-6) & (distance[:, k] >= (own - radius).min() - 1e-6)
-            if mine.sum() + replicated.sum() < 0.7 * len(everyone):
-                self.join(core[mine], everyone[replicated])
-            else:
-                self.test(core[mine], everyone[inside | replicated])
-
-
-def _join_cluster(percent: int):
+            if mine.any():
+                own, radius = distance[: len(core)][mine, k], self.radius[core[mine]]
+                inside = np.concatenate([mine, np.zeros(len(window), bool)])
+                replicated = ~inside & (distance[:, k] <= (own + radius).max() + 1e-6) & (distance[:, k] >= (own - radius).min() - 1e-6)
+                # Of two parts of the core, the pairs are found from the first.
+                replicated[: len(core)] &= nearest > k
+                parts.append((core[mine], everyone[replicated]))
+        if max(len(c) + len(w) for c, w in parts) < 0.7 * len(everyone):
+            for c, w in parts:
+                self.join(c, w)
+        else:
+            self.test(core, everyone)
+
+
+CANDIDATES = "a long, b long, comp_a long, comp_b long, far long"
+
+
+def _join_regions(percent: int):
+    """Join the regions of one task, each by itself."""
+
     def run(table: pa.Table) -> pa.Table:
-        keys, components = table.column("key").to_numpy(), table.column("comp").to_numpy()
-        regions = [np.array(r, np.int64) for r in table.column("hs").to_pylist()]
-        cluster = Cluster(_matrix(table.column("histogram")), table.column("n").to_numpy(), components, regions, table.column("side").to_numpy(), percent)
-        cluster.join(np.arange(len(keys)), np.zeros(0, np.int64))
-        x = np.array(sorted(cluster.pairs), np.int64).reshape(-1, 2)
-        a, b = x[:, 0], x[:, 1]
-        far = np.abs(cluster.histograms[a] - cluster.histograms[b]).sum(axis=1) if len(x) else np.zeros(0, np.int64)
-        return pa.table({"a": keys[a], "b": keys[b], "comp_a": components[a], "comp_b": components[b], "far": pa.array(far, pa.int64())})
+        key, n, place, comp, side, h = (table.column(c).to_numpy() for c in ("key", "n", "place", "comp", "side", "h"))
+        histograms = np.frombuffer(b"".join(table.column("small").to_pylist()), np.uint8).reshape(-1, SMALL_BUCKETS)
+        order = np.lexsort((key, h))
+        # Repeats of a class in a region come from runs of different partitions.
+        order = order[np.concatenate(([True], (np.diff(h[order]) != 0) | (np.diff(key[order]) != 0)))]
+        ends = np.flatnonzero(np.concatenate((np.diff(h[order]) != 0, [True]))) + 1
+        found, start = [], 0
+        for end in ends.tolist():
+            at = order[start:end]
+            start = end
+            region = Region(histograms[at].astype(np.int32), n[at].astype(np.int64), place[at].astype(np.int64), comp[at], side[at], percent)
+            names, number = np.unique(comp[at], return_counts=True)
+            largest = comp[at] == names[number.argmax()]  # no pair lies within it
+            region.join(np.flatnonzero(~largest), np.flatnonzero(largest))
+            found += [at[p] for p in region.pairs]
+        x = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        x = np.where((key[x[:, 0]] > key[x[:, 1]])[:, None], x[:, ::-1], x)
+        _, first = np.unique(np.stack([key[x[:, 0]], key[x[:, 1]]], axis=1), axis=0, return_index=True)
+        a, b = x[first, 0], x[first, 1]
+        far = np.abs(histograms[a].astype(np.int64) - histograms[b]).sum(axis=1)
+        return pa.table({"a": key[a], "b": key[b], "comp_a": comp[a], "comp_b": comp[b], "far": pa.array(far, pa.int64())})
 
     return run
 
@@ -337,75 +409,108 @@ def _texts(docs: DataFrame, keys: DataFrame, wanted: DataFrame) -> DataFrame:
     """key and text of the wanted classes, of their documents with the least id."""
     reps = stored(keys.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "join-reps")
     small = reps.count() <= BROADCAST_ROWS
-    return stored(docs.join(F.broadcast(reps) if small else reps, "doc_id").select("key", "text"), "join-texts")
+    texts = stored(docs.join(F.broadcast(reps) if small else reps, "doc_id").select("key", "text"), "join-texts")
+    drop_folder(reps)
+    return texts
 
 
 def _blocks(members: DataFrame, block: int) -> DataFrame:
-    """Deal the classes of each cluster to tasks: all to one if they are few, else to each pair of blocks.
+    """Deal the classes of large regions to pairs of blocks.
 
     Components larger than a block have blocks of their own, and two of the same component are not paired.
     """
-    names = members.select("cluster", "comp", "key")
-    sizes = names.groupBy("cluster", "comp").agg(F.count("*").alias("size"))
+    parts = members.groupBy("h", "comp").agg(F.count("*").alias("size"))
     big = F.col("size") > block
-    rest = sizes.groupBy("cluster").agg(F.sum(F.when(~big, F.col("size")).otherwise(0)).alias("rest"), F.sum("size").alias("whole"))
+    rest = parts.groupBy("h").agg(F.sum(F.when(~big, F.col("size")).otherwise(0)).alias("rest"))
     own = F.concat_ws("#", F.col("comp").cast("string"), F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / block)).cast("string"))
-    mixed = F.concat(F.lit("m"), F.pmod(F.xxhash64("comp"), F.greatest(F.ceil(F.col("rest") / block), F.lit(1))).cast("string"))
-    one = F.col("whole") <= block
-    placed = names.join(sizes, ["cluster", "comp"]).join(rest, "cluster")
-    placed = stored(placed.select("cluster", "key", F.when(one, F.lit("all")).when(big, own).otherwise(mixed).alias("block"), F.when(big & ~one, F.col("comp")).alias("alone")), "join-blocks")
-    there = placed.select("cluster", "block", "alone").distinct()
-    left = there.select("cluster", F.col("block").alias("b1"), F.col("alone").alias("alone1"))
-    right = there.select("cluster", F.col("block").alias("b2"), F.col("alone").alias("alone2"))
-    pairs = left.join(right, "cluster").filter("b1 <= b2 and not coalesce(alone1 = alone2, false)").select("cluster", "b1", "b2")
-    first = placed.withColumn("b1", F.col("block")).join(pairs, ["cluster", "b1"]).withColumn("side", F.when(F.col("b1") == F.col("b2"), 2).otherwise(0))
-    second = placed.withColumn("b2", F.col("block")).join(pairs.filter("b1 < b2"), ["cluster", "b2"]).withColumn("side", F.lit(1))
-    tasks = ["cluster", "b1", "b2", "side", "key"]
-    return first.select(*tasks).unionByName(second.select(*tasks)).join(members.drop("cluster"), "key")
+    mixed = F.concat(F.lit("m"), F.pmod(F.xxhash64("key"), F.greatest(F.ceil(F.col("rest") / block), F.lit(1))).cast("string"))
+    placed = members.join(parts.filter(big).select("h", "comp", "size"), ["h", "comp"], "left").join(rest, "h")
+    placed = stored(placed.select("h", "key", "n", "place", "comp", "small", F.when(F.col("size").isNotNull(), own).otherwise(mixed).alias("block"), F.when(F.col("size").isNotNull(), F.col("comp")).alias("alone")), "join-blocks")
+    there = placed.select("h", "block", "alone").distinct()
+    left = there.select("h", F.col("block").alias("b1"), F.col("alone").alias("alone1"))
+    right = there.select("h", F.col("block").alias("b2"), F.col("alone").alias("alone2"))
+    pairs = left.join(right, "h").filter("b1 <= b2 and not coalesce(alone1 = alone2, false)").select("h", "b1", "b2")
+    pairs = stored(pairs, "join-block-pairs")
+    first = placed.withColumnRenamed("block", "b1").join(pairs, ["h", "b1"]).withColumn("side", F.when(F.col("b1") == F.col("b2"), 2).otherwise(0))
+    second = placed.withColumnRenamed("block", "b2").join(pairs.filter("b1 < b2"), ["h", "b2"]).withColumn("side", F.lit(1))
+    names = ["h", "key", "n", "place", "comp", "small", "side", "b1", "b2"]
+    return first.select(*names).unionByName(second.select(*names))
+
+
+def _small(histograms):
+    """Small histograms, one byte a bucket, of those of ``facts``; also a contraction."""
+
+    def run(batches):
+        for batch in batches:
+            h = _matrix(batch.column(1))
+            h = np.minimum(h[:, :SMALL_BUCKETS] + h[:, SMALL_BUCKETS:], 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in h], pa.binary())], ["key", "small"])
+
+    return histograms.mapInArrow(run, "key long, small binary")
 
 
 def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Classes (doc_id, key, n) and links between them (a, b) that connect just what all links connect."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     made = stored(classes(docs, n, percent), "join-classes")
-    keys = made.select("doc_id", "key", "n")
-    rows = stored(_prefix_rows(made, _map_bits(made.count())), "join-prefixes")
-    regions = rows.groupBy("h").agg(F.min(F.struct("key", "n")).alias("p"), F.max("key").alias("top")).filter("p.key <> top")
-    regions = regions.select("h", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    held = stored(rows.join(regions, "h").distinct(), "join-regions")
+    bits = _map_bits(made.count())
+    rows = stored(_prefix_rows(made, bits), "join-prefixes")
+    last = large_shingles(rows, made)
+    if len(last[0]):
+        drop_folder(made, rows)
+        made = stored(classes(docs, n, percent, last), "join-classes")
+        rows = stored(_prefix_rows(made, bits), "join-prefixes")
+    keys = stored(made.select("doc_id", "key", "n"), "join-keys")
+    regions = rows.groupBy("h").agg(F.min(F.struct("key", "n", "place")).alias("p"), F.max("key").alias("top"), F.count("*").alias("size")).filter("p.key <> top")
+    regions = stored(regions.select("h", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.place").alias("pivot_place"), "size"), "join-regions")
 
-    facts = stored(made.filter("histogram is not null").join(held.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("histogram").alias("histogram")), "join-facts")
+    # The first pivot of each region against all others there.
+    apart = F.col("key") != F.col("pivot")
+    sized = F.lit(100) * F.least("n", "pivot_n") >= F.lit(percent) * F.greatest("n", "pivot_n")
+    both = F.col("n").cast("long") + F.col("pivot_n")
+    placed = F.col("place") + F.col("pivot_place") <= both - 2 * F.ceil(F.lit(percent) * both / F.lit(100 + percent))
+    pairs = stored(rows.join(regions, "h").filter(apart & sized & placed).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "join-pairs")
+    wide = regions.filter("size > 2").select("h", "pivot")
+    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
+    facts = stored(made.filter("histogram is not null").join(wanted.distinct(), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("histogram").alias("histogram")), "join-facts")
 
     def side(x: str) -> DataFrame:
         return facts.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("histogram").alias(f"h_{x}"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.select("a", "b").distinct(), "join-pairs")
+        pairs = stored(pairs.select("a", "b").distinct(), "join-near")
         if pairs.isEmpty():
             return pairs
         wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         texts = _texts(docs, keys, wanted)
         both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-        return stored(_compare(both, n, percent).filter("linked").select("a", "b"), "join-links")
+        links = stored(_compare(both, n, percent).filter("linked").select("a", "b"), "join-links")
+        drop_folder(pairs, texts)
+        return links
 
-    # The first pivot of each region against all others there.
-    apart = F.col("key") != F.col("pivot")
-    sized = F.lit(100) * F.least("n", "pivot_n") >= F.lit(percent) * F.greatest("n", "pivot_n")
-    pairs = held.filter(apart & sized).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     links = verified(_near_pairs(pairs.join(side("b"), "b").join(side("a"), "a"), percent))
+    drop_folder(pairs, facts)
 
     # Regions whose classes, the pivot apart, are in more than one component.
     component = connected(links).select(F.col("node").alias("key"), F.col("label").alias("comp"))
-    inside = held.filter(apart).select("h", "key").join(component, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    open_regions = inside.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("key").alias("first")).filter("c1 <> c2").select("h", "first")
-    left = stored(inside.join(open_regions, "h"), "join-open")
+    inside = stored(rows.join(wide, "h").filter(apart).join(component, "key", "left").select("h", "key", "n", "place", F.coalesce("comp", "key").alias("comp")), "join-inside")
+    open_regions = inside.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).filter("c1 <> c2").select("h", "size")
+    left = inside.join(open_regions, "h")
+    few = made.filter("histogram is not null").select("key", "histogram").join(left.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    left = stored(left.join(_small(few), "key"), "join-open")
+    drop_folder(made, rows, regions, inside)
     if left.isEmpty():
         return keys, links
-    cluster = connected(left.select(F.col("first").alias("a"), F.col("key").alias("b")))
-    members = left.groupBy("key").agg(F.min("comp").alias("comp"), F.collect_set("h").alias("hs"))  # a prefix bounds hs
-    members = members.join(cluster.select(F.col("node").alias("key"), F.col("label").alias("cluster")), "key").join(facts, "key")
-    dealt_out = _blocks(stored(members, "join-members"), block)
-    found = stored(dealt_out.groupBy("cluster", "b1", "b2").applyInArrow(_join_cluster(percent), "a long, b long, comp_a long, comp_b long, far long"), "join-candidates")
+    small = left.filter(F.col("size") <= block)
+    shards = max(1, -(-small.count() // SHARD_ROWS))
+    names = ["h", "key", "n", "place", "comp", "small"]
+    dealt_out = small.select(*names, F.lit(2).alias("side"), F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
+    found = dealt_out.groupBy("shard").applyInArrow(_join_regions(percent), CANDIDATES)
+    large = left.filter(F.col("size") > block)
+    if not large.isEmpty():
+        found = found.unionByName(_blocks(large.dropDuplicates(["h", "key"]).select(*names), block).groupBy("h", "b1", "b2").applyInArrow(_join_regions(percent), CANDIDATES))
+    found = stored(found.distinct(), "join-candidates")
+    drop_folder(left)
     if found.isEmpty():
         return keys, links
 
@@ -416,7 +521,9 @@ def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
     component = connected(links).select(F.col("node").alias("key"), F.col("label").alias("c"))
     rest = found.join(component.withColumnsRenamed({"key": "a", "c": "ca"}), "a", "left").join(component.withColumnsRenamed({"key": "b", "c": "cb"}), "b", "left")
     rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    return keys, links.unionByName(verified(rest))
+    links = links.unionByName(verified(rest))
+    drop_folder(found)
+    return keys, links
 
 
 def keyed_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:

@@ -7,30 +7,50 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Of Spark: whether a query's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, as a URI.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``. Only where that is unset, as in tests on
-    one machine, a folder below /tmp is used.
+    The cluster names the shared folder in ``spark.checkpoint.dir``. Only where that is unset and the session runs on
+    one machine, as in tests, a folder below /tmp is used; elsewhere that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lectern-checkpoints"
-    if "://" not in base:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+        base = "file:///tmp/lectern-checkpoints"
+    if "://" not in base and not base.startswith("file:"):
         base = f"file://{base}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to the shared folder and read from it: lineage ends here and survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The same rows, written to the shared folder and read from it: lineage ends here and survives lost executors.
 
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Delete what a finished step no longer needs."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    The write's own shuffle files are deleted when it has ended; ``drop_folder`` deletes the table.
+    """
+    spark = df.sparkSession
+    path, before = shared_folder(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop_folder(*tables: DataFrame) -> None:
+    """Delete stored tables that no later step reads."""
+    for df in tables:
+        path = getattr(df, "stored_at", None) if "stored_at" not in df.columns else None
+        if path:
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def width(spark: SparkSession) -> int:
