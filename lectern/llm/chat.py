@@ -43,7 +43,7 @@ class Assembler:
     """Builds and reads token sequences; reserved ids start where the vocabulary ends."""
 
     def __init__(self, vocabulary: str | None = None):
-        self.encoder = encoder(vocabulary)
+        self.encoder = encoder(vocabulary, special=False)
         vocab = self.encoder.library.get_vocab()
         self.start = max(vocab.values()) + 1
         self.role_end, self.turn_end = self.start + 1, self.start + 2

@@ -3,6 +3,9 @@
 A byte-level vocabulary never joins what a blank parts: wherever white space follows other text, a token ends. So
 a text is cut there, each distinct piece is encoded once by the library, and the ids of a text are those of its
 pieces in a row. Results equal those of encoding the whole text (tests compare them).
+
+Strings of the vocabulary's special tokens that occur in a text are those tokens, as the library has it by default,
+and text is cut around them first; with ``special=False`` they are ordinary text.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ def cut_pieces(text: str) -> list[str]:
 class PieceEncoder:
     """Ids as little-endian unsigned 32-bit bytes. The memo holds at most ``limit`` pieces of one batch's end."""
 
-    def __init__(self, path: str | None = None, limit: int = 400_000, keep: int = 8):
+    def __init__(self, path: str | None = None, limit: int = 400_000, keep: int = 8, special: bool = True):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,7 +51,9 @@ class PieceEncoder:
 
             path = public_tokenizers.path(VOCABULARY)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not special
+        names = sorted((t.content for t in self.library.get_added_tokens_decoder().values() if t.special), key=len, reverse=True) if special else []
+        self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.limit, self.keep, self.memo = limit, keep, {}
         newline = self.library.encode("\n", add_special_tokens=False).ids
         self.newline = newline[0] if len(newline) == 1 else None
@@ -89,13 +94,19 @@ class PieceEncoder:
         for p in marked:
             memo[p] = memo[p[:-1]] + self.marks[p[-1]]
 
+    def cut(self, text: str) -> list[str]:
+        parts = self.special.split(text) if self.special else [text]
+        if len(parts) == 1:
+            return cut_pieces(text)
+        return [p for k, part in enumerate(parts) if part for p in ([part] if k % 2 else cut_pieces(part))]
+
     def pieces(self, texts: Iterable[str]) -> list[list[str]]:
         """Pieces of each text; all of them are in the memo until the next call."""
         if len(self.memo) > self.limit:
             self.memo = {k: v for k, v in self.memo.items() if len(k) <= self.keep}
             if len(self.memo) > self.limit:
                 self.memo = {}
-        cut = [cut_pieces(t) for t in texts]
+        cut = [self.cut(t) for t in texts]
         new = set().union(*cut).difference(self.memo)
         if new:
             self._learn(new)
@@ -107,14 +118,14 @@ class PieceEncoder:
         return [b"".join(itemgetter(*p)(memo)) if len(p) > 1 else memo[p[0]] for p in cut]
 
 
-_encoders: dict[str | None, PieceEncoder] = {}
+_encoders: dict[tuple[str | None, bool], PieceEncoder] = {}
 
 
-def encoder(path: str | None = None) -> PieceEncoder:
+def encoder(path: str | None = None, special: bool = True) -> PieceEncoder:
     """One for each worker process and vocabulary file, as its memo is worth keeping between tasks."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (path, special) not in _encoders:
+        _encoders[path, special] = PieceEncoder(path, special=special)
+    return _encoders[path, special]
 
 
 def text_runs(texts: list, most: int = 1 << 21) -> Iterator[slice]:

@@ -20,7 +20,6 @@ from lectern.llm.storage import shared_folder, stored
 from lectern.session import table
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-LIBRARY.encode_special_tokens = True
 
 
 def ids_of(text):
@@ -37,6 +36,14 @@ def test_pieces_equal_whole_texts(text):
     assert np.frombuffer(encoder().encode([text])[0], "<u4").tolist() == ids_of(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "a", "word", ".", "\0"]), max_size=12))
+def test_special_tokens_in_texts(parts):
+    text = "".join(parts)
+    assert np.frombuffer(encoder().encode([text])[0], "<u4").tolist() == ids_of(text)
+    assert 50256 not in np.frombuffer(encoder(special=False).encode([text])[0], "<u4")
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=300), st.booleans())
 def test_planes_round_trip(ids, bits):
