@@ -20,11 +20,13 @@ every pivot. Therefore regions are made in two levels.
 Two bounds hold before any distance is taken. Linked sets differ in size by the similarity at most, and the places i
 and j of their least common shingle add up to no more than their symmetric difference, ``n + m - 2 T``, as all that
 is before them is not common. Distances to document pivots are taken in a contraction of the space: a set's histogram
-over 128 hash buckets, or 64 in the second step of level 2. The L1 distance of two histograms is a metric and never
-more than the sets' symmetric difference, which is at most ``(1 - t) / (1 + t) (n + m)`` for linked sets of sizes n
-and m. It parts unrelated texts well, where 1 - Jaccard is 1 for all, and needs no text. Pairs that pass are compared
-exactly by their texts, the nearest pairs of two components first; pairs within a component are skipped, as components
-need only enough links to connect them. No link between components is lost.
+over 256 hash buckets, of one byte each. The L1 distance of two histograms is a metric and never more than the sets'
+symmetric difference, which is at most ``(1 - t) / (1 + t) (n + m)`` for linked sets of sizes n and m. It parts
+unrelated texts well, where 1 - Jaccard is 1 for all, and needs no text. Pairs that pass are compared exactly by their
+texts; pairs within a component are skipped, as components need only enough links to connect them. So that a region
+of many near copies is not compared all with all, level 2 has rounds: in the first, each class is paired with the few
+nearest ones of other components, then components are joined, and so on with more of them, until in the last round
+all that are still of different components are paired. No link between components is lost.
 
 Sets are compared as 64-bit hashes of shingles, and classes are known by a 64-bit hash of the set.
 
@@ -39,7 +41,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.blobs import dealt, pack, pack_sorted, unpack, unpack_sorted
@@ -56,13 +58,13 @@ BATCH_BYTES, PART_BYTES = 8 << 20, 2 << 20
 MAP_BITS_A_DOCUMENT, MAP_BITS = 128, 1 << 28
 #: Classes whose ids may be broadcast to fetch their texts; beyond, that is a shuffled join.
 BROADCAST_ROWS = 500_000
-#: Classes of a cluster, or of a block of one, that one task joins.
-BLOCK = 20_000
+#: Classes of a region, or of a block of one, that one task joins.
+BLOCK = 4_000
 #: Rows of small regions that are dealt to one task.
 SHARD_ROWS = 40_000
-LEAF, PIVOTS, BUCKETS, SMALL_BUCKETS = 64, 8, 128, 64
-#: Pairs of two components that are compared first.
-FIRST = 3
+LEAF, PIVOTS, BUCKETS = 64, 8, 256
+#: How many of a class's nearest ones are tried in each round of level 2; at last all.
+ROUNDS = (4, 64, None)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -97,7 +99,7 @@ def set_key(shingles: np.ndarray) -> int:
 
 def histogram(shingles: np.ndarray) -> bytes:
     counts = np.bincount((shingles & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-    return np.minimum(counts, 65535).astype("<u2").tobytes()
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
@@ -291,11 +293,11 @@ def _compare(pairs: DataFrame, n: int, percent: int) -> DataFrame:
 
 def _near(h1: np.ndarray, h2: np.ndarray, n1, n2, percent: int) -> np.ndarray:
     """Whether histograms are near enough for their sets to be linked."""
-    return np.abs(h1 - h2).sum(axis=1) * (100 + percent) <= (n1 + n2) * (100 - percent)
+    return np.abs(h1 - h2).sum(axis=1, dtype=np.int64) * (100 + percent) <= (n1 + n2) * (100 - percent)
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, BUCKETS).astype(np.int32)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
 
 
 def _near_pairs(pairs: DataFrame, percent: int) -> DataFrame:
@@ -318,12 +320,14 @@ def least_overlap(both, percent: int):
 
 
 class Region:
-    """Classes of one region by their small histograms. ``pairs`` gets all that may be linked."""
+    """Classes of one region by their histograms. ``pairs`` gets rows (x, y, distance) of all that may be linked, or of each
+    core class's ``most`` nearest ones; ``more`` says whether any were left out."""
 
-    def __init__(self, histograms: np.ndarray, sizes: np.ndarray, places: np.ndarray, component: np.ndarray, side: np.ndarray, percent: int):
-        self.histograms, self.sizes, self.places, self.component, self.side, self.percent = histograms, sizes, places, component, side, percent
+    def __init__(self, histograms: np.ndarray, sizes: np.ndarray, places: np.ndarray, component: np.ndarray, side: np.ndarray, percent: int, most: int | None = None):
+        self.histograms, self.sizes, self.places, self.component, self.side, self.percent, self.most = histograms, sizes, places, component, side, percent, most
         self.radius = sizes * ((100 - percent) / percent)
         self.pairs: list[np.ndarray] = []
+        self.more = False
 
     def test(self, core: np.ndarray, everyone: np.ndarray) -> None:
         """Compare each of the core with all of the others. The core comes first in everyone."""
@@ -336,15 +340,27 @@ class Region:
             good &= (side[c, None] != side) | (side == 2)
             good &= (100 * m >= self.percent * n) & (100 * n >= self.percent * m)
             good &= place[c, None] + place <= m + n - 2 * least_overlap(m + n, self.percent)
-            # A pair within the core is met once.
-            good[:, : len(core)] &= np.arange(c.start, c.stop)[:, None] < np.arange(len(core))
+            if self.most is None:  # a pair within the core is met once
+                good[:, : len(core)] &= np.arange(c.start, c.stop)[:, None] < np.arange(len(core))
             x, y = np.nonzero(good)
             x, y = core[x + i], everyone[y]
-            for k in range(0, len(x), 1 << 16):
-                a, b = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
-                near = _near(self.histograms[a], self.histograms[b], self.sizes[a], self.sizes[b], self.percent)
-                if near.any():
-                    self.pairs.append(np.stack([a[near], b[near]], axis=1))
+            found = []
+            for k in range(0, len(x), 1 << 15):
+                a, b = x[k : k + (1 << 15)], y[k : k + (1 << 15)]
+                far = np.abs(self.histograms[a] - self.histograms[b]).sum(axis=1, dtype=np.int64)
+                near = far * (100 + self.percent) <= (self.sizes[a] + self.sizes[b]) * (100 - self.percent)
+                found.append(np.stack([a[near], b[near], far[near]], axis=1))
+            if found:
+                self.pairs.append(self._nearest(np.concatenate(found)))
+
+    def _nearest(self, rows: np.ndarray) -> np.ndarray:
+        if self.most is None or not len(rows):
+            return rows
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
+        first = np.concatenate(([True], np.diff(rows[:, 0]) != 0))
+        rank = np.arange(len(rows)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        self.more |= bool((rank >= self.most).any())
+        return rows[rank < self.most]
 
     def join(self, core: np.ndarray, window: np.ndarray) -> None:
         """Pairs within the core, and of core and window."""
@@ -354,7 +370,7 @@ class Region:
         if len(everyone) <= LEAF:
             return self.test(core, everyone)
         pivots = core[np.linspace(0, len(core) - 1, min(PIVOTS, len(core))).astype(int)]
-        distance = np.stack([np.abs(self.histograms[everyone] - self.histograms[p]).sum(axis=1) for p in pivots], axis=1)
+        distance = np.stack([np.abs(self.histograms[everyone] - self.histograms[p]).sum(axis=1, dtype=np.int64) for p in pivots], axis=1)
         nearest = distance[: len(core)].argmin(axis=1)
         parts = []
         for k in range(len(pivots)):
@@ -373,34 +389,31 @@ class Region:
             self.test(core, everyone)
 
 
-CANDIDATES = "a long, b long, comp_a long, comp_b long, far long"
+CANDIDATES = "a long, b long, more boolean"
 
 
-def _join_regions(percent: int):
+def _join_regions(percent: int, most: int | None):
     """Join the regions of one task, each by itself."""
 
     def run(table: pa.Table) -> pa.Table:
         key, n, place, comp, side, h = (table.column(c).to_numpy() for c in ("key", "n", "place", "comp", "side", "h"))
-        histograms = np.frombuffer(b"".join(table.column("small").to_pylist()), np.uint8).reshape(-1, SMALL_BUCKETS)
+        histograms = _matrix(table.column("histogram"))
         order = np.lexsort((key, h))
         # Repeats of a class in a region come from runs of different partitions.
         order = order[np.concatenate(([True], (np.diff(h[order]) != 0) | (np.diff(key[order]) != 0)))]
         ends = np.flatnonzero(np.concatenate((np.diff(h[order]) != 0, [True]))) + 1
-        found, start = [], 0
+        found, start, more = [np.zeros((0, 2), np.int64)], 0, False
         for end in ends.tolist():
             at = order[start:end]
             start = end
-            region = Region(histograms[at].astype(np.int32), n[at].astype(np.int64), place[at].astype(np.int64), comp[at], side[at], percent)
+            region = Region(histograms[at], n[at].astype(np.int64), place[at].astype(np.int64), comp[at], side[at], percent, most)
             names, number = np.unique(comp[at], return_counts=True)
             largest = comp[at] == names[number.argmax()]  # no pair lies within it
             region.join(np.flatnonzero(~largest), np.flatnonzero(largest))
-            found += [at[p] for p in region.pairs]
-        x = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        x = np.where((key[x[:, 0]] > key[x[:, 1]])[:, None], x[:, ::-1], x)
-        _, first = np.unique(np.stack([key[x[:, 0]], key[x[:, 1]]], axis=1), axis=0, return_index=True)
-        a, b = x[first, 0], x[first, 1]
-        far = np.abs(histograms[a].astype(np.int64) - histograms[b]).sum(axis=1)
-        return pa.table({"a": key[a], "b": key[b], "comp_a": comp[a], "comp_b": comp[b], "far": pa.array(far, pa.int64())})
+            more |= region.more
+            found += [key[at[p[:, :2]]] for p in region.pairs]
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "more": pa.array([more] * len(pairs), pa.bool_())})
 
     return run
 
@@ -425,7 +438,7 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
     own = F.concat_ws("#", F.col("comp").cast("string"), F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / block)).cast("string"))
     mixed = F.concat(F.lit("m"), F.pmod(F.xxhash64("key"), F.greatest(F.ceil(F.col("rest") / block), F.lit(1))).cast("string"))
     placed = members.join(parts.filter(big).select("h", "comp", "size"), ["h", "comp"], "left").join(rest, "h")
-    placed = stored(placed.select("h", "key", "n", "place", "comp", "small", F.when(F.col("size").isNotNull(), own).otherwise(mixed).alias("block"), F.when(F.col("size").isNotNull(), F.col("comp")).alias("alone")), "join-blocks")
+    placed = stored(placed.select("h", "key", "n", "place", "comp", "histogram", F.when(F.col("size").isNotNull(), own).otherwise(mixed).alias("block"), F.when(F.col("size").isNotNull(), F.col("comp")).alias("alone")), "join-blocks")
     there = placed.select("h", "block", "alone").distinct()
     left = there.select("h", F.col("block").alias("b1"), F.col("alone").alias("alone1"))
     right = there.select("h", F.col("block").alias("b2"), F.col("alone").alias("alone2"))
@@ -433,22 +446,10 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
     pairs = stored(pairs, "join-block-pairs")
     first = placed.withColumnRenamed("block", "b1").join(pairs, ["h", "b1"]).withColumn("side", F.when(F.col("b1") == F.col("b2"), 2).otherwise(0))
     second = placed.withColumnRenamed("block", "b2").join(pairs.filter("b1 < b2"), ["h", "b2"]).withColumn("side", F.lit(1))
-    names = ["h", "key", "n", "place", "comp", "small", "side", "b1", "b2"]
+    names = ["h", "key", "n", "place", "comp", "histogram", "side", "b1", "b2"]
     return first.select(*names).unionByName(second.select(*names))
 
 
-def _small(histograms):
-    """Small histograms, one byte a bucket, of those of ``facts``; also a contraction."""
-
-    def run(batches):
-        for batch in batches:
-            h = _matrix(batch.column(1))
-            h = np.minimum(h[:, :SMALL_BUCKETS] + h[:, SMALL_BUCKETS:], 255).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in h], pa.binary())], ["key", "small"])
-
-    return histograms.mapInArrow(run, "key long, small binary")
-
-
 def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Classes (doc_id, key, n) and links between them (a, b) that connect just what all links connect."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -494,35 +495,35 @@ def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
     # Regions whose classes, the pivot apart, are in more than one component.
     component = connected(links).select(F.col("node").alias("key"), F.col("label").alias("comp"))
     inside = stored(rows.join(wide, "h").filter(apart).join(component, "key", "left").select("h", "key", "n", "place", F.coalesce("comp", "key").alias("comp")), "join-inside")
-    open_regions = inside.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).filter("c1 <> c2").select("h", "size")
-    left = inside.join(open_regions, "h")
-    few = made.filter("histogram is not null").select("key", "histogram").join(left.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    left = stored(left.join(_small(few), "key"), "join-open")
-    drop_folder(made, rows, regions, inside)
-    if left.isEmpty():
-        return keys, links
-    small = left.filter(F.col("size") <= block)
-    shards = max(1, -(-small.count() // SHARD_ROWS))
-    names = ["h", "key", "n", "place", "comp", "small"]
-    dealt_out = small.select(*names, F.lit(2).alias("side"), F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
-    found = dealt_out.groupBy("shard").applyInArrow(_join_regions(percent), CANDIDATES)
-    large = left.filter(F.col("size") > block)
-    if not large.isEmpty():
-        found = found.unionByName(_blocks(large.dropDuplicates(["h", "key"]).select(*names), block).groupBy("h", "b1", "b2").applyInArrow(_join_regions(percent), CANDIDATES))
-    found = stored(found.distinct(), "join-candidates")
-    drop_folder(left)
-    if found.isEmpty():
-        return keys, links
-
-    # The nearest pairs of two components first; then those whose components are still apart.
-    order = Window.partitionBy(F.least("comp_a", "comp_b"), F.greatest("comp_a", "comp_b")).orderBy("far", "a", "b")
-    first = verified(found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= FIRST))
-    links = links.unionByName(first)
-    component = connected(links).select(F.col("node").alias("key"), F.col("label").alias("c"))
-    rest = found.join(component.withColumnsRenamed({"key": "a", "c": "ca"}), "a", "left").join(component.withColumnsRenamed({"key": "b", "c": "cb"}), "b", "left")
-    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    links = links.unionByName(verified(rest))
-    drop_folder(found)
+    drop_folder(rows, regions)
+    few = made.filter("histogram is not null").select("key", "histogram")
+
+    names = ["h", "key", "n", "place", "comp", "histogram"]
+    for most in ROUNDS:
+        open_regions = inside.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).filter("c1 <> c2").select("h", "size")
+        left = stored(inside.join(open_regions, "h"), "join-open")
+        seen = few.join(left.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+        members = stored(left.join(seen, "key"), "join-members")
+        small = members.filter(F.col("size") <= block)
+        shards = max(1, -(-small.count() // SHARD_ROWS))
+        dealt_out = small.select(*names, F.lit(2).alias("side"), F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
+        found = dealt_out.groupBy("shard").applyInArrow(_join_regions(percent, most), CANDIDATES)
+        large = members.filter(F.col("size") > block)
+        if not large.isEmpty():
+            found = found.unionByName(_blocks(large.dropDuplicates(["h", "key"]).select(*names), block).groupBy("h", "b1", "b2").applyInArrow(_join_regions(percent, most), CANDIDATES))
+        found = stored(found.groupBy("a", "b").agg(F.bool_or("more").alias("more")), "join-candidates")
+        drop_folder(members, inside)
+        inside = left
+        more = not found.filter("more").isEmpty()
+        if not found.isEmpty():
+            links = links.unionByName(verified(found))
+        drop_folder(found)
+        if not more:
+            break
+        component = connected(links).select(F.col("node").alias("key"), F.col("label").alias("now"))
+        inside = stored(left.select("h", "key", "n", "place", "comp").join(component, "key", "left").select("h", "key", "n", "place", F.coalesce("now", "comp").alias("comp")), "join-inside")
+        drop_folder(left)
+    drop_folder(made, inside)
     return keys, links
 
 

@@ -89,6 +89,7 @@ def near_copies(seed=5):
 @pytest.mark.parametrize("block", [4000, 20])
 def test_drifting_copies(spark, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LEAF", 8)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", (1, 2, None))
     docs = spark.createDataFrame(near_copies(), "doc_id long, text string").repartition(5)
     check(docs, block=block)
     if block == 20:
@@ -115,11 +116,11 @@ def test_recursion_misses_no_link():
         s = base[i % 12].copy()
         s[rng.integers(0, 60, rng.integers(0, 14))] = rng.integers(0, 2**63, 1)[0]
         sets.append(np.unique(s))
-    histograms = np.stack([np.frombuffer(jaccard_join.histogram(s), "<u2") for s in sets]).astype(np.int32)
+    histograms = np.stack([np.frombuffer(jaccard_join.histogram(s), np.uint8) for s in sets]).astype(np.int16)
     nothing = np.zeros(400, np.int64)
     region = jaccard_join.Region(histograms, np.array([len(s) for s in sets]), nothing, np.arange(400), nothing + 2, 85)
     region.join(np.arange(350), np.arange(350, 400))
-    found = [tuple(sorted(p)) for x in region.pairs for p in x.tolist()]
+    found = [tuple(sorted(p)) for x in region.pairs for p in x[:, :2].tolist()]
     linked = set()
     for i in range(400):
         for j in range(min(i, 350)):
@@ -128,3 +129,8 @@ def test_recursion_misses_no_link():
                 linked.add((j, i))
     assert linked and linked <= set(found)
     assert len(found) == len(set(found)) < 0.2 * 400 * 400 / 2
+    few = jaccard_join.Region(histograms, np.array([len(s) for s in sets]), nothing, np.arange(400), nothing + 2, 85, 2)
+    few.test(np.arange(400), np.arange(400))
+    near = np.concatenate(few.pairs)
+    assert few.more and np.bincount(near[:, 0]).max() == 2
+    assert {tuple(sorted(p)) for p in near[:, :2].tolist()} <= set(found) | {tuple(sorted(p)) for p in near[:, :2].tolist() if min(p) >= 350}
