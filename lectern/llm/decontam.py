@@ -1,17 +1,20 @@
 """Operator 3. Benchmark decontamination by suffix arrays of the training texts.
 
 Words are lower-cased (A-Z) runs of ASCII digits, letters and all code points above 127. Every shard (a few MB of
-whole documents of one batch) gets a suffix array over its words: places in the order of the words that follow
-them. Each test suffix, that is each window of an item, is binary-searched in it, which yields all places where it
-occurs; places that continue each other on one diagonal make up the longest verbatim matches. Shards need no
+whole documents of one batch) gets a suffix array over its words: places in the order of all the words that follow
+them, made by prefix doubling. Every test suffix, that is each place of an item that has a whole window after it, is
+binary-searched in it; from its neighbours there come the longest verbatim matches and where they are. Shards need no
 shuffle, and the test side is sent to them in blocks of bounded size, one pass for each block.
 
-The arrays are sparse and of bounded depth, both without loss: a place can only match if the words of a whole
-window from there on are in the benchmark's vocabulary, so others are left out, and order beyond a window's length
-decides nothing. Ranks of words stand in for words; a match of ranks is a match of 64-bit word hashes.
+The arrays are sparse without loss: only places where some window of the test side stands are suffixes, and only words
+inside such windows are ranked, as no match of a window's length leaves them. Windows are found by 64-bit hashes and
+compared word by word; a match of words is a match of their 64-bit hashes. Work and memory grow with the words of
+a shard and of the items that occur in it, not with the product of their occurrences.
 
 Edge cases: null or empty texts have no words and no hits; items without words have no windows; an item of fewer
-words than a window is one window. Repeated rows are judged each. Empty tables give no rows, or no hits.
+words than a window is one window. Repeated rows are judged each. Very long texts are one shard each. Empty tables give
+no rows, or no hits. Columns of ``docs`` that are named like a result give way to it; ``decontaminate`` returns all
+columns of ``docs`` as they were. The size of the benchmark is asked while the result is planned.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.wordarrays import ALNUM, buffers, runs, split_words
+from lectern.llm.wordarrays import ALNUM, buffers, grams, runs, split_words, window_hashes
 
 WINDOW = 10
 #: Bytes of benchmark text sent to the executors at once, and of documents in a shard.
@@ -32,24 +35,28 @@ BLOCK_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
 
 
 @dataclass
-class Tests:
-    """Windows of the items by their length: the words' ranks as sortable bytes, and where they are."""
+class Windows:
+    """Distinct windows of one length: their sorted hashes, a place of each, and its items (flat, by offsets); all places
+    of windows, which are the test suffixes, and the window at each."""
 
-    vocabulary: np.ndarray
-    lengths: list[int]
-    windows: list[np.ndarray]
-    items: list[np.ndarray]
-    item_offsets: list[np.ndarray]
-    places: list[np.ndarray]
-    place_offsets: list[np.ndarray]
+    length: int
+    hashes: np.ndarray
+    example: np.ndarray
+    items: np.ndarray
+    offsets: np.ndarray
+    places: np.ndarray
+    window: np.ndarray
 
 
-def _keys(ranks: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
-    """The ranks of n words from each place, big-endian, so that bytes sort as words do."""
-    table = np.empty((len(places), n), dtype=">u4")
-    for k in range(n):
-        table[:, k] = ranks[places + k]
-    return table.view(f"S{4 * n}").reshape(-1)
+@dataclass
+class Tests:
+    """Items as ranks of words in their vocabulary, the item and the row of each word, and windows by their length."""
+
+    vocabulary: np.ndarray
+    ranks: np.ndarray
+    owner: np.ndarray
+    row: np.ndarray
+    windows: list[Windows]
 
 
 def _grouped(group: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,20 +71,15 @@ def prepare(items: list[tuple[int, str | None]], window: int = WINDOW) -> Tests:
     hashes = words.hashes()
     vocabulary = np.unique(hashes)
     ranks = np.searchsorted(vocabulary, hashes).astype(np.int64) + 1
-    counts, ids = words.counts(), np.array([i for i, _ in items], dtype=np.int64)
-    tests = Tests(vocabulary, [], [], [], [], [], [])
-    for n in sorted({min(window, int(c)) for c in counts if c}):
-        chosen = np.flatnonzero(np.minimum(counts, window) == n)
-        starts = [np.arange(words.offsets[i], words.offsets[i] + counts[i] - n + 1) for i in chosen]
-        places = np.concatenate(starts)
-        owner = np.repeat(ids[chosen], [len(s) for s in starts])
-        distinct, group = np.unique(_keys(ranks, places, n), return_inverse=True)
-        tests.lengths.append(n)
-        tests.windows.append(distinct)
-        for value, flat, offsets in ((owner, tests.items, tests.item_offsets), (places, tests.places, tests.place_offsets)):
-            a, b = _grouped(group.astype(np.int64), value, len(distinct))
-            flat.append(a)
-            offsets.append(b)
+    counts = words.counts()
+    tests = Tests(vocabulary, ranks, np.repeat(np.array([i for i, _ in items], np.int64), counts), words.owners(), [])
+    ahead = np.repeat(words.offsets[1:], counts) - np.arange(len(ranks))
+    own = np.repeat(np.minimum(counts, window), counts)
+    for n in np.unique(own).tolist():
+        places = np.flatnonzero((own == n) & (ahead >= n))
+        distinct, first, group = np.unique(grams(ranks.astype(np.uint64), n)[places], return_index=True, return_inverse=True)
+        flat, offsets = _grouped(group.astype(np.int64), tests.owner[places], len(distinct))
+        tests.windows.append(Windows(n, distinct, places[first], flat, offsets, places, group.astype(np.int64)))
     return tests
 
 
@@ -89,13 +91,91 @@ def _expand(index: np.ndarray, offsets: np.ndarray, flat: np.ndarray) -> tuple[n
     return flat[first + np.arange(len(which))], which
 
 
+class Suffixes:
+    """Ranks of all suffixes of some strings of numbers, by prefix doubling.
+
+    ``last`` is the place after each place's string. ``levels[k]`` numbers the first 2 ** k words from each place in
+    order (fewer where the string ends, which sorts first).
+    """
+
+    def __init__(self, words: np.ndarray, last: np.ndarray):
+        here = np.arange(len(words))
+        self.last, self.levels = last, [np.unique(words, return_inverse=True)[1]]
+        step, longest = 1, int((last - here).max()) if len(words) else 0
+        while step < longest:
+            number = self.levels[-1]
+            after = np.where(here + step < last, number[np.minimum(here + step, len(words) - 1)] + 1, 0)
+            self.levels.append(np.unique(number * (len(words) + 1) + after, return_inverse=True)[1])
+            step *= 2
+
+    @property
+    def rank(self) -> np.ndarray:
+        return self.levels[-1]
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many words from the places a and b on are the same."""
+        total, a, b = np.zeros(len(a), np.int64), a.copy(), b.copy()
+        left = np.minimum(self.last[a] - a, self.last[b] - b)
+        for k in range(len(self.levels) - 1, -1, -1):
+            inside = np.flatnonzero(left >= 1 << k)
+            same = inside[self.levels[k][a[inside]] == self.levels[k][b[inside]]]
+            for x in (total, a, b):
+                x[same] += 1 << k
+            left[same] -= 1 << k
+        return total
+
+
+def _covered(places: np.ndarray, n: int, total: int) -> np.ndarray:
+    """Flags of the words inside windows of n words at places."""
+    cover = np.bincount(places, minlength=total + 1) - np.bincount(places + n, minlength=total + 1)
+    return np.cumsum(cover[:total]) > 0
+
+
+def _ends(chosen: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For words at chosen places, the index after the run of consecutive places of one owner that each is in."""
+    cut = np.concatenate(((np.diff(chosen) != 1) | (np.diff(owner[chosen]) != 0), [True])) if len(chosen) else np.zeros(0, bool)
+    stops = np.flatnonzero(cut) + 1
+    return stops[np.searchsorted(stops, np.arange(len(chosen)), side="right")] if len(chosen) else stops
+
+
+def _longest(tests: Tests, windows: Windows, ranks: np.ndarray, owner: np.ndarray, place: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest match from each place where a window stands, and a place of an item it is with. ``owner`` is the
+    document of each word."""
+    there = np.zeros(len(windows.hashes), bool)
+    there[window] = True
+    tested = windows.places[there[windows.window]]
+    ours = np.flatnonzero(_covered(place, windows.length, len(ranks)))
+    theirs = np.flatnonzero(_covered(tested, windows.length, len(tests.ranks)))
+    words = np.concatenate([ranks[ours], tests.ranks[theirs]])
+    last = np.concatenate([_ends(ours, owner), _ends(theirs, tests.row) + len(ours)])
+    suffixes = Suffixes(words, last)
+    at = np.searchsorted(ours, place)  # the suffixes of the array
+    test = np.searchsorted(theirs, tested) + len(ours)
+    array = at[np.argsort(suffixes.rank[at], kind="stable")]
+    test = test[np.argsort(suffixes.rank[test], kind="stable")]
+    # Where each test suffix belongs in the array; its neighbours share the most words with it.
+    found = np.searchsorted(suffixes.rank[array], suffixes.rank[test], side="left")
+    after = np.searchsorted(found, np.arange(len(array)), side="right")
+    best, best_at = np.zeros(len(array), np.int64), np.zeros(len(array), np.int64)
+    for side in (after - 1, after):
+        inside = np.flatnonzero((side >= 0) & (side < len(test)))
+        n = suffixes.common(array[inside], test[side[inside]])
+        better = inside[n > best[inside]]
+        best_at[better] = theirs[test[side[better]] - len(ours)]
+        best[inside] = np.maximum(best[inside], n)
+    length, item = np.zeros(len(ours), np.int64), np.zeros(len(ours), np.int64)
+    length[array], item[array] = best, best_at
+    return length[at], item[at]
+
+
 def search(tests: Tests, data: np.ndarray, bounds: np.ndarray):
-    """Matches in one shard: numbers of words, hit words (flags), pairs (document, item), longest matches."""
+    """Matches in one shard: words, hit words (flags), pairs (document, item), and for documents that have any, the
+    longest match as rows (document, words, first word, item)."""
     words = split_words(data, bounds, ALNUM)
     counts, n = words.counts(), len(words.starts)
-    cover = np.zeros(n + 1, np.int64)
-    longest = np.zeros(len(counts), np.int64)
+    hit = np.zeros(n, bool)
     found: list[np.ndarray] = []
+    matches: list[np.ndarray] = []
     if n and len(tests.vocabulary):
         hashes = words.hashes()
         at = np.minimum(np.searchsorted(tests.vocabulary, hashes), len(tests.vocabulary) - 1)
@@ -105,42 +185,47 @@ def search(tests: Tests, data: np.ndarray, bounds: np.ndarray):
         stop = np.minimum.accumulate(stop[::-1])[::-1]
         ahead = np.minimum(stop, np.repeat(words.offsets[1:], counts)) - np.arange(n)
         owner = words.owners()
-        diagonals = []
-        for k, length in enumerate(tests.lengths):
-            places = np.flatnonzero(ahead >= length)
-            if not len(places):
+        for windows in tests.windows:
+            k = windows.length
+            place = np.flatnonzero(ahead >= k)
+            if not len(place):
                 continue
-            keys = _keys(ranks, places, length)
-            order = np.argsort(keys, kind="stable")
-            array, keys = places[order], keys[order]
-            low = np.searchsorted(keys, tests.windows[k], side="left")
-            high = np.searchsorted(keys, tests.windows[k], side="right")
-            tested = np.flatnonzero(high > low)
-            if not len(tested):
+            keys = _grams_at(ranks, place, k)
+            window = np.minimum(np.searchsorted(windows.hashes, keys), len(windows.hashes) - 1)
+            good = windows.hashes[window] == keys
+            place, window = place[good], window[good]
+            same = np.ones(len(place), bool)
+            for j in range(k):
+                same &= ranks[place + j] == tests.ranks[windows.example[window] + j]
+            place, window = place[same], window[same]
+            if not len(place):
                 continue
-            size = (high - low)[tested]
-            window = np.repeat(tested, size)
-            place = array[np.repeat(low[tested] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(len(window))]
-            np.add.at(cover, place, 1)
-            np.add.at(cover, place + length, -1)
-            item, which = _expand(window, tests.item_offsets[k], tests.items[k])
-            found.append(np.unique(np.stack([owner[place[which]], item], axis=1), axis=0))
-            there, which = _expand(window, tests.place_offsets[k], tests.places[k])
-            diagonals.append(np.stack([place[which] - there, place[which], np.full(len(there), length)], axis=1))
-        if diagonals:
-            d = np.concatenate(diagonals)
-            d = d[np.lexsort((d[:, 1], d[:, 0]))]
-            first = np.flatnonzero(np.concatenate(([True], (np.diff(d[:, 0]) != 0) | (np.diff(d[:, 1]) != 1))))
-            last = np.concatenate((first[1:], [len(d)])) - 1
-            np.maximum.at(longest, owner[d[first, 1]], d[last, 1] - d[first, 1] + d[last, 2])
-    hit = np.cumsum(cover[:-1]) > 0
+            hit |= _covered(place, k, n)
+            once = np.unique(np.stack([owner[place], window], axis=1), axis=0)
+            item, which = _expand(once[:, 1], windows.offsets, windows.items)
+            found.append(np.unique(np.stack([once[which, 0], item], axis=1), axis=0))
+            length, their = _longest(tests, windows, ranks, owner, place, window)
+            matches.append(np.stack([owner[place], length, place - words.offsets[owner[place]], tests.owner[their]], axis=1))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return words, hit, pairs, longest
+    longest = np.concatenate(matches) if matches else np.zeros((0, 4), np.int64)
+    longest = longest[np.lexsort((longest[:, 2], -longest[:, 1], longest[:, 0]))]
+    return words, hit, pairs, longest[np.unique(longest[:, 0], return_index=True)[1]]
+
+
+def _grams_at(ranks: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """``grams`` at some places only."""
+    if 2 * len(places) > len(ranks):
+        return grams(ranks.astype(np.uint64), n)[places]
+    table = np.empty((len(places), n), np.uint64)
+    for k in range(n):
+        table[:, k] = ranks[places + k]
+    return window_hashes(table)
 
 
-#: Columns that a pass adds: words; hit spans [start, end) in words; items; words of the longest verbatim match.
-FOUND = [("n_words", pa.int64()), ("hit_spans", pa.list_(pa.list_(pa.int32()))), ("hit_items", pa.list_(pa.int64())), ("longest_match", pa.int64())]
-FOUND_SPARK = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("hit_items", T.ArrayType(T.LongType())), T.StructField("longest_match", T.LongType())]
+#: Columns that a pass adds: words; hit spans [start, end) in words; items; words, first word and item of the longest
+#: verbatim match, the first one of them.
+FOUND = [("n_words", pa.int64()), ("hit_spans", pa.list_(pa.list_(pa.int32()))), ("hit_items", pa.list_(pa.int64())), ("longest_match", pa.int64()), ("longest_at", pa.int64()), ("longest_item", pa.int64())]
+FOUND_SPARK = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("hit_items", T.ArrayType(T.LongType())), T.StructField("longest_match", T.LongType()), T.StructField("longest_at", T.LongType()), T.StructField("longest_item", T.LongType())]
 
 
 def _pass(docs: DataFrame, tests: Tests, first: bool) -> DataFrame:
@@ -153,7 +238,7 @@ def _pass(docs: DataFrame, tests: Tests, first: bool) -> DataFrame:
             data, bounds = buffers(batch.column(kept.index("text")))
             for i, j in runs(bounds, SHARD_BYTES):
                 words, hit, pairs, longest = search(sent.value, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                before = None if first else [batch.column(len(kept) + k).slice(i, j - i).to_pylist() for k in range(1, 4)]
+                before = None if first else [batch.column(len(kept) + k).slice(i, j - i).to_pylist() for k in range(1, len(FOUND))]
                 spans, items = [[] for _ in range(j - i)], [[] for _ in range(j - i)]
                 for doc in np.unique(pairs[:, 0]).tolist():
                     a, b = int(words.offsets[doc]), int(words.offsets[doc + 1])
@@ -161,12 +246,15 @@ def _pass(docs: DataFrame, tests: Tests, first: bool) -> DataFrame:
                     spans[doc] = np.stack([np.flatnonzero(e == 1), np.flatnonzero(e == -1)], axis=1).tolist()
                 for doc, item in pairs.tolist():
                     items[doc].append(item)
-                most = longest.tolist()
+                most = [(0, None, None)] * (j - i)
+                for doc, length, start, item in longest.tolist():
+                    most[doc] = (length, start, item)
                 if before:
                     spans = [_union(s, o) for s, o in zip(spans, before[0], strict=True)]
                     items = [sorted({*s, *o}) for s, o in zip(items, before[1], strict=True)]
-                    most = [max(s, o) for s, o in zip(most, before[2], strict=True)]
-                new = [pa.array(x, kind) for x, (_, kind) in zip((words.counts(), spans, items, most), FOUND, strict=True)]
+                    most = [max(s, o, key=lambda m: (m[0], -(m[1] or 0))) for s, o in zip(most, zip(*before[2:], strict=True), strict=True)]
+                columns = (words.counts(), spans, items, *([m[k] for m in most] for k in range(3)))
+                new = [pa.array(x, kind) for x, (_, kind) in zip(columns, FOUND, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(kept))), *new], [*kept, *dict(FOUND)])
 
     return docs.mapInArrow(scan, T.StructType([*(docs.schema[c] for c in kept), *FOUND_SPARK]))
@@ -193,7 +281,7 @@ def blocks_of_items(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with what was found in each: n_words, hit_spans, hit_items (sorted), longest_match. No shuffle."""
+    """docs with what was found in each: n_words, hit_spans, hit_items (sorted), longest_match, longest_at, longest_item. No shuffle."""
     clash = set(docs.columns) & set(dict(FOUND))
     if clash:
         docs = docs.drop(*clash)
@@ -213,8 +301,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, longest_at, longest_item."""
     found = find_matches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     names = F.array_join(F.array_sort(F.transform("hit_items", lambda i: i.cast("string"))), ",")
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.size("hit_items") > 0).alias("contaminated"), "longest_match")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.size("hit_items") > 0).alias("contaminated"), "longest_match", "longest_at", "longest_item")

@@ -77,72 +77,97 @@ class EliasFano:
         return [np.array([self.n, self.width], np.int64), self.low, self.high]
 
 
-class Level:
-    """Successors of contexts. Queried by context: the context is found, and the word among its own successors.
+class Trie:
+    """A trie of n-grams, level by level.
 
-    contexts and the pointers to their first successor are monotone; successors are made monotone by adding each
-    context's rank in units of the words' universe. Values are codes of at most 256 numbers.
+    ``roots`` are the sorted first words. A level has for each node of the level above a pointer to its first child; the
+    pointers are monotone. Children are sorted words of ``bits`` bits, made one monotone sequence by adding their parent's
+    rank in units of the words' universe, so that a child is found by successor search among its parent's own children.
+    Each node has the code of one of at most 256 values; ``backoff`` is what a node's children leave over.
     """
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray, book: np.ndarray, bits: int):
-        self.contexts, self.pointers, self.successors, self.codes, self.book, self.bits = contexts, pointers, successors, codes, book, bits
+    def __init__(self, bits: int, roots: EliasFano, levels: list[tuple[EliasFano, EliasFano, np.ndarray, np.ndarray, np.ndarray]]):
+        self.bits, self.roots, self.levels = bits, roots, levels
 
     @classmethod
-    def of(cls, context: np.ndarray, word: np.ndarray, value: np.ndarray, bits: int) -> Level:
-        """From rows in order of (context, word); words have so many bits."""
-        distinct, first, rank = np.unique(context, return_index=True, return_inverse=True)
-        pointers = np.concatenate([first, [len(context)]])
-        relative = (rank.astype(np.uint64) << np.uint64(bits)) + word.astype(np.uint64)
-        book, codes = quantise(value)
-        return cls(EliasFano.of(distinct), EliasFano.of(pointers), EliasFano.of(relative), codes, book, bits)
-
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Value of each (context, word); 0 where it is not in the trie."""
-        out = np.zeros(len(context), np.float32)
-        if not self.contexts.n or not len(context):
-            return out
-        at = self.contexts.successor(context)
-        here = np.flatnonzero(at < self.contexts.n)
-        here = here[self.contexts.access(at[here]) == context[here].astype(np.uint64)]
-        rank = at[here]
-        low, high = self.pointers.access(rank).astype(np.int64), self.pointers.access(rank + 1).astype(np.int64)
-        wanted = (rank.astype(np.uint64) << np.uint64(self.bits)) + word[here].astype(np.uint64)
-        place = self.successors.successor(wanted, low, high)
-        hit = np.flatnonzero(place < high)
-        hit = hit[self.successors.access(place[hit]) == wanted[hit]]
-        out[here[hit]] = self.book[self.codes[place[hit]]]
+    def of(cls, roots: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int) -> Trie:
+        """``levels`` has for each level below the roots: each node's parent (its place in the level above), word and value,
+        in order of both."""
+        made, above = [], len(roots)
+        for k, (parent, word, value) in enumerate(levels):
+            pointers = np.searchsorted(parent, np.arange(above + 1))
+            book, codes = quantise(value)
+            given = np.bincount(levels[k + 1][0], quantised(levels[k + 1][2]), len(word)) if k + 1 < len(levels) else np.zeros(len(word))
+            relative = (parent.astype(np.uint64) << np.uint64(bits)) + word.astype(np.uint64)
+            made.append((EliasFano.of(pointers), EliasFano.of(relative), codes, book, (1 - given).astype(np.float32)))
+            above = len(word)
+        return cls(bits, EliasFano.of(roots), made)
+
+    def root(self, word: np.ndarray) -> np.ndarray:
+        """Ranks of first words; -1 where they are not in the trie."""
+        return self._found(self.roots, word, np.zeros(len(word), np.int64), np.full(len(word), self.roots.n))
+
+    def child(self, level: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Ranks of children in a level, counted from 0 below the roots; -1 where there is none or no parent."""
+        pointers, words = self.levels[level][:2]
+        out = np.full(len(parent), -1)
+        here = np.flatnonzero(parent >= 0)
+        if len(here) and words.n:
+            rank = parent[here]
+            wanted = (rank.astype(np.uint64) << np.uint64(self.bits)) + word[here].astype(np.uint64)
+            out[here] = self._found(words, wanted, pointers.access(rank).astype(np.int64), pointers.access(rank + 1).astype(np.int64))
         return out
 
+    @staticmethod
+    def _found(sequence: EliasFano, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        if not sequence.n:
+            return np.full(len(wanted), -1)
+        place = sequence.successor(wanted, low, high)
+        there = place < high
+        there[there] = sequence.access(place[there]) == wanted[there]
+        return np.where(there, place, -1)
+
     def to_bytes(self) -> bytes:
         """A table of sizes, then all arrays, each at a multiple of 8 bytes."""
-        arrays = [*self.contexts.arrays(), *self.pointers.arrays(), *self.successors.arrays(), self.codes, self.book, np.array([self.bits], np.int64)]
+        arrays = [np.array([self.bits], np.int64), *self.roots.arrays()]
+        for pointers, words, codes, book, backoff in self.levels:
+            arrays += [*pointers.arrays(), *words.arrays(), codes, book, backoff]
         raw = [a.tobytes() + bytes(-a.nbytes % 8) for a in arrays]
         sizes = np.array([[len(a), a.nbytes] for a in arrays], np.int64)
         return np.array([len(arrays)], np.int64).tobytes() + sizes.tobytes() + b"".join(raw)
 
     @classmethod
-    def view(cls, buffer) -> Level:
-        """A level over bytes or a memory map, without a copy."""
+    def view(cls, buffer) -> Trie:
+        """A trie over bytes or a memory map, without a copy."""
         n = int(np.frombuffer(buffer, np.int64, 1)[0])
         sizes = np.frombuffer(buffer, np.int64, 2 * n, 8).reshape(n, 2)
-        kinds = [np.int64, np.uint64, np.uint8] * 3 + [np.uint8, np.float32, np.int64]
+        fano = [np.int64, np.uint64, np.uint8]
+        level = [*fano, *fano, np.uint8, np.float32, np.float32]
+        kinds = [np.int64, *fano, *level * ((n - 4) // len(level))]
         at, arrays = 8 + 16 * n, []
         for (length, size), kind in zip(sizes.tolist(), kinds, strict=True):
             arrays.append(np.frombuffer(buffer, kind, length, at))
             at += size + -size % 8
-        fano = [EliasFano(int(a[0]), int(a[1]), b, c) for a, b, c in (arrays[0:3], arrays[3:6], arrays[6:9])]
-        return cls(*fano, arrays[9], arrays[10], int(arrays[11][0]))
+
+        def sequence(a: list[np.ndarray]) -> EliasFano:
+            return EliasFano(int(a[0][0]), int(a[0][1]), a[1], a[2])
+
+        levels = [(sequence(a[:3]), sequence(a[3:6]), *a[6:]) for a in (arrays[i : i + len(level)] for i in range(4, n, len(level)))]
+        return cls(int(arrays[0][0]), sequence(arrays[1:4]), levels)
 
 
 def quantise(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """At most 256 numbers and the code of each value: exact if there are no more, else equal parts of the log range's ranks."""
-    distinct, codes = np.unique(value.astype(np.float32), return_inverse=True)
+    """At most 256 numbers and the code of each value: exact if there are no more, else the lower bounds of equal parts
+    of the logarithm's range. No value is rounded up, so that shares of a whole never exceed it."""
+    value = value.astype(np.float32)
+    distinct, codes = np.unique(value, return_inverse=True)
     if len(distinct) > 256:
-        small = 192  # the least values are by far the most frequent and stay exact
-        edges = np.linspace(np.log(distinct[small]), np.log(distinct[-1]), 65)
-        part = np.clip(np.searchsorted(edges, np.log(distinct[small:]), side="right") - 1, 0, 63)
-        middle = np.exp((edges[:-1] + edges[1:]) / 2)
-        book = np.concatenate([distinct[:small], middle]).astype(np.float32)
-        codes = np.concatenate([np.arange(small), small + part])[codes]
-        return book, codes.astype(np.uint8)
+        edges = np.exp(np.linspace(np.log(distinct[0]), np.log(distinct[-1]), 256)).astype(np.float32)
+        edges[0] = distinct[0]
+        return edges, np.clip(np.searchsorted(edges, value, side="right") - 1, 0, 255).astype(np.uint8)
     return (distinct if len(distinct) else np.zeros(1, np.float32)), codes.astype(np.uint8)
+
+
+def quantised(value: np.ndarray) -> np.ndarray:
+    book, codes = quantise(value)
+    return book[codes].astype(np.float64)

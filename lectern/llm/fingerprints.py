@@ -9,7 +9,8 @@ one is occupied, independently of other empty bins. Of every value only the low-
 Words are lower-cased and parted by white space. Texts of fewer than five words have one shingle, all their words.
 
 Edge cases: null, empty and blank texts have no shingles and an empty fingerprint; their likeness is 1 to each other
-and 0 to others. Repeated rows get equal fingerprints. The next document of a single one is itself.
+and 0 to others. Repeated rows get equal fingerprints. The next document of a single one is itself. Very long texts are
+taken whole, in the memory of one task. Columns other than doc_id and text are not read. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -114,20 +115,32 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0)).otherwise(estimate)
 
 
+def _number_below(x: Column, cuts: list[int]) -> Column:
+    """How many of the sorted numbers are not above x, by two steps: which run of them x is in, then which of the run."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    runs = F.size(F.filter(F.lit(cuts[::step]).cast("array<bigint>"), lambda c: c <= x))
+    inside = F.slice(F.lit(cuts).cast("array<bigint>"), (runs - 1) * step + 1, step)
+    return F.when(runs == 0, 0).otherwise((runs - 1) * step + F.size(F.filter(inside, lambda c: c <= x)))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and fingerprint of every row, beside those of the next row in descending order of doc_id.
 
-    Rows are dealt by buckets of consecutive ids. The first row of each bucket is also dealt, as a guest, to the
-    next higher bucket that has rows, so that the last row there has a next one; the lowest bucket's guest is the
-    first row of all. There are at most ``BUCKETS`` guests' ids, which are broadcast.
+    Rows are dealt by buckets of consecutive ids, cut at approximate quantiles, so that ids far apart or in clumps make
+    buckets of like sizes. The first row of each bucket is also dealt, as a guest, to the next higher bucket that has
+    rows, so that the last row there has a next one; the lowest bucket's guest is the first row of all. There are at
+    most ``BUCKETS`` cuts and guests' ids, which go to the driver and are broadcast. Rows without an id are in the lowest
+    bucket. Jobs run while the result is planned.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    facts = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    if not facts["n"] or facts["low"] is None:
-        facts = {"n": 1, "low": 0, "high": 0}
-    n_buckets = max(1, min(BUCKETS, facts["n"] // BUCKET_ROWS))
-    span = max(1, -(-(facts["high"] - facts["low"] + 1) // n_buckets))
-    bucket = F.floor((F.coalesce("doc_id", F.lit(facts["low"])) - F.lit(facts["low"])) / F.lit(span)).cast("int")
+    n_buckets = max(1, min(BUCKETS, docs.count() // BUCKET_ROWS))
+    bucket = F.lit(0)
+    if n_buckets > 1:
+        parts = F.array(*(F.lit(k / n_buckets) for k in range(1, n_buckets)))
+        cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", parts, 20 * n_buckets).alias("cuts")).first()["cuts"] or []))
+        bucket = _number_below(F.coalesce("doc_id", F.lit(-1 << 63)), cuts)
     tops = docs.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("top"))
     up = Window.orderBy("bucket")  # one row for each bucket
     guests = tops.select("top", F.lead("bucket").over(up).alias("to"), F.min("bucket").over(Window.partitionBy()).alias("lowest"))

@@ -70,8 +70,8 @@ def presence(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return x / np.maximum(norm, 1)
 
 
-def _presence_of(texts: list[str]) -> np.ndarray:
-    data, bounds = buffers(pa.array(texts, pa.string()))
+def _presence_of(column: pa.Array) -> np.ndarray:
+    data, bounds = buffers(column)
     parts = [presence(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in _batches(bounds)]
     return np.concatenate(parts) if parts else np.zeros((0, FEATURES), np.float32)
 
@@ -84,11 +84,15 @@ def _batches(bounds: np.ndarray):
 
 def train(samples: list[tuple[str, str]]) -> Model:
     """Fit to (text, language) pairs; their order decides which of them are landmarks."""
-    languages = sorted({lang for _, lang in samples})
+    return fit(_presence_of(pa.array([t for t, _ in samples], pa.string())), [lang for _, lang in samples])
+
+
+def fit(x: np.ndarray, names: list[str]) -> Model:
+    """Fit to rows of presence and their languages."""
+    languages = sorted(set(names))
     if not languages:
         return Model([], np.zeros((0, FEATURES), np.float32), np.zeros((0, 0), np.float32))
-    x = _presence_of([t for t, _ in samples])
-    label = np.array([languages.index(lang) for _, lang in samples])
+    label = np.array([languages.index(lang) for lang in names])
     each = max(1, min(LANDMARKS, LANDMARKS_ALL // len(languages)))
     chosen = np.concatenate([np.flatnonzero(label == k)[:each] for k in range(len(languages))])
     landmarks = x[chosen]
@@ -116,21 +120,31 @@ def predict(model: Model, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndar
     return best, score
 
 
-def sample(docs: DataFrame, learn, each: int = SAMPLE, total: int = SAMPLE_ALL) -> list[tuple[str, str]]:
-    """Whole texts to train with: for each language those with the lowest hashes of their ids.
+def sample(docs: DataFrame, learn, each: int = SAMPLE, total: int = SAMPLE_ALL) -> tuple[np.ndarray, list[str]]:
+    """Presence of whole texts to train with, and their languages: of each those with the lowest hashes of their ids.
 
     Counts of languages come first, so that only rows below a hash that leaves about as many as are wanted are
-    ranked. Every language is learned: the more there are, the fewer texts of each, down to ``SAMPLE_LEAST``.
+    ranked. Every language is learned: the more there are, the fewer texts of each, down to ``SAMPLE_LEAST``. Presence is
+    taken where the texts are, so the driver gets 512 bytes for each, however long.
     """
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)).alias("h"), F.col("doc_id").cast("string").alias("id"))
     counts = [tuple(row) for row in known.groupBy("lang").count().collect()]  # a number for each language
     if not counts:
-        return []
+        return np.zeros((0, FEATURES), np.float32), []
     each = min(each, max(SAMPLE_LEAST, total // len(counts)))
     limits = docs.sparkSession.createDataFrame([(lang, min(1 << 30, int((1 << 30) * 2 * each / n) + 1)) for lang, n in counts], "lang string, limit long")
     order = Window.partitionBy("lang").orderBy("h", "id", "text")
     low = known.join(F.broadcast(limits), "lang").filter(F.col("h") < F.col("limit")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each)
-    return [(r["text"], r["lang"]) for r in low.orderBy("lang", "rank").select("text", "lang").collect()]
+
+    def mark(batches):
+        for batch in batches:
+            bits = np.packbits(_presence_of(batch.column(2)) > 0, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.tobytes() for b in bits], pa.binary())], ["lang", "rank", "bits"])
+
+    rows = low.select("lang", "rank", "text").mapInArrow(mark, "lang string, rank int, bits binary").toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
+    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(-1, FEATURES // 8)
+    x = np.unpackbits(bits, axis=1).astype(np.float32)
+    return x / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1), rows.column("lang").to_pylist()
 
 
 def held_out(doc_id) -> F.Column:
@@ -141,7 +155,7 @@ def held_out(doc_id) -> F.Column:
 def identify(docs: DataFrame, learn=None) -> DataFrame:
     """docs with lang_pred and lang_score; trained on those of its rows that ``learn`` allows."""
     learn = ~held_out(F.col("doc_id")) if learn is None else learn
-    model = train(sample(docs, learn))
+    model = fit(*sample(docs, learn))
     clash = {"lang_pred", "lang_score", "lang_letters"} & set(docs.columns)
     docs = docs.drop(*clash) if clash else docs
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lang_letters")

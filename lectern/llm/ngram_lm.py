@@ -1,28 +1,38 @@
 """Operator 8. Language-model scores from an Elias-Fano n-gram trie.
 
-The model is a trie of words and their successors (order 2), smoothed by absolute discounting: kept bigrams give
-``(c(u,w) - D) / c(u)``, and what a context does not give away goes to the words' own probabilities, which are
-discounted likewise in favour of the one unknown word. Bigrams seen less often than ``least`` are pruned; their share goes the
-same way, so every context's probabilities sum to one. Counts are of all training documents.
-
-Neither the vocabulary nor the trie need fit one machine. Words are 64-bit hashes; a bigram is 34 bits of its context and
-30 of its successor. Documents are read in blocks. A block asks for each distinct bigram and word once, with its count
-in the block's training documents; requests are dealt to shards as compressed sorted keys. A shard sums the counts,
-writes its level of the trie to the shared folder, opens it by memory map where the folder is local, and answers
-every block's requests by successor search among a context's own successors. Contexts are spread over shards by
-their successors, so a frequent word does not meet in one. Answers are gathered for each block in one file of the shared folder,
-and the blocks are read once more and scored.
-
-The table must be read the same way each time: a scan of files, or a stored table. Each block's answers carry a
-checksum of its documents' ids, and a different block is an error, never a wrong score.
+The model is a trie of n-grams up to ``ORDER``, smoothed by interpolated absolute discounting: an n-gram gives
+``(c(u..w) - D) / c(u..)``, and what a context does not give away goes to the n-gram that is a word shorter, down to the
+words' own probabilities, which are discounted likewise in favour of the one unknown word. A context that was not
+learned gives all to the shorter one. Probabilities are quantised downwards, and what a context's children leave over is
+taken from the quantised ones, so every context's probabilities sum to one. Nothing is pruned unless ``least`` says so;
+counts are of all training documents.
+
+Neither the vocabulary nor the trie need fit one machine. Documents are read in blocks. A block asks for each distinct
+n-gram and word once, with its count in the block's training documents; requests are dealt to shards. An n-gram
+belongs to the shard of its first two words, so that a frequent first word does not meet in one, and is sent as nested
+levels: children below their parent. A shard sums the counts, writes its trie to the shared folder, opens it by memory
+map where the folder is local, and answers by walking down from the first word, a successor search among the children
+of each node. Answers are gathered for each block in one file of the shared folder, named by the block, and the
+blocks are read once more and scored. Shards hold about ``SHARD_BYTES`` of text each, whatever the input's size.
+
+In the level below the first words the trie holds discounted counts, as a first word's successors are spread over
+shards and only the words' own shard knows its total; below that it holds probabilities.
+
+First words are known by 63 bits of their hash, words of the vocabulary by 64, and others by 40 among the children of one
+node, where a million siblings have a pair alike with a chance of about a half.
+
+The table must be read the same way each time: a scan of files, or a stored table. Requests and answers carry a
+checksum of their block's ids, and a different block is an error, never a wrong score. Jobs run while the result is planned.
 
 Edge cases: null and empty texts are the end alone. Without training documents all words are unknown and have
-probability 1. Repeated rows are each counted and scored.
+probability 1. Repeated rows are each counted and scored. A very long text is a block of its own. Columns other than
+doc_id and text are not read. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.blobs import dealt, pack, pack_sorted, unpack, unpack_sorted
-from lectern.llm.eliasfano import Level
-from lectern.llm.storage import shared_folder, stored, width
+from lectern.llm.eliasfano import Trie
+from lectern.llm.storage import drop_folder, shared_folder, stored
 from lectern.llm.wordarrays import SOLID, buffers, mix, runs, split_words
 
-BLOCK_BYTES = 6 << 20
-DISCOUNT, WORD_DISCOUNT, KEPT = 0.75, 0.7, 2
-SUCCESSOR_BITS = 30
-#: Shards for each shuffle partition of the session, and ranges of contexts; each range is spread by successors.
-SHARDS, RANGES = 4, 32
+BLOCK_BYTES, SHARD_BYTES = 6 << 20, 8 << 20
+ORDER = 3
+DISCOUNT, WORD_DISCOUNT = 0.75, 0.7
+#: Bits of a word among the children of a node, and ranges of first words; each range is spread by second words.
+BITS, RANGES = 40, 32
 START = np.uint64(0x5851F42D4C957F2D)
 END = np.uint64(0x14057B7EF767814F)
 
@@ -54,62 +64,109 @@ def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, offsets
 
 
-def bigrams(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The key of each token after the one before it, or after the start."""
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[offsets[:-1]] = START
-    return (before >> np.uint64(SUCCESSOR_BITS)) << np.uint64(SUCCESSOR_BITS) | mix(words) >> np.uint64(64 - SUCCESSOR_BITS)
-
-
 def word_shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def bigram_shard(keys: np.ndarray, shards: int) -> np.ndarray:
+def pair_shard(first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
     spread = max(1, shards // RANGES)
     ranges = max(1, shards // spread)
-    return word_shard(keys, ranges) * spread + (keys % np.uint64(spread)).astype(np.int64)
+    return word_shard(first, ranges) * spread + (mix(second) % np.uint64(spread)).astype(np.int64)
 
 
 def _blocks(batches):
-    """Runs of whole documents of one partition: number, batch's documents, training flags, tokens, offsets."""
+    """Runs of whole documents of one partition: number, checksum, batch's documents, training flags, tokens, offsets."""
     task, number = TaskContext.get().partitionId(), 0
     for batch in batches:
         data, bounds = buffers(batch.column(1))
+        ids = batch.column(0).cast(pa.string()).fill_null("")
         for i, j in runs(bounds, BLOCK_BYTES):
             words, offsets = tokens(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-            yield task << 32 | number, batch.slice(i, j - i), np.array(batch.column(2).slice(i, j - i).to_pylist(), bool), words, offsets
+            check = zlib.crc32("\n".join(ids.slice(i, j - i).to_pylist()).encode())
+            yield task << 32 | number, check, batch.slice(i, j - i), np.array(batch.column(2).slice(i, j - i).to_pylist(), bool), words, offsets
             number += 1
 
 
-REQUEST = "shard long, block long, keys binary, counts binary, total long"
-_REQUEST = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64())])
-
-
 def _distinct(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, their counts among trained tokens, and the place of each token's key."""
     distinct, place = np.unique(keys, return_inverse=True)
     return distinct, np.bincount(place[trained], minlength=len(distinct)).astype(np.uint32), place
 
 
-def _requests(docs: DataFrame, level: int, shards: int) -> DataFrame:
+class Grams:
+    """Distinct n-grams of a block. ``words`` are the distinct words' hashes, the start among them. Of level k, counted
+    from 0 for bigrams: ``parent`` is the place in the level above (for bigrams a word), ``word`` a place in words,
+    ``count`` that in training documents, ``place`` where each token's n-gram is (-1 where its document has none)."""
+
+    def __init__(self, words: np.ndarray, offsets: np.ndarray, trained: np.ndarray, order: int):
+        self.words, token = np.unique(np.concatenate([words, np.full(1, START)]), return_inverse=True)
+        token, start = token[:-1], int(token[-1])
+        self.token, size = token, len(self.words)
+        self.before = np.empty(len(words), np.int64)
+        self.before[1:] = token[:-1]
+        self.before[offsets[:-1]] = start
+        since = np.arange(len(words)) - np.repeat(offsets[:-1], np.diff(offsets))
+        self.parent, self.word, self.count, self.place = [], [], [], []
+        above = self.before
+        for n in range(2, order + 1):
+            valid = np.flatnonzero(since >= n - 2)
+            distinct, count, place = _distinct(above[valid] * size + token[valid], trained[valid])
+            everywhere = np.full(len(words), -1)
+            everywhere[valid] = place
+            self.parent.append(distinct // size)
+            self.word.append(distinct % size)
+            self.count.append(count)
+            self.place.append(everywhere)
+            above = np.concatenate([[-1], everywhere[:-1]])
+
+    def shards(self, shards: int) -> list[np.ndarray]:
+        """The shard of each n-gram, by levels."""
+        found = [pair_shard(self.words[self.parent[0]], self.words[self.word[0]], shards)]
+        for parent in self.parent[1:]:
+            found.append(found[-1][parent])
+        return found
+
+
+WORD_REQUEST = "shard long, block long, check long, keys binary, counts binary"
+_WORD_REQUEST = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("check", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+GRAM_REQUEST = "shard long, block long, check long, first binary, words array<binary>, counts array<binary>, children array<binary>"
+_GRAM_REQUEST = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("check", pa.int64()), ("first", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary())), ("children", pa.list_(pa.binary()))])
+
+
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema)
+
+
+def _word_requests(docs: DataFrame, shards: int) -> DataFrame:
+    def ask(batches):
+        for block, check, _, train, words, offsets in _blocks(batches):
+            # The start counts as a context once for each training document.
+            trained = np.concatenate([np.repeat(train, np.diff(offsets)), train])
+            keys, counts, _ = _distinct(np.concatenate([words, np.full(len(train), START)]), trained)
+            yield _batch([{"shard": s, "block": block, "check": check, "keys": pack_sorted(keys[at]), "counts": pack(counts[at])} for s, at in dealt(word_shard(keys, shards))], _WORD_REQUEST)
+
+    return docs.mapInArrow(ask, WORD_REQUEST)
+
+
+def _gram_requests(docs: DataFrame, shards: int, order: int) -> DataFrame:
     def ask(batches):
-        for block, _, train, words, offsets in _blocks(batches):
-            trained = np.repeat(train, np.diff(offsets))
-            if level == 2:
-                keys, counts, _ = _distinct(bigrams(words, offsets), trained)
-                where = bigram_shard(keys, shards)
-            else:
-                # The start counts as a context once for each training document.
-                more = np.full(len(train), START)
-                keys, counts, _ = _distinct(np.concatenate([words, more]), np.concatenate([trained, train]))
-                where = word_shard(keys, shards)
-            rows = [(s, block, pack_sorted(keys[at]), pack(counts[at]), int(counts[at].sum())) for s, at in dealt(where)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _REQUEST, strict=True)], schema=_REQUEST)
-
-    return docs.mapInArrow(ask, REQUEST)
+        for block, check, _, train, words, offsets in _blocks(batches):
+            grams = Grams(words, offsets, np.repeat(train, np.diff(offsets)), order)
+            levels = [dict(dealt(s)) for s in grams.shards(shards)]
+            children = [np.bincount(p, minlength=len(w)).astype(np.uint32) for p, w in zip(grams.parent[1:], grams.word, strict=False)]
+            short = grams.words & np.uint64((1 << BITS) - 1)
+            rows = []
+            for s, at in levels[0].items():
+                parts = [level.get(s, at[:0]) for level in levels]
+                rows.append({
+                    "shard": s, "block": block, "check": check, "first": pack_sorted(grams.words[grams.parent[0][at]]),
+                    "words": [pack(short[grams.word[k][p]]) for k, p in enumerate(parts)],
+                    "counts": [pack(grams.count[k][p]) for k, p in enumerate(parts)],
+                    "children": [pack(children[k][p]) for k, p in enumerate(parts[:-1])],
+                })
+            yield _batch(rows, _GRAM_REQUEST)
+
+    return docs.mapInArrow(ask, GRAM_REQUEST)
 
 
 def _summed(requests: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,47 +181,69 @@ def _summed(requests: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     return keys[first], np.add.reduceat(counts.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
 
 
-def _opened(folder: str, raw: bytes) -> Level:
-    """Write a level to the shared folder and open it there."""
+def _opened(folder: str, raw: bytes) -> Trie:
+    """Write a trie to the shared folder and open it there."""
     from pyarrow import fs
 
     store, base = fs.FileSystem.from_uri(folder)
-    path = f"{base}/{uuid.uuid4().hex}.level"
+    path = f"{base}/{uuid.uuid4().hex}.trie"
     store.create_dir(base, recursive=True)
     with store.open_output_stream(path) as out:
         out.write(raw)
     if isinstance(store, fs.LocalFileSystem):
-        return Level.view(np.memmap(path, np.uint8, "r"))
+        return Trie.view(np.memmap(path, np.uint8, "r"))
     with store.open_input_file(path) as source:
-        return Level.view(source.read())
+        return Trie.view(source.read())
 
 
-ANSWER = "kind int, shard long, block long, a binary, b binary"
-_ANSWER = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+ANSWER = "kind int, shard long, block long, check long, parts array<binary>"
+_ANSWER = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("block", pa.int64()), ("check", pa.int64()), ("parts", pa.list_(pa.binary()))])
 
 
-def _bigram_answers(requests: DataFrame, folder: str, shards: int, least: int) -> DataFrame:
-    """Kind 2: for a block's bigrams of a shard which are kept, and their discounted counts. Kind 0: for a shard of
-    words, contexts and the sum of what they give away in this shard."""
+def _gram_answers(requests: DataFrame, folder: str, shards: int, least: int) -> DataFrame:
+    """Kind 2: of a block's n-grams of a shard, level by level, which are in the trie, the codes of those, what their
+    children leave over, and the codes' values. Kind 0: for a shard of words, first words and the sum of what they give away here."""
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        asked = [(unpack_sorted(r["keys"]), unpack(r["counts"], np.uint32)) for r in rows]
-        keys, counts = _summed(asked)
-        kept = counts >= least
-        keys, counts = keys[kept], counts[kept]
-        context, word = keys >> np.uint64(SUCCESSOR_BITS), keys & np.uint64((1 << SUCCESSOR_BITS) - 1)
-        level = _opened(folder, Level.of(context, word, counts - DISCOUNT, SUCCESSOR_BITS).to_bytes())
-        out = []
-        for row, (k, _) in zip(rows, asked, strict=True):
-            value = level.find(k >> np.uint64(SUCCESSOR_BITS), k & np.uint64((1 << SUCCESSOR_BITS) - 1))
-            hit = value > 0
-            out.append({"kind": 2, "shard": row["shard"], "block": row["block"], "a": pack(np.packbits(hit)), "b": pack(value[hit])})
-        if len(keys):
-            distinct, first = np.unique(context, return_index=True)
-            mass = np.add.reduceat(level.book[level.codes].astype(np.float64), first)
-            where = word_shard(distinct << np.uint64(SUCCESSOR_BITS), shards)
-            out += [{"kind": 0, "shard": s, "block": -1, "a": pack_sorted(distinct[at]), "b": pack(mass[at])} for s, at in dealt(where)]
+        order = len(rows[0]["words"])
+        # Levels of all requests in one: a distinct key is the parent's number and the word.
+        first, above = np.unique(np.concatenate([unpack_sorted(r["first"]) for r in rows]), return_inverse=True)
+        nodes, places = [], []
+        for k in range(order):
+            word = np.concatenate([unpack(r["words"][k], np.uint64) for r in rows])
+            count = np.concatenate([unpack(r["counts"][k], np.uint32) for r in rows])
+            distinct, place = np.unique(above.astype(np.uint64) << np.uint64(BITS) | word, return_inverse=True)
+            nodes.append(((distinct >> np.uint64(BITS)).astype(np.int64), distinct & np.uint64((1 << BITS) - 1), np.bincount(place, count, len(distinct))))
+            places.append(place)
+            if k + 1 < order:
+                above = np.repeat(place, np.concatenate([unpack(r["children"][k], np.uint32) for r in rows]))
+        # What training documents hold of it is the trie; numbers of nodes become ranks among those kept.
+        learned, rank, whole = [], None, None
+        roots = np.unique(nodes[0][0][nodes[0][2] >= least])
+        for k, (parent, word, count) in enumerate(nodes):
+            kept = np.flatnonzero(count >= least)
+            up = np.searchsorted(roots, parent[kept]) if k == 0 else rank[parent[kept]]
+            learned.append((up, word[kept], count[kept] - DISCOUNT if k == 0 else (count[kept] - DISCOUNT) / whole[parent[kept]]))
+            rank, whole = np.cumsum(count >= least) - 1, count
+        trie = _opened(folder, Trie.of(first[roots] >> np.uint64(1), learned, BITS).to_bytes())
+        # The walk: each distinct n-gram that was asked for, from its first word down.
+        found, at = [], trie.root(first >> np.uint64(1))
+        for k, (parent, word, _) in enumerate(nodes):
+            at = trie.child(k, at[parent], word)
+            found.append(at)
+        out, sizes = [], [np.cumsum([0, *(len(unpack(r["words"][k], np.uint64)) for r in rows)]) for k in range(order)]
+        for i, row in enumerate(rows):
+            parts = []
+            for k, (_, _, codes, book, backoff) in enumerate(trie.levels):
+                node = found[k][places[k][sizes[k][i] : sizes[k][i + 1]]]
+                hit = node >= 0
+                parts += [pack(np.packbits(hit)), pack(codes[node[hit]]), pack(backoff[node[hit]]) if k + 1 < order else b"", book.tobytes()]
+            out.append({"kind": 2, "shard": row["shard"], "block": row["block"], "check": row["check"], "parts": parts})
+        if len(roots):
+            given = np.bincount(learned[0][0], trie.levels[0][3][trie.levels[0][2]].astype(np.float64), len(roots))
+            names = first[roots]
+            out += [{"kind": 0, "shard": s, "block": -1, "check": 0, "parts": [pack_sorted(names[at]), pack(given[at])]} for s, at in dealt(word_shard(names, shards))]
         return pa.Table.from_pylist(out, _ANSWER)
 
     return requests.groupBy("shard").applyInArrow(answer, ANSWER)
@@ -185,42 +264,52 @@ def _word_answers(requests: DataFrame, masses: DataFrame) -> DataFrame:
         out = []
         for row, (k, _) in zip([r for r in rows if r["block"] >= 0], asked, strict=True):
             count, share = np.zeros(len(k), np.int64), np.zeros(len(k))
-            for names, values, wanted, into in ((keys, counts, k, count), (distinct, mass, k >> np.uint64(SUCCESSOR_BITS), share)):
+            for names, values, into in ((keys, counts, count), (distinct, mass, share)):
                 if len(names):
-                    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
-                    into[:] = np.where(names[at] == wanted, values[at], 0)
-            out.append({"kind": 1, "shard": row["shard"], "block": row["block"], "a": pack(count), "b": pack(share.astype(np.float32))})
+                    at = np.minimum(np.searchsorted(names, k), len(names) - 1)
+                    into[:] = np.where(names[at] == k, values[at], 0)
+            out.append({"kind": 1, "shard": row["shard"], "block": row["block"], "check": row["check"], "parts": [pack(count), pack(share.astype(np.float32))]})
         real = keys != START
-        out.append({"kind": 3, "shard": rows[0]["shard"], "block": -1, "a": int(real.sum()).to_bytes(8, "little"), "b": int(counts[real].sum()).to_bytes(8, "little")})
+        out.append({"kind": 3, "shard": rows[0]["shard"], "block": -1, "check": 0, "parts": [int(real.sum()).to_bytes(8, "big"), int(counts[real].sum()).to_bytes(8, "big")]})
         return pa.Table.from_pylist(out, _ANSWER)
 
-    both = requests.select("shard", "block", "keys", "counts").unionByName(masses.select("shard", "block", F.col("a").alias("keys"), F.col("b").alias("counts")))
+    both = requests.unionByName(masses.select("shard", "block", "check", F.col("parts")[0].alias("keys"), F.col("parts")[1].alias("counts")))
     return both.groupBy("shard").applyInArrow(answer, ANSWER)
 
 
-def _filed(answers: DataFrame, folder: str) -> dict[int, str]:
-    """One file for each block with its answers, and their names by block."""
+def _filed(answers: DataFrame, folder: str) -> int:
+    """Write one file for each block with its answers; the number of blocks."""
 
     def write(table: pa.Table) -> pa.Table:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        name = f"{uuid.uuid4().hex}.answers"
-        with store.open_output_stream(f"{base}/{name}") as out, pa.ipc.new_stream(out, table.schema) as stream:
+        block = table.column("block")[0].as_py()
+        # A task that is tried again, or twice at once, writes the same file.
+        name = f"{base}/{uuid.uuid4().hex}.part"
+        with store.open_output_stream(name) as out, pa.ipc.new_stream(out, table.schema) as stream:
             stream.write_table(table)
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "name": [name]})
+        store.move(name, f"{base}/{block}.answers")
+        return pa.table({"block": pa.array([block], pa.int64())})
 
-    rows = answers.filter("kind in (1, 2)").groupBy("block").applyInArrow(write, "block long, name string")
-    return {r["block"]: r["name"] for r in stored(rows, "lm-files").collect()}
+    rows = stored(answers.filter("kind in (1, 2)").groupBy("block").applyInArrow(write, "block long"), "lm-files")
+    n = rows.count()
+    drop_folder(rows)
+    return n
 
 
-def _answers(folder: str, name: str) -> dict[tuple[int, int], dict]:
+def _answers(folder: str, block: int, check: int) -> dict[tuple[int, int], list[bytes]]:
     from pyarrow import fs
 
     store, base = fs.FileSystem.from_uri(folder)
-    with store.open_input_stream(f"{base}/{name}") as source:
-        return {(r["kind"], r["shard"]): r for r in pa.ipc.open_stream(source).read_all().to_pylist()}
+    if store.get_file_info(f"{base}/{block}.answers").type != fs.FileType.File:
+        raise RuntimeError("the documents were dealt to blocks differently than before")
+    with store.open_input_stream(f"{base}/{block}.answers") as source:
+        rows = pa.ipc.open_stream(source).read_all().to_pylist()
+    if any(r["check"] != check for r in rows):
+        raise RuntimeError("a block's answers are of other documents")
+    return {(r["kind"], r["shard"]): r["parts"] for r in rows}
 
 
 def held_out(doc_id) -> F.Column:
@@ -231,47 +320,48 @@ def held_out(doc_id) -> F.Column:
 SCORES = ["n_tokens", "n_known", "base_score", "score"]
 
 
-def score_documents(docs: DataFrame, train, least: int = KEPT) -> DataFrame:
+def score_documents(docs: DataFrame, train, least: int = 1, order: int = ORDER) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score. ``train`` says which rows are learned from,
-    ``least`` how often a bigram that is kept occurs in them."""
+    ``least`` how often an n-gram of two words or more that is kept occurs in them."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    shards = SHARDS * width(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
     folder = shared_folder(spark, "lm")
-    found2 = stored(_bigram_answers(_requests(docs, 2, shards), f"{folder}/levels", shards, least), "lm-bigrams")
-    found1 = stored(_word_answers(_requests(docs, 1, shards), found2.filter("kind = 0")), "lm-words")
-    totals = found1.filter("kind = 3").select("a", "b").collect()  # two numbers from each shard
-    n_different, n_words = (sum(int.from_bytes(r[k], "little") for r in totals) for k in ("a", "b"))
-    sent = spark.sparkContext.broadcast(_filed(found1.unionByName(found2), f"{folder}/answers"))
+    found2 = stored(_gram_answers(_gram_requests(docs, shards, order), f"{folder}/tries", shards, least), "lm-grams")
+    found1 = stored(_word_answers(_word_requests(docs, shards), found2.filter("kind = 0")), "lm-words")
+    # Two numbers from each shard, added up where they are.
+    number = F.expr("transform(parts, p -> cast(conv(hex(p), 16, 10) as long))")
+    totals = found1.filter("kind = 3").select(number.alias("n")).agg(F.sum(F.col("n")[0]), F.sum(F.col("n")[1])).first()
+    n_different, n_words = (int(x or 0) for x in totals)
+    _filed(found1.unionByName(found2), f"{folder}/answers")
+    drop_folder(found1, found2)
 
     def score(batches):
         unknown = WORD_DISCOUNT * n_different / max(n_words, 1) / (n_different + 1) if n_words else 1.0
-        for block, part, _, words, offsets in _blocks(batches):
-            if block not in sent.value:
-                raise RuntimeError("the documents were dealt to blocks differently than before")
-            got = _answers(f"{folder}/answers", sent.value[block])
-            distinct, place = np.unique(np.concatenate([words, np.full(len(part), START)]), return_inverse=True)
-            count, mass = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.float64)
-            for s, at in dealt(word_shard(distinct, shards)):
+        for block, check, part, train, words, offsets in _blocks(batches):
+            got = _answers(f"{folder}/answers", block, check)
+            grams = Grams(words, offsets, np.repeat(train, np.diff(offsets)), order)
+            count, mass = np.zeros(len(grams.words), np.int64), np.zeros(len(grams.words))
+            for s, at in dealt(word_shard(grams.words, shards)):
                 row = got.pop((1, s))
-                count[at], mass[at] = unpack(row["a"], np.int64), unpack(row["b"], np.float32)
-            pairs, pair_place = np.unique(bigrams(words, offsets), return_inverse=True)
-            value = np.zeros(len(pairs))
-            for s, at in dealt(bigram_shard(pairs, shards)):
-                row = got.pop((2, s))
-                hit = np.unpackbits(unpack(row["a"], np.uint8), count=len(at)).astype(bool)
-                value[at[hit]] = unpack(row["b"], np.float32)
-            if got:
-                raise RuntimeError("a block's answers are of other documents")
-            token = place[: len(words)]
-            before = np.empty(len(words), np.int64)
-            before[1:] = token[:-1]
-            before[offsets[:-1]] = place[len(words) :]
-            c = count[token]
-            own = np.where(c > 0, np.maximum(c - WORD_DISCOUNT, 0) / max(n_words, 1), 0) + unknown
-            n_before = count[before]
-            left = np.clip(1 - mass[before] / np.maximum(n_before, 1), 1e-6, 1)
-            p = np.where(n_before > 0, value[pair_place] / np.maximum(n_before, 1) + left * own, own)
+                count[at], mass[at] = unpack(row[0], np.int64), unpack(row[1], np.float32)
+            value, left = [np.zeros(len(w)) for w in grams.word], [np.ones(len(w)) for w in grams.word]
+            for k, where in enumerate(grams.shards(shards)):
+                for s, at in dealt(where):
+                    hits, codes, backoff, book = got[2, s][4 * k : 4 * k + 4]
+                    hit = at[np.unpackbits(unpack(hits, np.uint8), count=len(at)).astype(bool)]
+                    value[k][hit] = np.frombuffer(book, np.float32)[unpack(codes, np.uint8)]
+                    if backoff:
+                        left[k][hit] = unpack(backoff, np.float32)
+            c = count[grams.token]
+            p = np.where(c > 0, np.maximum(c - WORD_DISCOUNT, 0) / max(n_words, 1), 0) + unknown
+            n_before = count[grams.before]
+            rest = np.clip(1 - mass[grams.before] / np.maximum(n_before, 1), 1e-6, 1)
+            p = np.where(n_before > 0, value[0][grams.place[0]] / np.maximum(n_before, 1) + rest * p, p)
+            for k in range(1, order - 1):
+                here = np.flatnonzero(grams.place[k] >= 0)
+                p[here] = value[k][grams.place[k][here]] + np.clip(left[k - 1][grams.place[k - 1][here - 1]], 1e-6, 1) * p[here]
             base = np.log10((c + 0.5) / (n_words + 0.5 * (n_different + 1)))
             first = offsets[:-1]
             arrays = [pa.array(np.diff(offsets)), pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(np.log10(np.minimum(p, 1)), first))]

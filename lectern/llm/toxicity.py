@@ -29,6 +29,8 @@ PREFIXES = (0, 4, 5, 6)
 BLANK = np.zeros((max(WIDTHS) - 1, len(PREFIXES)), np.int32)
 #: Labelled texts of each kind at most, passes over them, texts of one step, and words at a time.
 SAMPLE, EPOCHS, STEP_TEXTS = 2500, 8, 32
+#: Bytes of text that go to the driver to be learned from, about.
+SAMPLE_BYTES = 64 << 20
 CUT = 0.3
 SEED = 20240817
 
@@ -238,7 +240,8 @@ def held_out(doc_id) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn, each: int = SAMPLE) -> list:
-    """At most about ``each`` labelled texts of either kind, those with the lowest hashes of their ids.
+    """At most about ``each`` labelled texts of either kind, those with the lowest hashes of their ids, and at most about
+    ``SAMPLE_BYTES`` of text in all; only texts over a sixteenth of that are never learned from.
 
     Returns rows of text, lang, toxic and weight; weights undo that the kinds are sampled at different rates.
     """
@@ -256,7 +259,11 @@ def sample(docs: DataFrame, labels: DataFrame, learn, each: int = SAMPLE) -> lis
         weight = F.when(F.col("toxic") == kind, 1 / share).otherwise(weight)
     # At most about 2 x each ids: a bounded list, which makes the join with the documents a filter.
     chosen = known.filter(keep).withColumn("weight", weight)
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES // 16)
+    # Ids may be repeated and texts very long: a random part of both kinds, if it would be too many bytes.
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > SAMPLE_BYTES:
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * 0.9 * SAMPLE_BYTES / size))
     return rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text").select("text", "lang", "toxic", "weight").toArrow().to_pylist()
 
 

@@ -1,7 +1,9 @@
 """Words and n-grams of many texts at once, as numpy arrays over the UTF-8 buffer of an Arrow column.
 
 No Python object is made per word: a lookup table classes and lower-cases bytes, word borders are where the class
-changes, and a word's hash is a difference of running polynomial sums, so that equal words have equal hashes.
+changes, and a word's hash is a difference of running polynomial sums, so that equal words have equal hashes. Such sums
+have ready collisions among long words (Thue-Morse words of 1,024 letters are one), so words over ``LONG`` bytes are
+hashed by xxHash instead. Two different words then hash alike with a chance of about 2 ** -64.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 STEP = np.uint64(0xD1B54A32D192ED03)
 BLOCK = 1 << 18
+LONG = 64
 
 
 def _lower() -> np.ndarray:
@@ -86,7 +89,13 @@ class Words:
             a, b = self.starts[i:j] - s, self.ends[i:j] - s
             out[i:j] = (sums[b] - sums[a]) * _powers_of(INVERSE, n + 1)[a] + (b - a).astype(np.uint64) * STEP
             i = j
-        return mix(out)
+        out = mix(out)
+        long = np.flatnonzero(self.ends - self.starts > LONG)
+        if len(long):
+            import xxhash
+
+            out[long] = [xxhash.xxh64_intdigest(self.data[self.starts[k] : self.ends[k]]) for k in long.tolist()]
+        return out
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
@@ -141,6 +150,16 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def window_hashes(words: np.ndarray) -> np.ndarray:
+    """``grams`` of the rows of a matrix."""
+    out = words[:, 0].copy()
+    for k in range(1, words.shape[1]):
+        out *= STEP
+        out ^= out >> np.uint64(29)
+        out += words[:, k]
+    return mix(out)
+
+
 def gram_places(offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices into ``grams`` that stay within a text, and how many each text has."""
     counts = np.maximum(np.diff(offsets) - n + 1, 0)

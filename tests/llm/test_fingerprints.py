@@ -58,6 +58,16 @@ def test_many_buckets_and_gaps(spark, sf_dir, monkeypatch):
     check(docs)
 
 
+def test_far_ids_do_not_fill_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 20)
+    ids = [*range(400), 10**12, -(2**62), 2**62]
+    docs = spark.createDataFrame([(i, f"text of the number {i % 7} here and there") for i in ids], "doc_id long, text string")
+    check(docs)
+    cuts = list(range(0, 400, 20))
+    found = docs.select("doc_id", fingerprints._number_below(docs["doc_id"], cuts).alias("n")).collect()
+    assert all(r.n == sum(c <= r.doc_id for c in cuts) for r in found)
+
+
 def test_edges(spark, edge_docs, empty_docs):
     docs = edge_docs.dropDuplicates(["doc_id"])
     rows, _ = check(docs)
