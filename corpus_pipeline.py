@@ -3,6 +3,12 @@
 Each stage takes what its predecessor kept, written as Parquet and read again, and its decisions take effect: language
 identification and toxicity drop the documents they reject, the Jaccard join leaves one document of each group,
 decontamination drops documents with benchmark passages, and the last stage packs what is left.
+
+Edge cases: documents with null, empty or letterless text are of no recognised language and go in the first stage.
+Rows without an id are judged like others; near duplicates of a document with an id go, and of a group without any id one
+row stays. Repeated rows leave one. Very long texts are taken whole by every
+stage. Columns of the table beyond those of documents are not carried on, so their names cannot clash. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,19 +45,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows whose id occurs once are decided by it. Where ids repeat, rows are told apart by the keys of their sets too, as
     rows of one id may be of different groups."""
     found = stored(jaccard_join.keyed_components(docs, n=SHINGLE, percent=PERCENT), "pipeline-groups")
-    repeated = stored(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-repeated")
+    docs, nameless = docs.select(*COLUMNS).filter("doc_id is not null"), docs.select(*COLUMNS).filter("doc_id is null")
+    repeated = stored(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-repeated")
     gone = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
     few = gone.count() <= jaccard_join.BROADCAST_ROWS
-    docs = docs.select(*COLUMNS)
+    kept = _nameless(nameless, found) if not found.filter("doc_id is null").isEmpty() else None
     if repeated.isEmpty():
-        return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+        docs = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+        return docs if kept is None else docs.unionByName(kept)
+    nameless = kept
     single = docs.join(repeated, "doc_id", "left_anti")
     kept = single.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
     least = found.filter("doc_id = component_id").join(repeated, "doc_id", "left_semi")
     least = least.groupBy("doc_id", "label").agg(F.min("key").alias("key")).select(F.col("doc_id").alias("id"), F.col("key").alias("least"))
     several = jaccard_join.with_keys(docs.join(repeated, "doc_id", "left_semi"), SHINGLE)
     several = several.join(least, (F.col("doc_id") == F.col("id")) & F.col("key").eqNullSafe(F.col("least")), "left_semi")
-    return kept.unionByName(several.dropDuplicates(["doc_id", "key"]).select(*COLUMNS))
+    kept = kept.unionByName(several.dropDuplicates(["doc_id", "key"]).select(*COLUMNS))
+    return kept if nameless is None else kept.unionByName(nameless)
+
+
+def _nameless(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Of rows without an id one of each group in which no document has one; those without words all stay."""
+    groups = found.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("id"), F.min("key").alias("key")).filter("id is null").select("key")
+    keyed = jaccard_join.with_keys(rows, SHINGLE)
+    return keyed.join(groups, "key", "left_semi").dropDuplicates(["key"]).unionByName(keyed.filter("key is null")).select(*COLUMNS)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

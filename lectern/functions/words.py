@@ -38,6 +38,13 @@ def word_array(text: Column) -> Column:
     return F.when(squeezed == "", F.array().cast("array<string>")).otherwise(F.split(squeezed, " "))
 
 
+def paragraph_chunks(text: Column, most: int = 120) -> Column:
+    """Texts of paragraphs, which blank lines part, their words joined by blanks; longer ones are cut every ``most`` words."""
+    paragraphs = F.transform(F.split(text, r"\n\s*\n"), word_array)
+    starts = lambda w: F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(most))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(paragraphs, lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i, most), " "))))
+
+
 def word_count(text: Column) -> Column:
     return F.size(word_array(text)).cast("long")
 

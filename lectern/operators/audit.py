@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.words import is_function_word
+
 Z = 1.959963984540054
 # Classes of a reviewer's answer and the groups they belong to.
 GROUPS = {
     "call_failed": "no_output",
     "empty_response": "no_output",
-    "fixed_changed": "changed",
-    "fixed_expanded": "expanded",
-    "fixed_identical": "same_text",
+    "unparseable": "no_output",
     "fixed_no_text": "no_output",
     "fixed_rejected_short": "no_output",
+    "fixed_identical": "same_text",
+    "fixed_expanded": "expanded",
     "ok": "ok",
-    "unparseable": "no_output",
+    "fixed_changed": "changed",
 }
 
 
@@ -74,3 +76,26 @@ def best_trial(rows: DataFrame) -> DataFrame:
     """Of each group's trials the one nearest to the target among the sane ones, else among all."""
     order = Window.partitionBy("group_id").orderBy(F.desc("sane"), F.abs(F.col("words") - F.col("target")), "trial")
     return rows.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
+
+
+def sanity_issues(rows: DataFrame, longest: int = 30, gram: int = 6) -> DataFrame:
+    """issues, an array of names: a run of words, at least as long as the mean sentence, that are neither in the
+    vocabulary nor function words; a word of more than ``longest`` letters; a run of ``gram`` words that occurs twice.
+
+    rows: text and vocabulary, an array of lower-case words."""
+    words = F.regexp_extract_all(F.col("text"), F.lit("([A-Za-z']+)"), F.lit(1))
+    sentences = F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
+    rows = rows.withColumn("words", words).withColumn("low", F.transform("words", F.lower))
+    known = F.map_from_entries(F.transform(F.array_distinct("vocabulary"), lambda w: F.struct(w, F.lit(True))))
+    unknown = F.transform("low", lambda w: ~is_function_word(w) & ~F.map_contains_key("known", w))
+    rows = rows.withColumn("known", known).withColumn("unknown", unknown)
+    zero = F.struct(F.lit(0).alias("run"), F.lit(0).alias("most"))
+    step = lambda a, u: F.struct(F.when(u, a["run"] + 1).otherwise(0).alias("run"), F.greatest(a["most"], F.when(u, a["run"] + 1).otherwise(0)).alias("most"))
+    run = F.aggregate("unknown", zero, step, lambda a: a["most"])
+    mean = F.greatest(F.lit(1), F.bround(F.size("words") / F.greatest(F.size(sentences), F.lit(1))).cast("int"))
+    grams = F.when(F.size("low") >= 2 * gram, F.transform(F.sequence(F.lit(1), F.size("low") - (gram - 1)), lambda i: F.array_join(F.slice("low", i, gram), " "))).otherwise(F.array().cast("array<string>"))
+    issues = F.array(
+        F.when((F.size("words") > 0) & (run >= mean), "invented_run"), F.when(F.exists("words", lambda w: F.length(w) > longest), "long_word"),
+        F.when(F.size(F.array_distinct(grams)) < F.size(grams), "repeated_phrase"),
+    )
+    return rows.withColumn("issues", F.array_compact(issues)).drop("words", "low", "known", "unknown")

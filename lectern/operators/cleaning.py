@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 from lectern.functions.words import lines
 
 PAGE_NUMBER = r"^\s*\d{1,4}\s*$"
-HEADING = r"(?i)^\s*(\d+\.?\s*)?introduction\s*$"
-NOTES_HEADING = r"(?i)^\s*(\d+\.?\s*)?(notes|references|bibliography|works cited|endnotes)\s*:?\s*$"
-# What marks a line of front matter, by tag.
+#: The reference patterns are those of Python: letters of any script are letters, and only a newline ends a line.
+UNICODE, NO_CASE = "(?dU)", "(?diuU)"
+# Headings where the body starts and where the notes start, and the marks of front-matter lines by tag.
+HEADING = r"^\s*(?:\d+(?:\.\d+)?\.?\s*)?Introduction\b"
+NOTES_HEADINGS = (r"^\s*notes\s*$", r"^\s*footnotes?\s*$", r"^\s*references\s*$", r"^\s*bibliography\s*$")
 FRONT_MATTER = {
-    "abstract": r"(?i)^\s*abstract\b",
-    "copyright": r"(?i)(copyright|\(c\)|all rights reserved)",
-    "doi": r"(?i)\bdoi\b|10\.\d{4,}/",
-    "email": r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "issn": r"(?i)\b(issn|isbn)\b",
-    "keywords": r"(?i)^\s*key\s?words\b",
-    "license": r"(?i)\blicen[sc]e\b",
-    "received": r"(?i)^\s*(received|accepted|published)\b",
-    "url": r"(?i)https?://|www\.",
+    "journal_masthead": NO_CASE + r"^(ORIGINAL RESEARCH|[A-Z][a-z]+\s+\(\d{4}\)|https://doi\.org/)",
+    "article_history": NO_CASE + r"^Received:.*Accepted:",
+    "copyright_notice": NO_CASE + r"^©|under exclusive licence|Springer Nature",
+    "acm_reference_format": NO_CASE + r"^ACM Reference Format",
+    "ccs_concepts": NO_CASE + r"^CCS Concepts",
+    "keywords_heading": NO_CASE + r"^Keywords\b",
+    "abstract_heading": NO_CASE + r"^Abstract\b",
+    "email": UNICODE + r"[\w.+-]+@[\w-]+\.[\w.-]+",
+    "affiliation": NO_CASE + r"Universit|CNRS|Department of",
 }
+FOOTNOTE_CALL = r"(?<!\d)([A-Za-z)\]'’.,;:!?])(\d{1,2})(?!\d)"
 RECURRING, RECURRING_LENGTH = 3, 80
 
 
@@ -35,8 +38,8 @@ def join_hyphenated(text: Column) -> Column:
 
 
 def drop_footnote_calls(text: Column) -> Column:
-    """One or two digits after a letter or closing mark go, if they are not part of a longer number or word."""
-    return F.regexp_replace(text, r"(?<=[\p{L}.,;:!?\"')\]])\d{1,2}(?![\p{L}\p{N}])", "")
+    """One or two digits after a letter or mark go, if no digit stands before the mark or after the digits."""
+    return F.regexp_replace(text, UNICODE + FOOTNOTE_CALL, "$1")
 
 
 def squeeze(text: Column) -> Column:
@@ -53,25 +56,31 @@ def drop_page_numbers(rows: DataFrame) -> DataFrame:
     return rows.filter(~F.col("line").rlike(PAGE_NUMBER))
 
 
-def drop_front_matter(rows: DataFrame) -> DataFrame:
-    """Front-matter lines before the first introduction heading go; without a heading, those of the whole text."""
-    start = F.min(F.when(F.col("line").rlike(HEADING), F.col("line_no"))).over(Window.partitionBy("doc_id"))
+def _marked() -> Column:
     any_mark = F.lit(False)
     for pattern in FRONT_MATTER.values():
         any_mark = any_mark | F.col("line").rlike(pattern)
-    return rows.withColumn("start", start).filter((F.col("line_no") >= F.col("start")) | ~any_mark).drop("start")
+    return any_mark
+
+
+def drop_front_matter(rows: DataFrame) -> DataFrame:
+    """Front-matter lines before the first introduction heading go; without a heading, those of the whole text."""
+    start = F.min(F.when(F.col("line").rlike(UNICODE + HEADING), F.col("line_no"))).over(Window.partitionBy("doc_id"))
+    return rows.withColumn("start", start).filter((F.col("line_no") >= F.col("start")) | ~_marked()).drop("start")
 
 
 def front_matter_hits(rows: DataFrame) -> DataFrame:
-    """One row for each line before the heading and mark that it has."""
-    start = F.min(F.when(F.col("line").rlike(HEADING), F.col("line_no"))).over(Window.partitionBy("doc_id"))
+    """One row for each line of the whole text and mark that it has; the line is stripped."""
     tags = F.array(*(F.when(F.col("line").rlike(p), F.lit(t)) for t, p in FRONT_MATTER.items()))
-    before = rows.withColumn("start", start).filter("start is null or line_no < start")
-    return before.select("doc_id", "line_no", F.explode(F.array_compact(tags)).alias("tag"), "line")
+    return rows.select("doc_id", "line_no", F.explode(F.array_compact(tags)).alias("tag"), F.regexp_replace("line", r"(?U)^\s+|\s+$", "").alias("line"))
 
 
 def drop_end_sections(rows: DataFrame) -> DataFrame:
-    start = F.min(F.when(F.col("line").rlike(NOTES_HEADING), F.col("line_no"))).over(Window.partitionBy("doc_id"))
+    """All from the first heading of notes, footnotes, references or a bibliography on goes."""
+    heading = F.lit(False)
+    for pattern in NOTES_HEADINGS:
+        heading = heading | F.col("line").rlike(NO_CASE + pattern)
+    start = F.min(F.when(heading, F.col("line_no"))).over(Window.partitionBy("doc_id"))
     return rows.withColumn("start", start).filter("start is null or line_no < start").drop("start")
 
 
@@ -94,15 +103,40 @@ def joined(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_join(ordered["line"], "\n").alias("text"))
 
 
-def clean(docs: DataFrame) -> DataFrame:
-    """All steps in order: hyphens, footnote calls, front matter, end sections, page numbers, recurring lines, blanks."""
+def clean(docs: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """All steps in order: hyphens, footnote calls, glued words (with a dictionary: word), front matter, end sections,
+    page numbers, recurring lines, blanks."""
     text = drop_footnote_calls(join_hyphenated(normalize_newlines(F.col("text"))))
-    rows = lines(docs.select("doc_id", text.alias("text")))
+    docs = docs.select("doc_id", text.alias("text"))
+    if dictionary is not None:
+        docs = rewrite_glued_words(docs, dictionary)
+    rows = lines(docs)
     for step in (drop_front_matter, drop_end_sections, drop_page_numbers, drop_recurring_lines):
         rows = step(rows)
     return joined(rows).select("doc_id", squeeze(F.col("text")).alias("text"))
 
 
+GLUED = "^[A-Za-z]{8,}$"
+
+
+def rewrite_glued_words(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Long words that are not in the dictionary, but are two of its words in a row, are parted by a blank in the texts.
+
+    Only distinct long words meet the dictionary; each text gets its own splits as a map."""
+    pieces = F.regexp_extract_all("text", F.lit(r"(?U)(\w+|\W+)"), F.lit(1))
+    docs = docs.withColumn("pieces", pieces).withColumn("row", F.monotonically_increasing_id() if docs.isStreaming else F.xxhash64("doc_id", "text"))
+    long = docs.select("row", F.explode(F.array_distinct(F.transform(F.filter("pieces", lambda p: p.rlike(GLUED)), F.lower))).alias("word")).distinct()
+    splits = split_glued_words(long.select("word"), dictionary).select("word", F.length("left_part").alias("at"))
+    maps = long.join(splits, "word").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("word", "at"))).alias("splits"))
+
+    def parted(p: Column) -> Column:
+        at = F.col("splits")[F.lower(p)]
+        return F.when(p.rlike(GLUED) & at.isNotNull(), F.concat(p.substr(F.lit(1), at), F.lit(" "), p.substr(at + 1, F.length(p)))).otherwise(p)
+
+    rewritten = F.when(F.col("splits").isNull(), F.col("text")).otherwise(F.array_join(F.transform("pieces", parted), ""))
+    return docs.join(maps, "row", "left").withColumn("text", rewritten).drop("row", "pieces", "splits")
+
+
 def split_glued_words(words: DataFrame, dictionary: DataFrame, shortest: int = 8) -> DataFrame:
     """Unknown long words with the first place from the third on where both parts are known words."""
     unknown = words.select("word").distinct().filter(F.length("word") >= shortest).join(dictionary, "word", "left_anti")
@@ -127,24 +161,27 @@ def escape_html(text: Column) -> Column:
     return text
 
 
-# Rewrites of markdown to prose, in the order in which they apply.
+# Rewrites of markdown to prose, in the order in which they apply. Of fenced blocks only the fences go.
 MARKDOWN = (
-    (r"(?ms)^```.*?^```\s*?$", ""),
+    (r"(?m)^(```|~~~)[^\n]*\n", ""),
     (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
-    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
-    (r"\[([^\]]+)\]\[[^\]]*\]", "$1"),
-    (r"(?m)^\s*\[[^\]]+\]:.*$", ""),
+    (r"\[([^\]]*)\]\(([^)]*)\)", "$1"),
+    (r"(?m)^[ \t]*\[[^\]]+\]:\s*\S+.*$", ""),
+    (r"\[([^\]]*)\]\[[^\]]*\]", "$1"),
     (r"<[^>]+>", ""),
-    (r"(?m)^\s{0,3}#{1,6}\s*", ""),
-    (r"(?m)^\s*>\s?", ""),
-    (r"(?m)^\s*[-*+]\s+", ""),
-    (r"(?m)^\s*\d+[.)]\s+", ""),
-    (r"(?m)^\s*([-*_])(\s*\1){2,}\s*$", ""),
+    (r"(?m)^#{1,6}[ \t]*", ""),
+    (r"(?m)^>[ \t]?", ""),
+    (r"(?m)^[ \t]*[-*+][ \t]+", ""),
+    (r"(?m)^[ \t]*\d+[.)][ \t]+", ""),
+    (r"(?m)^[ \t]*([-*_])[ \t]*(\1[ \t]*){2,}$", ""),
+    (r"(\*\*\*|___)(.+?)\1", "$2"),
     (r"(\*\*|__)(.+?)\1", "$2"),
-    (r"(\*|_)(\S.*?)\1", "$2"),
+    (r"(?<!\w)(\*|_)(?!\1)(.+?)\1(?!\w)", "$2"),
     (r"~~(.+?)~~", "$1"),
     (r"`([^`]*)`", "$1"),
-    (r"(?m)^\s*\|?[\s:|-]+\|[\s:|-]*$", ""),
+    (r"(?m)^[ \t]*\|?[ \t:|-]*-[ \t:|-]*\|?[ \t]*$", ""),
+    (r"(?m)^[ \t]*\|", ""),
+    (r"(?m)\|[ \t]*$", ""),
     (r"\|", " "),
     (r"\n{3,}", "\n\n"),
 )
@@ -152,5 +189,5 @@ MARKDOWN = (
 
 def markdown_to_prose(text: Column) -> Column:
     for pattern, result in MARKDOWN:
-        text = F.regexp_replace(text, pattern, result)
-    return F.trim(text)
+        text = F.regexp_replace(text, UNICODE + pattern, result)
+    return F.concat(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), F.lit("\n"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.porter import stems
 from lectern.functions.words import TOKEN, is_function_word, sentences
+from lectern.operators.vocabulary import with_stems
 
 
 def densities(docs: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def informative(rows: DataFrame, clusters: DataFrame, share: float, k: int) -> D
     above the density's percentile. Stems meet sentences by an equi join; no sentence is tried with every cluster."""
     dense = rows.join(density_thresholds(rows, share), "doc_id").filter("density >= threshold")
     words = dense.select("doc_id", "sent_id", "density", F.explode("words").alias("lower"))
-    found = words.join(stems(words), "lower").join(clusters.select("doc_id", "stem", "cluster"), ["doc_id", "stem"])
+    found = with_stems(words).join(clusters.select("doc_id", "stem", "cluster"), ["doc_id", "stem"])
     scored = found.groupBy("doc_id", "cluster", "sent_id").agg(F.first("density").alias("density"), F.array_sort(F.collect_set("stem")).alias("stems"))
     scored = scored.withColumn("score", F.round(F.col("density") * (1 + F.size("stems")), 4))
     order = Window.partitionBy("doc_id", "cluster").orderBy(F.desc("score"), "sent_id")

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def inventory(words: DataFrame) -> DataFrame:
-    """A small inventory made of a table of words: two senses for each, whose glosses are other words of the table.
+def inventory(words: DataFrame, by: str) -> DataFrame:
+    """An inventory made of a table of words: two senses for each, whose glosses are the next words of its group.
 
-    words: word, rank (from 1, without gaps)."""
-    near = words.select(F.col("word").alias("gloss"), "rank")
-    sense = words.select("word", "rank", F.explode(F.array(F.lit(0), F.lit(1))).alias("sense_rank")).withColumn("other", F.col("rank") + F.col("sense_rank") + 1)
-    return sense.join(near.withColumnRenamed("rank", "other"), "other").select("word", "sense_rank", "gloss")
+    words: word, the group's column, rank (from 1 in each group, without gaps)."""
+    near = words.select(F.col("word").alias("gloss"), by, F.col("rank").alias("other"))
+    sense = words.select("word", by, F.explode(F.array(F.lit(0), F.lit(1))).alias("sense_rank"), F.col("rank").alias("own")).withColumn("other", F.col("own") + F.col("sense_rank") + 1)
+    return sense.join(near, [by, "other"]).select("word", "sense_rank", "gloss")
 
 
 def scored(occurrences: DataFrame, senses: DataFrame, context: DataFrame) -> DataFrame:
@@ -24,11 +24,6 @@ def scored(occurrences: DataFrame, senses: DataFrame, context: DataFrame) -> Dat
     return rows.select("doc_id", "sent_id", "pos", "word", "sense_rank", (hits - F.col("sense_rank") * 0.5).alias("score"))
 
 
-def predictions(scores: DataFrame) -> DataFrame:
-    order = Window.partitionBy("doc_id", "pos").orderBy(F.desc("score"), "sense_rank")
-    return scores.withColumn("r", F.row_number().over(order)).filter("r = 1").select("doc_id", "sent_id", "pos", "word", F.col("sense_rank").alias("predicted"))
-
-
 def withheld(found: DataFrame) -> DataFrame:
     """A word one of whose occurrences is not of its default sense is withheld from automatic acceptance."""
     flag = F.bool_or(F.col("predicted") != 0).over(Window.partitionBy("doc_id", "word"))

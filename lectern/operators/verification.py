@@ -71,3 +71,34 @@ def verbatim_runs(items: DataFrame, sources: DataFrame, least: int = 4, most: in
     start = "named_struct('next', 0, 'runs', cast(array() as array<struct<pos: int, length: int>>))"
     step = "if(x.pos >= a.next, named_struct('next', x.pos + x.length, 'runs', concat(a.runs, array(x))), a)"
     return places.select("doc_id", F.explode(F.expr(f"aggregate(places, {start}, (a, x) -> {step}, a -> a.runs)")).alias("run")).select("doc_id", "run.pos", "run.length")
+
+
+def verbatim_share(items: DataFrame, sources: DataFrame) -> DataFrame:
+    """doc_id, matched, total, share: the tokens of each item that lie in verbatim runs, in percent of all."""
+    matched = verbatim_runs(items, sources).groupBy("doc_id").agg(F.sum("length").alias("matched"))
+    total = items.select("doc_id", F.size(F.regexp_extract_all("text", F.lit("([A-Za-z']+)"), F.lit(1))).cast("long").alias("total"))
+    rows = total.join(matched, "doc_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0)).cast("long"))
+    return rows.withColumn("share", F.when(F.col("total") > 0, F.round(100 * F.col("matched") / F.col("total"), 1)).otherwise(0.0))
+
+
+def best_sentences(spans: DataFrame, sources: DataFrame) -> DataFrame:
+    """For each span the sentence of its own source that holds most of its content words: span_id, source, best, second.
+
+    spans: span_id, conv_id, text; sources: conv_id, src_id, source. Spans meet sentences by their words."""
+    mine = spans.select("span_id", "conv_id", content_words(F.col("text")).alias("w")).withColumn("size", F.size("w"))
+    theirs = sources.select("conv_id", "src_id", F.explode(content_words(F.col("source"))).alias("word"))
+    met = mine.select("span_id", "conv_id", "size", F.explode("w").alias("word")).join(theirs, ["conv_id", "word"]).groupBy("span_id", "conv_id", "src_id", "size").agg(F.count("*").alias("shared"))
+    order = Window.partitionBy("span_id").orderBy(F.desc("overlap"), "src_id")
+    two = met.withColumn("overlap", F.col("shared") / F.col("size")).withColumn("r", F.row_number().over(order)).filter("r <= 2")
+    best = two.groupBy("span_id", "conv_id").agg(F.max(F.when(F.col("r") == 1, F.col("src_id"))).alias("src_id"), F.max(F.when(F.col("r") == 1, F.col("overlap"))).alias("best"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("overlap"))), F.lit(0.0)).alias("second"))
+    return best.join(sources, ["conv_id", "src_id"]).select("span_id", "source", "best", "second")
+
+
+def normalised(vector: Column) -> Column:
+    """A vector of length 1; zeros stay."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(vector, lambda x: F.coalesce(x.cast("double") / F.nullif(norm, F.lit(0.0)), F.lit(0.0)))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

@@ -9,10 +9,24 @@ from lectern.functions.porter import stems
 from lectern.functions.words import is_function_word, tokens
 
 
+#: Parts that each function word is dealt to when tokens meet stems.
+SALT = 64
+
+
+def with_stems(rows: DataFrame) -> DataFrame:
+    """Rows with a column ``lower`` and the stem of each. Only distinct words are stemmed.
+
+    Words are frequent in very unlike measure, and the most frequent ones are function words, so those are dealt to many
+    parts; no word then is a large share of what one task joins, even where the table of stems is too large to broadcast."""
+    salt = lambda w: F.when(is_function_word(w), F.lit(SALT)).otherwise(F.lit(1))
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salt(F.col("lower"))).cast("int"))
+    right = stems(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), salt(F.col("lower")) - 1)))
+    return left.join(right, ["lower", "salt"]).drop("salt")
+
+
 def stemmed_tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, token, lower, stem. Only distinct words are stemmed."""
-    rows = tokens(docs)
-    return rows.join(stems(rows), "lower")
+    """doc_id, pos, token, lower, stem."""
+    return with_stems(tokens(docs))
 
 
 def is_content(lower=None):

@@ -6,7 +6,7 @@ from lectern.plans.registry import ORACLES, QUERIES
 
 
 def all_queries():
-    from lectern.plans import analysis, audits, basics, extras, models  # noqa: F401
+    from lectern.plans import analysis, audits, basics, decided, extras, models  # noqa: F401
 
     return dict(QUERIES)
 

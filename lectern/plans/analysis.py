@@ -207,23 +207,29 @@ def j28_clusters(spark, sf):
     return verification.aligned_hits(*cluster_hits(spark, sf))
 
 
-@query("L01_longest_verbatim_match", "WITH " + """g AS (SELECT doc_id, k, array_to_string(w[p + 1:p + k], ' ') AS gram FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z'']+') AS w FROM documents), (SELECT unnest([4, 8, 12]) AS k) WHERE len(w) >= k)),
-i AS (SELECT item_id, CAST(p AS INT) AS pos, k, array_to_string(w[p + 1:p + k], ' ') AS gram FROM (SELECT item_id, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM (SELECT item_id, regexp_extract_all(lower(text), '[A-Za-z'']+') AS w FROM benchmark), (SELECT unnest([4, 8, 12]) AS k) WHERE len(w) >= k))
-SELECT item_id, pos, max(k) AS longest FROM i SEMI JOIN g USING (k, gram) GROUP BY item_id, pos""")
-def l01(spark, sf):
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    sizes = (4, 8, 12)
-    mine, theirs = phrases.grams(items, sizes), phrases.grams(docs_of(spark, sf), sizes)
-    found = mine.join(theirs.select("n", "gram"), ["n", "gram"], "left_semi")
-    return found.groupBy(F.col("doc_id").alias("item_id"), "pos").agg(F.max("n").alias("longest"))
+_RUNS = """WITH RECURSIVE d AS (SELECT DISTINCT text FROM documents), dw AS (SELECT text AS src, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM d), iw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM benchmark),
+dg AS (SELECT src, p, array_to_string(w[p + 1:p + 4], ' ') AS gram FROM (SELECT src, w, unnest(range(0, len(w) - 3)) AS p FROM dw)), ig AS (SELECT item_id, p, array_to_string(w[p + 1:p + 4], ' ') AS gram FROM (SELECT item_id, w, unnest(range(0, len(w) - 3)) AS p FROM iw)),
+hits AS (SELECT DISTINCT item_id, md5(src) AS src, ig.p AS pos, ig.p - dg.p AS diagonal FROM ig JOIN dg USING (gram)),
+islands AS (SELECT *, pos - row_number() OVER (PARTITION BY item_id, src, diagonal ORDER BY pos) AS island FROM hits),
+longest AS (SELECT item_id, pos, max(least(stop - pos, 40)) AS length FROM (SELECT *, max(pos) OVER (PARTITION BY item_id, src, diagonal, island) + 4 AS stop FROM islands) GROUP BY ALL),
+next AS (SELECT a.item_id, a.pos, a.length, min(b.pos) AS onward FROM longest a LEFT JOIN longest b ON b.item_id = a.item_id AND b.pos >= a.pos + a.length GROUP BY ALL),
+runs AS (SELECT item_id, pos, length, onward FROM next WHERE (item_id, pos) IN (SELECT (item_id, min(pos)) FROM longest GROUP BY item_id) UNION ALL SELECT n.item_id, n.pos, n.length, n.onward FROM runs r JOIN next n ON n.item_id = r.item_id AND n.pos = r.onward)
+"""
 
 
-@query("L01_verbatim_runs")
+@query("L01_verbatim_runs", _RUNS + "SELECT item_id, CAST(pos AS INT) AS pos, CAST(length AS INT) AS length FROM runs")
 def l01_runs(spark, sf):
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     return verification.verbatim_runs(items, docs_of(spark, sf)).withColumnRenamed("doc_id", "item_id")
 
 
+@query("A17_verbatim_share", _RUNS + """, totals AS (SELECT item_id, len(w) AS total FROM iw), got AS (SELECT item_id, sum(length) AS matched FROM runs GROUP BY item_id)
+SELECT item_id, CAST(coalesce(matched, 0) AS BIGINT) AS matched, CAST(total AS BIGINT) AS total, CASE WHEN total > 0 THEN round(100 * coalesce(matched, 0) / total, 1) ELSE 0.0 END AS share FROM totals LEFT JOIN got USING (item_id)""")
+def a17(spark, sf):
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return verification.verbatim_share(items, docs_of(spark, sf)).withColumnRenamed("doc_id", "item_id")
+
+
 @query("F22_blocks", W.with_sql("lines") + r"""SELECT doc_id, CAST(block AS BIGINT) AS block, kind, string_agg(trim(line), ' ' ORDER BY line_no) AS text FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM
  (SELECT *, CASE WHEN kind = 'p' AND lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) = 'p' THEN 0 ELSE 1 END AS new FROM
  (SELECT *, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^\s*Definition\s+\d+') THEN 'defn' WHEN regexp_matches(line, '^\s*\d+\.\d+\s+\S') THEN 'h3' WHEN regexp_matches(line, '^\s*\d+\.?\s+[A-Z]') THEN 'h2' ELSE 'p' END AS kind FROM lines))) WHERE kind <> 'blank' GROUP BY ALL""")

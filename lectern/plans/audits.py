@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import words as W
-from lectern.operators import audit
+from lectern.operators import audit, sequences
 from lectern.plans.registry import query
 from lectern.session import table
 
@@ -119,10 +119,26 @@ def f31(spark, sf):
     return calls(spark, sf).select("conv_id", "turn", F.coalesce(fitting, F.lit(1 << 18)).alias("bucket"))
 
 
-@query("P24_sanity_issues", "WITH " + CALLS_SQL + " SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN n_original < 5 THEN 'short' END, CASE WHEN length(original) > 2000 THEN 'long' END, CASE WHEN contains(original, '%%') THEN 'marks' END], lambda x: x IS NOT NULL), ',') AS issues FROM calls")
+@query("P24_sanity_issues", f"""WITH vocab AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(arg_min(text, turn)), '[a-z'']+')) AS v FROM conversations GROUP BY conv_id),
+w AS (SELECT c.conv_id, turn, regexp_extract_all(text, '[A-Za-z'']+') AS words, len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS n, v FROM conversations c JOIN vocab USING (conv_id)),
+t AS (SELECT conv_id, turn, unnest(range(len(words))) AS i, lower(unnest(words)) AS word, v FROM w),
+u AS (SELECT conv_id, turn, i - row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS island FROM t WHERE NOT list_contains(v, word) AND word NOT IN ({W.sql_list(W.FUNCTION_WORDS)})),
+r AS (SELECT conv_id, turn, max(k) AS run FROM (SELECT conv_id, turn, island, count(*) AS k FROM u GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT *, CASE WHEN len(words) >= 12 THEN list_transform(range(1, len(words) - 4), lambda i: array_to_string(list_transform(words, lambda x: lower(x))[i:i + 5], ' ')) ELSE [] END AS grams FROM w)
+SELECT g.conv_id, g.turn, array_to_string(list_filter([CASE WHEN len(words) > 0 AND coalesce(run, 0) >= greatest(1, round_even(len(words) / greatest(n, 1), 0)) THEN 'invented_run' END, CASE WHEN list_max(list_transform(words, lambda x: length(x))) > 30 THEN 'long_word' END,
+ CASE WHEN len(list_distinct(grams)) < len(grams) THEN 'repeated_phrase' END], lambda x: x IS NOT NULL), ',') AS issues FROM g LEFT JOIN r USING (conv_id, turn)""")
 def p24(spark, sf):
-    issues = F.array_compact(F.array(F.when(F.col("n_original") < 5, "short"), F.when(F.length("original") > 2000, "long"), F.when(F.contains("original", F.lit("%%")), "marks")))
-    return calls(spark, sf).select("conv_id", "turn", F.array_join(issues, ",").alias("issues"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    first = rows.groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"))
+    rows = rows.join(first, "conv_id").withColumn("vocabulary", F.regexp_extract_all(F.lower("first"), F.lit("([a-z']+)"), F.lit(1)))
+    return audit.sanity_issues(rows).select("conv_id", "turn", F.array_join("issues", ",").alias("issues"))
+
+
+@query("P25_talk_about_the_text", """SELECT conv_id, turn, regexp_matches(lower(t), '(this|the) (paper|article)|this (section|study|chapter|argument|discussion)|the following sections?|these considerations|the argument|as we have seen|in what follows|we now turn|we conclude|to summarize|in sum|the discussion above|the preceding|the remainder of') AS talk
+FROM (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN text || ' As We Have seen' WHEN 1 THEN 'In sum, ' || text ELSE text END AS t FROM conversations)""")
+def p25(spark, sf):
+    planted = F.when(F.col("conv_id") % 3 == 0, F.concat("text", F.lit(" As We Have seen"))).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("In sum, "), "text")).otherwise(F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", sequences.is_talk(planted).alias("talk"))
 
 
 @query("F34_tolerance", "WITH " + CALLS_SQL + " SELECT conv_id, turn, abs(n_original - 100) <= 0.05 * 100 AS within FROM calls")

@@ -62,10 +62,13 @@ def f11(spark, sf):
     return docs_of(spark, sf).select("doc_id", F.size(verification.content_words(F.col("text"))).cast("long").alias("n"))
 
 
-@query("F23_chunks", f"SELECT doc_id, CAST(unnest(range(CAST(ceil(len(w) / 120.0) AS BIGINT))) AS INT) AS chunk, md5(array_to_string(w[unnest(range(CAST(ceil(len(w) / 120.0) AS BIGINT))) * 120 + 1:unnest(range(CAST(ceil(len(w) / 120.0) AS BIGINT))) * 120 + 120], ' ')) AS digest FROM (SELECT doc_id, {W.word_array_sql('text')} AS w FROM documents)")
+@query("F23_chunks", f"""WITH marked AS (SELECT doc_id, regexp_replace(text, '[.] (A|E|T)', '.' || chr(10) || ' ' || chr(10) || '\\1', 'g') AS text FROM documents),
+paragraphs AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS text FROM (SELECT doc_id, string_split_regex(text, '\\n\\s*\\n') AS p FROM marked)), w AS (SELECT doc_id, i, {W.word_array_sql('text')} AS w FROM paragraphs),
+cut AS (SELECT doc_id, i, w, unnest(range(0, len(w), 120)) AS start FROM w)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, start) - 1 AS INT) AS chunk, md5(array_to_string(w[start + 1:start + 120], ' ')) AS digest FROM cut""")
 def f23(spark, sf):
-    rows = docs_of(spark, sf).select("doc_id", W.word_array(F.col("text")).alias("w"))
-    return rows.select("doc_id", "w", F.explode(F.expr("if(size(w) > 0, sequence(0, cast(ceil(size(w) / 120) as int) - 1), cast(array() as array<int>))")).alias("chunk")).select("doc_id", "chunk", F.md5(F.array_join(F.expr("slice(w, chunk * 120 + 1, 120)"), " ")).alias("digest"))
+    marked = F.regexp_replace("text", "[.] (A|E|T)", ".\n \n$1")
+    return docs_of(spark, sf).select("doc_id", F.posexplode(W.paragraph_chunks(marked, 120)).alias("chunk", "text")).select("doc_id", "chunk", F.md5("text").alias("digest"))
 
 
 @query("F24_substring_count", "SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) AS n FROM documents")
@@ -84,11 +87,13 @@ def f18(spark, sf):
     return docs_of(spark, sf).select("doc_id", part(1).alias("r"), part(3).alias("g"), part(5).alias("b"))
 
 
-@query("F20_metadata_lines", r"SELECT doc_id, coalesce(nullif(trim(regexp_extract(t, '(?im)^\s*TITLE:\s*(.*)$', 1)), ''), 'Unclear') AS title, coalesce(nullif(trim(regexp_extract(t, '(?im)^\s*AUTHOR:\s*(.*)$', 1)), ''), 'Unclear') AS author FROM (SELECT doc_id, 'Title: d' || doc_id || chr(10) || text AS t FROM documents)")
+@query("F20_metadata_lines", r"""SELECT doc_id, coalesce(nullif(trim(regexp_extract(t, '(?im)^\s*TITLE:[ \t]*(.*)$', 1)), ''), 'Unclear') AS title, coalesce(nullif(trim(regexp_extract(t, '(?im)^\s*AUTHOR[^:\n]*:[ \t]*(.*)$', 1)), ''), 'Unclear') AS author,
+ coalesce(nullif(trim(regexp_extract(t, '(?im)^\s*DATE:[ \t]*(.*)$', 1)), ''), 'Unclear') AS date FROM (SELECT doc_id, 'Title: d' || doc_id || chr(10) || 'author(s): ' || lang || chr(10) || 'DATE: ' || CASE WHEN doc_id % 2 = 0 THEN '2024' ELSE '' END || chr(10) || text AS t FROM documents)""")
 def f20(spark, sf):
-    rows = docs_of(spark, sf).select("doc_id", F.concat(F.lit("Title: d"), "doc_id", F.lit("\n"), "text").alias("t"))
-    line = lambda name: F.coalesce(F.nullif(F.trim(F.regexp_extract("t", rf"(?im)^\s*{name}:\s*(.*)$", 1)), F.lit("")), F.lit("Unclear"))
-    return rows.select("doc_id", line("TITLE").alias("title"), line("AUTHOR").alias("author"))
+    year = F.when(F.col("doc_id") % 2 == 0, "2024").otherwise("")
+    rows = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Title: d"), "doc_id", F.lit("\nauthor(s): "), "lang", F.lit("\nDATE: "), year, F.lit("\n"), "text").alias("t"))
+    line = lambda name: F.coalesce(F.nullif(F.trim(F.regexp_extract("t", rf"(?im)^\s*{name}:[ \t]*(.*)$", 1)), F.lit("")), F.lit("Unclear"))
+    return rows.select("doc_id", line("TITLE").alias("title"), line(r"AUTHOR[^:\n]*").alias("author"), line("DATE").alias("date"))
 
 
 @query("F32_softmax", "SELECT vec_id, round(1 / (1 + exp(CAST(embedding[1] AS DOUBLE) - CAST(embedding[2] AS DOUBLE))), 6) AS p FROM embeddings")
@@ -96,9 +101,12 @@ def f32(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(1 / (1 + F.exp(F.col("embedding")[0].cast("double") - F.col("embedding")[1].cast("double"))), 6).alias("p"))
 
 
-@query("F33_normalised", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 4) AS squared FROM embeddings")
+@query("F33_normalised_dot", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e), q AS (SELECT v AS w, norm AS size FROM n ORDER BY vec_id LIMIT 1)
+SELECT vec_id, round(list_sum(list_transform(list_zip(v, w), lambda z: z[1] * z[2])) / (norm * size), 5) AS dot FROM n, q""")
 def f33(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("squared"))
+    rows = table(spark, sf, "embeddings").select("vec_id", verification.normalised(F.col("embedding")).alias("v"))
+    first = rows.orderBy("vec_id").select(F.col("v").alias("w")).limit(1)  # one row
+    return rows.join(F.broadcast(first)).select("vec_id", F.round(verification.dot(F.col("v"), F.col("w")), 5).alias("dot"))
 
 
 @query("A14_span_pivot", "SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS user, count(*) FILTER (WHERE role = 'assistant') AS assistant, count(*) FILTER (WHERE role = 'system') AS system FROM conversations GROUP BY conv_id")
@@ -112,9 +120,10 @@ def a34(spark, sf):
     return calls(spark, sf).groupBy("condition").agg(F.count("*").alias("n"), F.max(F.length("response")).cast("long").alias("most"), F.count_if("failed").alias("failures"))
 
 
-@query("A29_outcome_counts", "WITH " + CALLS_SQL + " SELECT condition, category, count(*) AS k FROM outcomes GROUP BY ALL")
+@query("A29_outcome_counts", "WITH " + CALLS_SQL + """, names AS (SELECT unnest(['call_failed', 'empty_response', 'unparseable', 'fixed_no_text', 'fixed_rejected_short', 'fixed_identical', 'fixed_expanded', 'ok', 'fixed_changed']) AS category),
+conditions AS (SELECT DISTINCT condition FROM calls) SELECT condition, category, count(conv_id) AS k FROM conditions CROSS JOIN names LEFT JOIN outcomes USING (condition, category) GROUP BY ALL""")
 def a29(spark, sf):
-    return audit.shares(outcomes(spark, sf), ["condition"], "category", DOMAIN).filter("k > 0").select("condition", "category", "k")
+    return audit.shares(outcomes(spark, sf), ["condition"], "category", DOMAIN).select("condition", "category", "k")
 
 
 @query("W13_share_of_total", "SELECT lang, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM documents GROUP BY lang")
@@ -135,23 +144,32 @@ def f37(spark, sf):
     return rows.select("conv_id", "turn", F.round("s.ratio", 6).alias("ratio"), F.round("s.containment", 6).alias("containment"))
 
 
+def spans_of(spark, sf):
+    """Sentences of the conversations' last turns, with the best sentence of what was said before in each."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    last = rows.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), F.max("turn").alias("turn"))
+    before = rows.join(last.select("conv_id", F.col("turn").alias("end")), "conv_id").filter("turn < end")
+    whole = before.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", "text")))["text"], "\n").alias("whole"))
+    cut = lambda t: F.posexplode(W.sentence_array(F.col(t)))
+    spans = last.select("conv_id", cut("text").alias("i", "text")).select(F.struct("conv_id", "i").alias("span_id"), "conv_id", F.trim("text").alias("text"))
+    sources = whole.select("conv_id", cut("whole").alias("src_id", "source"))
+    best = verification.best_sentences(spans, sources)
+    return spans.join(whole, "conv_id").join(best, "span_id", "left")
+
+
 @query("L08_span_classes")
 def l08(spark, sf):
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("span_id"), "text")
-    best = verification.best_sources(items, docs_of(spark, sf).withColumnRenamed("doc_id", "src_id"))
-    sources = docs_of(spark, sf).select(F.col("doc_id").alias("src_id"), F.col("text").alias("source"))
-    rows = items.join(best, "span_id").join(sources, "src_id").withColumn("overlap", F.col("best"))
-    return sequences.classify_spans(rows).select("span_id", "src_id", "kind", F.size("added").alias("n_added"))
+    found = sequences.classify_spans(spans_of(spark, sf))
+    return found.select("span_id.conv_id", "span_id.i", "kind", "basis", F.size("added").alias("n_added"))
+
+
+@query("L10_borderline_flags")
+def l10(spark, sf):
+    found = sequences.borderline_flags(sequences.classify_spans(spans_of(spark, sf)))
+    return found.select("span_id.conv_id", "span_id.i", "kind", "basis", "against")
 
 
 @query("A37_permutation_p")
 def a37(spark, sf):
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     return sequences.permutation_p(rows, "lang", "quality", 10_000)
-
-
-@query("J28_aligned_hits", "SELECT coalesce(a.lang, b.lang) AS lang, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM (SELECT lang, count(*) AS x FROM documents WHERE doc_id % 2 = 0 GROUP BY lang) a FULL JOIN (SELECT lang, count(*) AS y FROM documents WHERE n_chars > 20000 GROUP BY lang) b ON a.lang = b.lang")
-def j28(spark, sf):
-    rows = table(spark, sf, "documents")
-    left, right = rows.filter("doc_id % 2 = 0").groupBy("lang").agg(F.count("*").alias("x")), rows.filter("n_chars > 20000").groupBy("lang").agg(F.count("*").alias("y"))
-    return left.join(right, "lang", "full").fillna(0, ["x", "y"])

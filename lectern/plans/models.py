@@ -14,8 +14,9 @@ from lectern.session import table
 from lectern.sources import files
 from lectern.streaming.decisions import latest_choices
 
-RANKED = "ranked AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS rank FROM (SELECT lower AS word, count(*) AS n FROM tokens WHERE regexp_matches(lower, '^[a-z]{4,}$') GROUP BY lower ORDER BY n DESC, word LIMIT 200))"
-SENSES = "senses AS (SELECT a.word, s.sense_rank, b.word AS gloss FROM ranked a, (SELECT unnest([0, 1]) AS sense_rank) s JOIN ranked b ON b.rank = a.rank + s.sense_rank + 1)"
+#: An inventory of all words: a word's glosses are the next ones of the same two first letters.
+RANKED = "ranked AS (SELECT word, left(word, 2) AS letters, row_number() OVER (PARTITION BY left(word, 2) ORDER BY word) AS rank FROM (SELECT DISTINCT lower AS word FROM tokens WHERE regexp_matches(lower, '^[a-z]{4,}$')))"
+SENSES = "senses AS (SELECT a.word, s.sense_rank, b.word AS gloss FROM ranked a, (SELECT unnest([0, 1]) AS sense_rank) s JOIN ranked b ON b.letters = a.letters AND b.rank = a.rank + s.sense_rank + 1)"
 SCORED = """occ2 AS (SELECT doc_id, sent_id, p AS pos, w AS word FROM (SELECT doc_id, sent_id, unnest(range(len(words))) AS p, unnest(words) AS w FROM dens) SEMI JOIN ranked ON ranked.word = w),
 scored AS (SELECT o.doc_id, o.sent_id, o.pos, o.word, s.sense_rank, len(list_filter(d.words, lambda x: x = s.gloss)) - s.sense_rank * CAST(0.5 AS DOUBLE) AS score FROM occ2 o JOIN senses s USING (word) JOIN dens d ON d.doc_id = o.doc_id AND d.sent_id = o.sent_id),
 predicted AS (SELECT doc_id, sent_id, pos, word, sense_rank AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id, pos ORDER BY score DESC, sense_rank) AS r FROM scored) WHERE r = 1)"""
@@ -24,18 +25,17 @@ UPTO_SCORES = W.with_sql("tokens", "sentences", DENSITY, RANKED, SENSES, SCORED)
 
 
 def ranked_words(spark, sf):
-    counts = W.tokens(docs_of(spark, sf)).filter(F.col("lower").rlike("^[a-z]{4,}$")).groupBy(F.col("lower").alias("word")).agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(200)
-    return top.select("word", F.row_number().over(Window.orderBy(F.desc("n"), "word")).cast("long").alias("rank"))  # 200 rows
+    known = W.tokens(docs_of(spark, sf)).filter(F.col("lower").rlike("^[a-z]{4,}$")).select(F.col("lower").alias("word"), F.substring("lower", 1, 2).alias("letters")).distinct()
+    return known.withColumn("rank", F.row_number().over(Window.partitionBy("letters").orderBy("word")).cast("long"))
 
 
 def scores_of(spark, sf):
     rows = selection.densities(docs_of(spark, sf)).select("doc_id", "sent_id", "words")
     words = ranked_words(spark, sf)
-    occurrences = rows.select("doc_id", "sent_id", F.posexplode("words").alias("p", "word")).join(F.broadcast(words.select("word")), "word", "left_semi")
+    occurrences = rows.select("doc_id", "sent_id", F.posexplode("words").alias("p", "word")).filter(F.col("word").rlike("^[a-z]{4,}$"))
     # A place is that in its sentence, so that a text's places are apart by sentence.
     occurrences = occurrences.select("doc_id", "sent_id", F.col("p").cast("long").alias("pos"), "word")
-    return senses.scored(occurrences, F.broadcast(senses.inventory(words)), rows)
+    return senses.scored(occurrences, senses.inventory(words, "letters"), rows)
 
 
 def predicted_of(spark, sf):
@@ -46,7 +46,7 @@ def predicted_of(spark, sf):
 
 @query("J05_sense_inventory", UPTO_SENSES + "SELECT word, sense_rank, gloss FROM senses")
 def j05(spark, sf):
-    return senses.inventory(ranked_words(spark, sf))
+    return senses.inventory(ranked_words(spark, sf), "letters")
 
 
 @query("M02_gloss_overlap", UPTO_SCORES + "SELECT word, sense_rank, count(*) AS n, round(sum(score), 4) AS total FROM scored GROUP BY ALL")
@@ -64,12 +64,12 @@ def u05(spark, sf):
     return predicted_of(spark, sf).filter("predicted <> 0").select("doc_id", "word", "predicted").distinct()
 
 
-@query("H01_decisions", UPTO_SCORES + """, flagged AS (SELECT DISTINCT doc_id, word, predicted FROM predicted WHERE predicted <> 0), decisions AS (SELECT word, CASE rank % 3 WHEN 0 THEN 'default' WHEN 1 THEN 'predicted' ELSE 'delete' END AS kind FROM ranked WHERE rank <= 150)
+@query("H01_decisions", UPTO_SCORES + """, flagged AS (SELECT DISTINCT doc_id, word, predicted FROM predicted WHERE predicted <> 0), decisions AS (SELECT word, CASE rank % 3 WHEN 0 THEN 'default' WHEN 1 THEN 'predicted' ELSE 'delete' END AS kind FROM ranked)
 SELECT doc_id, word, predicted, CASE coalesce(kind, 'default') WHEN 'default' THEN 0 ELSE predicted END AS sense FROM flagged LEFT JOIN decisions USING (word) WHERE coalesce(kind, 'default') <> 'delete'""")
 def h01(spark, sf):
     kinds = F.when(F.col("rank") % 3 == 0, "default").when(F.col("rank") % 3 == 1, "predicted").otherwise("delete")
-    decisions = ranked_words(spark, sf).filter("rank <= 150").select("word", kinds.alias("kind"))
-    return senses.resolved(u05(spark, sf), F.broadcast(decisions)).select("doc_id", "word", "predicted", "sense")
+    decisions = ranked_words(spark, sf).select("word", kinds.alias("kind"))
+    return senses.resolved(u05(spark, sf), decisions).select("doc_id", "word", "predicted", "sense")
 
 
 @query("J03_purge_deleted", UPTO_SCORES + "SELECT doc_id, sent_id, pos, word FROM predicted ANTI JOIN (SELECT word FROM ranked WHERE rank % 5 = 0) d USING (word)")
