@@ -6,7 +6,8 @@ character (``rule="first"``) or its last one (``rule="last"``): a token that cro
 side. Tokens outside every section are counted under section -1.
 
 Edge cases: null or empty text: no tokens, and no row unless sections are given. Sections of no length get none.
-Repeated rows are counted each.
+Repeated rows are counted each. Very long texts are encoded whole, in the memory of one task. Columns other than doc_id,
+text and that of the sections are not read. Empty table: no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Texts may hold control strings: backslashes, ``###`` and ``</turn>`` get a backs
 that formatted text can be parsed and texts come back as they were.
 
 Edge cases: null text and null role are empty. Turns are ordered by turn, role and text; repeated rows stay. Null
-conv_id is a conversation of its own. Empty table: no rows.
+conv_id is a conversation of its own. Very long texts are encoded whole; a task holds one conversation at a time, as its
+turns make one sequence of tokens. Columns other than conv_id, turn, role and text are not read. Empty table: no rows.
 """
 
 from __future__ import annotations

@@ -32,7 +32,7 @@ Sets are compared as 64-bit hashes of shingles, and classes are known by a 64-bi
 
 Edge cases: texts without words (null, empty, blank) have an empty set and link with nothing. Texts of fewer words
 than a shingle are one shingle. Very long texts are taken whole; a run holds at least one text, so memory grows with
-the longest one. Repeated rows are in one class. Columns other than doc_id and text are not read. Empty table: no rows.
+the longest one. Repeated rows are in one class. Rows without an id are joined like others, but give no id to a component. Columns other than doc_id and text are not read. Empty table: no rows.
 
 Jobs run while the result is being planned; its steps are stored in the shared folder and deleted when they are used up.
 """
@@ -418,11 +418,15 @@ def _join_regions(percent: int, most: int | None):
     return run
 
 
-def _texts(docs: DataFrame, keys: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key and text of the wanted classes, of their documents with the least id."""
+def _texts(docs: DataFrame, keys: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """key and text of the wanted classes, of their documents with the least id; where none has one, found by the key."""
     reps = stored(keys.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "join-reps")
     small = reps.count() <= BROADCAST_ROWS
-    texts = stored(docs.join(F.broadcast(reps) if small else reps, "doc_id").select("key", "text"), "join-texts")
+    found = docs.join(F.broadcast(reps) if small else reps, "doc_id").select("key", "text")
+    nameless = reps.filter("doc_id is null").select("key")
+    if not nameless.isEmpty():
+        found = found.unionByName(with_keys(docs.filter("doc_id is null"), n).join(nameless, "key").dropDuplicates(["key"]).select("key", "text"))
+    texts = stored(found, "join-texts")
     drop_folder(reps)
     return texts
 
@@ -483,7 +487,7 @@ def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
         if pairs.isEmpty():
             return pairs
         wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        texts = _texts(docs, keys, wanted)
+        texts = _texts(docs, keys, wanted, n)
         both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
         links = stored(_compare(both, n, percent).filter("linked").select("a", "b"), "join-links")
         drop_folder(pairs, texts)

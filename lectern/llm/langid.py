@@ -10,7 +10,9 @@ n-grams are hashed to a fixed number of features. Training takes a bounded sampl
 those whose document ids hash lowest; scoring takes every whole text.
 
 Edge cases: null text or text without a letter: ``und``, score 0. No labelled text at all: every text is ``und``.
-Repeated rows are scored each.
+Repeated rows are scored each. Very long texts are taken whole, their bytes being in memory. Ties go to the language that
+comes first by name. Other columns stay, but for ``lang_pred`` and ``lang_score``, which give way to the results, and
+``lang_letters``, which is dropped. Empty table: no rows. The model is fitted on the driver while the result is planned.
 """
 
 from __future__ import annotations

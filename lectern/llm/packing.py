@@ -10,7 +10,9 @@ with the number of partitions. Each round is written to the shared folder before
 
 A document longer than a sequence is cut from its end into full pieces; the rest is its first piece.
 
-Edge cases: null and empty text: the end id alone. Repeated rows: each is packed. Empty table: no rows.
+Edge cases: null and empty text: the end id alone. Repeated rows: each is packed. Very long texts are encoded whole and cut to pieces. Bins of equal
+free space are taken in the order in which they were opened. Columns other than doc_id and text are not read. Empty
+table: no rows. Rounds run while the result is planned.
 """
 
 from __future__ import annotations

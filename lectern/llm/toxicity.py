@@ -9,7 +9,10 @@ set thresholds, never scores.
 For scoring, the table is multiplied with every filter's weights once, so that a convolution is a sum of rows.
 
 Edge cases: null, empty and wordless texts get the score of a text without words, from the unit's bias. Without labels of both
-kinds the score is their share (0 if there are none). Repeated rows are scored each.
+kinds the score is their share (0 if there are none). A score of exactly 0.3 is predicted toxic. Repeated rows are scored
+each. Very long texts are scored whole, a few MB of words at a time being in memory. Other columns stay, but for
+``toxicity`` and ``toxic_in_language``, which give way to the results. Empty table: no rows. The model is trained on the
+driver while the result is planned, in a time that does not grow with the table.
 """
 
 from __future__ import annotations
