@@ -52,7 +52,7 @@ from lectern.llm.wordarrays import SOLID, STEP, buffers, gram_places, grams, mix
 SHINGLE, PERCENT = 4, 85
 #: A region is large from so many classes on, and so many shingles of large regions may be sent to all tasks; if there
 #: are more, only the larger regions count.
-LARGE, LARGE_SHINGLES = 48, 1 << 20
+LARGE, LARGE_SHINGLES = 4, 1 << 20
 BATCH_BYTES, PART_BYTES = 8 << 20, 2 << 20
 #: Bits of the map of shingles that more than one text holds: so many for each document, and at most.
 MAP_BITS_A_DOCUMENT, MAP_BITS = 128, 1 << 28
