@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.words import TOKEN
+
 
 def positions(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, term, pos of each token whose stem is a term of its text."""
@@ -40,13 +42,14 @@ def band_pairs(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
     return left.join(right, near, "left_semi").drop("bucket")
 
 
-def concordance(tokens: DataFrame, hits: DataFrame, width: int, most: int) -> DataFrame:
-    """The first hits of each text with the words before and after them."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    before = F.array_join(F.collect_list("token").over(order.rowsBetween(-width, -1)), " ")
-    after = F.array_join(F.collect_list("token").over(order.rowsBetween(1, width)), " ")
-    rows = tokens.select("doc_id", "pos", "token", before.alias("before"), after.alias("after")).join(hits.select("doc_id", "pos"), ["doc_id", "pos"], "left_semi")
-    return rows.withColumn("n", F.row_number().over(order).cast("long")).filter(F.col("n") <= most)
+def concordance(docs: DataFrame, hits: DataFrame, width: int, most: int) -> DataFrame:
+    """The first hits of each text with the words before and after them, cut out of the text's array of words; only the
+    hits are ordered, not the tokens. docs: doc_id, text; hits: doc_id, pos."""
+    first = hits.select("doc_id", "pos").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).cast("long")).filter(F.col("n") <= most)
+    rows = docs.select("doc_id", F.expr(f'regexp_extract_all(text, "({TOKEN})", 1)').alias("words")).join(first, "doc_id")
+    before = F.slice("words", F.greatest(F.col("pos") - width, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(width)))
+    after = F.slice("words", F.col("pos") + 2, F.lit(width))
+    return rows.select("doc_id", "pos", F.get("words", F.col("pos")).alias("token"), F.array_join(before, " ").alias("before"), F.array_join(after, " ").alias("after"), "n")
 
 
 def collocates(tokens: DataFrame, anchors: DataFrame, n: int) -> DataFrame:

@@ -103,7 +103,7 @@ SELECT doc_id, pos, token, coalesce(before, '') AS before, coalesce(after, '') A
 def w07(spark, sf):
     rows, top = parts(spark, sf)
     hits = reading.positions(rows.filter(F.col("lower").rlike("^[a-z]+$")), top.filter("rank = 1"))
-    return reading.concordance(W.tokens(docs_of(spark, sf)), hits, 8, 25)
+    return reading.concordance(docs_of(spark, sf), hits, 8, 25)
 
 
 @query("A21_collocates", UPTO + OCCURRENCES + f""", hits AS (SELECT o.doc_id, o.pos FROM occ o JOIN top t USING (doc_id, stem) WHERE t.rank = 1),

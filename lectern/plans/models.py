@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import words as W
-from lectern.operators import clustering, selection, senses, vocabulary
+from lectern.operators import clustering, reading, selection, senses, vocabulary
 from lectern.plans.basics import UPTO_TOP, docs_of, stemmed_of
-from lectern.plans.analysis import CLUSTERS, DENSITY, parts
+from lectern.plans.analysis import CLUSTERS, DENSITY, parts, places_of
 from lectern.plans.registry import query
 from lectern.session import table
 from lectern.sources import files
@@ -93,16 +93,23 @@ def a10(spark, sf):
     return clustering.cluster_names(words.groupBy("doc_id", "cluster", "word").agg(F.count("*").alias("cnt")))
 
 
+def term_points(spark, sf):
+    """A text's top stems, at most 150, as points: how often each occurs in eight parts of the text."""
+    places, _, top, rows = places_of(spark, sf)
+    total = rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
+    counts = reading.binned_counts(reading.with_bins(places.join(total, "doc_id"), 8), "term", 8)
+    vectors = counts.groupBy("doc_id", "term").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "hits"))), lambda x: x["hits"].cast("double")).alias("vector"))
+    return vectors.join(top.select("doc_id", F.col("stem").alias("term"), F.col("rank").alias("item")), ["doc_id", "term"]).select("doc_id", "item", "vector")
+
+
 @query("L03_density_clusters")
 def l03(spark, sf):
-    rows = table(spark, sf, "embeddings").select((F.col("vec_id") % 8).alias("part"), F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
-    return clustering.cluster_vectors(rows, "part")
+    return clustering.cluster_vectors(term_points(spark, sf), "doc_id")
 
 
 @query("L04_oversized_resplit")
 def l04(spark, sf):
-    rows = table(spark, sf, "embeddings").select((F.col("vec_id") % 8).alias("part"), F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
-    return clustering.cluster_vectors(rows, "part", largest=20)
+    return clustering.cluster_vectors(term_points(spark, sf), "doc_id", largest=20)
 
 
 @query("S02_extensions", "SELECT page_id, lower(regexp_extract(url || '.TXT', '\\.([^./\\\\]+)$', 1)) AS kind FROM pages")
