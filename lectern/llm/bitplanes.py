@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.pieces import END_ID, encoder, text_runs
-from lectern.llm.storage import width
 
 MAGIC = b"LPLANES1"
 BLOCK_IDS = 1 << 16
+#: Bytes of text that go to one file, about.
+FILE_BYTES = 16 << 20
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -164,7 +165,8 @@ def write_ids(docs: DataFrame, folder: str, bits: bool = False, vocabulary: str
     """Encode every text, append the end id, and write the ids in ascending doc_id order below ``folder``.
 
     Returns the manifest: one row for each file with its path, first document, and numbers of documents and ids.
-    The rows are made when the manifest is computed, so store it before reading from it.
+    The rows are made when the manifest is computed, so store it before reading from it. A file holds about
+    ``FILE_BYTES`` of text, whatever the table's size, which is asked while the result is planned.
     """
 
     def write(batches):
@@ -190,7 +192,7 @@ def write_ids(docs: DataFrame, folder: str, bits: bool = False, vocabulary: str
             yield pa.RecordBatch.from_pylist([{"path": uri, "first_doc": first, "n_docs": len(out.docs), "n_ids": total}], schema=pa.schema([("path", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = partitions or width(docs.sparkSession)
+    n = partitions or max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
     return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "path string, first_doc long, n_docs long, n_ids long")
 
 
@@ -220,5 +222,4 @@ def read_ids(manifest: DataFrame) -> DataFrame:
     # One row for each file: few enough for one task at any size.
     order = Window.orderBy("first_doc", "path")
     files = manifest.withColumn("before", F.sum("n_ids").over(order) - F.col("n_ids")).select("path", "before")
-    n = width(manifest.sparkSession)
-    return files.repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, manifest.count()), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.blobs import dealt, pack, pack_sorted, unpack, unpack_sorted
 from lectern.llm.components import connected
-from lectern.llm.storage import drop_folder, stored, width
+from lectern.llm.storage import drop_folder, stored
 from lectern.llm.wordarrays import SOLID, STEP, buffers, gram_places, grams, mix, runs, split_words
 
 SHINGLE, PERCENT = 4, 85
@@ -60,6 +60,8 @@ MAP_BITS_A_DOCUMENT, MAP_BITS = 128, 1 << 28
 BROADCAST_ROWS = 500_000
 #: Classes of a region, or of a block of one, that one task joins.
 BLOCK = 4_000
+#: Documents for each shard that finds the shingles which several have.
+SHARD_DOCS = 4_000
 #: Rows of small regions that are dealt to one task.
 SHARD_ROWS = 40_000
 LEAF, PIVOTS, BUCKETS = 64, 8, 256
@@ -208,7 +210,7 @@ def shared_shingles(made: DataFrame, bits: int) -> np.ndarray:
     Most shingles are one text's own; with the map those need not be shuffled with their classes. Runs send their
     distinct shingles once, as compressed sorted keys; each shard returns its part of the map.
     """
-    shards = 1 << min(8, (width(made.sparkSession) - 1).bit_length())
+    shards = 1 << min(16, (made.count() // SHARD_DOCS).bit_length())
     part = bits // shards
 
     def send(batches):
@@ -537,7 +539,9 @@ def keyed_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
     label = connected(links).select(F.col("node").alias("key"), "label")
     rows = stored(keys.join(label, "key", "left").withColumn("label", F.coalesce("label", "key")), "join-labels")
     least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    return rows.join(least, "label", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), "label", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # Stored, so that a large component's rows need not meet in one task: it is broadcast if it is small, else joined with its skew split.
+    least = stored(least, "join-least")
+    return rows.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "label", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), "label", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def linked_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:

@@ -51,8 +51,3 @@ def drop_folder(*tables: DataFrame) -> None:
         if path:
             p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def width(spark: SparkSession) -> int:
-    """How many partitions the session deals rows to; it is set by the size of the data."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
