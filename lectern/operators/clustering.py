@@ -139,6 +139,18 @@ def cluster_vectors(rows: DataFrame, key: str, min_size: int = 5, largest: int |
     return rows.groupBy(key).applyInArrow(run, f"{key} {kind}, item bigint, label int, resplit boolean")
 
 
+def recovered_noise(points: DataFrame, first: int = 20) -> DataFrame:
+    """Clusters of noise stems by their occurrences, so that a stem may be in several: doc_id, label, stems.
+
+    points: doc_id, term, item, vector; one for each occurrence. The first occurrences of each stem are clustered, as in
+    ``first_occurrences``; the cap on a text's stems bounds its points."""
+    order = Window.partitionBy("doc_id", "term").orderBy("item")
+    kept = points.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= first)
+    found = cluster_vectors(kept.select("doc_id", "item", "vector"), "doc_id").filter("label >= 0")
+    named = found.join(kept.select("doc_id", "item", "term"), ["doc_id", "item"])
+    return named.groupBy("doc_id", "label").agg(F.array_sort(F.collect_set("term")).alias("stems"))
+
+
 def cluster_names(words: DataFrame) -> DataFrame:
     """The most frequent words of each cluster, ties joined in order; equal names of a text are numbered.
 

@@ -12,6 +12,7 @@ from lectern.plans.audits import CALLS_SQL, calls
 from lectern.plans.basics import OCCURRENCES, UPTO_TOP, docs_of, grams_sql
 from lectern.plans.registry import query
 from lectern.session import table
+from lectern.sources import files
 
 UPTO = UPTO_TOP.rstrip() + ",\n" + CLUSTERS
 LISTS = "lists AS (SELECT doc_id, cluster, list(stem ORDER BY rank) AS stems FROM clusters GROUP BY doc_id, cluster)"
@@ -246,3 +247,98 @@ def a41(spark, sf):
 def u10(spark, sf):
     rows = table(spark, sf, "documents").select("lang", "n_chars").filter("lang is not null")
     return rows.select("lang").distinct().join(rows.filter("n_chars > 20000").select("lang").distinct(), "lang", "left_anti")
+
+
+@query("S05_joined_pages", r"SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, '. '), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10) || chr(10))) AS digest FROM documents")
+def s05(spark, sf):
+    return docs_of(spark, sf).select("doc_id", F.md5(files.joined_pages(F.split("text", "[.] "))).alias("digest"))
+
+
+@query("S18_csv_round_trip", "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
+def s18(spark, sf):
+    path = files.shared_folder(spark, "csv")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
+    back = spark.read.schema(rows.schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return back.select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+
+
+@query("H09_config_log", "SELECT * FROM (VALUES ('c', 'phase1', 'setup', 'cap', '150'), ('c', 'phase1', 'setup', 'percentile', '0.9')) v(corpus, phase, step, decision_type, choice)")
+def h09(spark, sf):
+    return files.config_rows(spark, "c", "phase1", {"percentile": 0.9, "cap": 150})
+
+
+@query("S21_environment")
+def s21(spark, sf):
+    return files.environment(spark)
+
+
+@query("F41_report_time", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') || ' UTC' AS at FROM events")
+def f41(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit(" UTC")).alias("at"))
+
+
+@query("F42_deadlines", "SELECT event_id, epoch(ts) - epoch(lag(ts) OVER w) > 3600 AS late FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def f42(spark, sf):
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp") if isinstance(c, str) else c.cast("timestamp"))
+    return table(spark, sf, "events").select("event_id", (seconds("ts") - seconds(before) > 3_600_000_000).alias("late"))
+
+
+@query("F26_trial_lines", "WITH " + CALLS_SQL + " SELECT conv_id, turn, 'trial ' || lpad(CAST(turn AS VARCHAR), 3, ' ') || ': ' || lpad(CAST(n_original AS VARCHAR), 6, ' ') || ' words' AS line FROM calls")
+def f26(spark, sf):
+    return calls(spark, sf).select("conv_id", "turn", F.format_string("trial %3d: %6d words", F.col("turn").cast("int"), F.col("n_original").cast("int")).alias("line"))
+
+
+@query("F36_chart_heights", "WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) SELECT lang, source, CAST(round(100.0 * n / max(n) OVER (PARTITION BY lang)) AS BIGINT) AS height FROM c")
+def f36(spark, sf):
+    rows = table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return rows.select("lang", "source", F.round(100.0 * F.col("n") / F.max("n").over(Window.partitionBy("lang"))).cast("long").alias("height"))
+
+
+@query("P16_body_blocks", W.with_sql("lines") + r""", kinds AS (SELECT *, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^\s*Definition\s+\d+') THEN 'defn' WHEN regexp_matches(line, '^\s*\d+\.\d+\s+\S') THEN 'h3' WHEN regexp_matches(line, '^\s*\d+\.?\s+[A-Z]') THEN 'h2' ELSE 'p' END AS kind FROM lines),
+marked AS (SELECT *, CASE WHEN kind = 'p' AND lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) = 'p' THEN 0 ELSE 1 END AS new FROM kinds) SELECT doc_id, kind, CAST(sum(new) AS BIGINT) AS blocks FROM marked WHERE kind IN ('p', 'defn') GROUP BY ALL""")
+def p16(spark, sf):
+    from lectern.operators.verification import blocks
+
+    return blocks(W.lines(docs_of(spark, sf))).filter(F.col("kind").isin("p", "defn")).groupBy("doc_id", "kind").agg(F.count("*").alias("blocks"))
+
+
+@query("P23_stems_without_senses", UPTO + ", ranked AS (SELECT word, left(word, 2) AS letters, row_number() OVER (PARTITION BY left(word, 2) ORDER BY word) AS rank FROM (SELECT DISTINCT lower AS word FROM tokens WHERE regexp_matches(lower, '^[a-z]{4,}$'))), known AS (SELECT a.word FROM ranked a SEMI JOIN ranked b ON b.letters = a.letters AND b.rank = a.rank + 1), eligible AS (SELECT DISTINCT doc_id, stem FROM stemmed WHERE lower IN (SELECT word FROM known)) SELECT doc_id, stem FROM top ANTI JOIN eligible USING (doc_id, stem)")
+def p23(spark, sf):
+    from lectern.operators import senses
+    from lectern.plans.models import ranked_words
+
+    rows, top = parts(spark, sf)
+    known = senses.inventory(ranked_words(spark, sf), "letters").select(F.col("word").alias("lower")).distinct()
+    eligible = rows.select("doc_id", "stem", "lower").distinct().join(known, "lower", "left_semi").select("doc_id", "stem")
+    return top.select("doc_id", "stem").join(eligible, ["doc_id", "stem"], "left_anti")
+
+
+@query("M04_hashed_vectors", W.with_sql("tokens") + f", c AS (SELECT doc_id, left(md5(lower), 1) AS bucket, count(*) AS n FROM tokens WHERE regexp_matches(lower, '^[a-z]+$') AND lower NOT IN ({W.sql_list(W.FUNCTION_WORDS)}) GROUP BY ALL) SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM c")
+def m04(spark, sf):
+    content = W.tokens(docs_of(spark, sf)).filter(vocabulary.is_content())
+    counts = content.groupBy("doc_id", F.substring(F.md5("lower"), 1, 1).alias("bucket")).agg(F.count("*").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("doc_id")))
+    return counts.select("doc_id", "bucket", F.round(F.col("n") / norm, 6).alias("weight"))
+
+
+@query("H03_sweep_choice", UPTO + """, tried AS (SELECT doc_id, share, count(*) AS n_stems FROM (SELECT doc_id, stem, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, first_pos) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM stem_counts), (SELECT unnest([CAST(0.8 AS DOUBLE), 0.9]) AS share) s WHERE r <= ceil(n * (1 - share)) GROUP BY ALL)
+SELECT doc_id, share, n_stems FROM tried WHERE share = CASE WHEN doc_id % 3 = 0 THEN CAST(0.8 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END""")
+def h03(spark, sf):
+    rows, _ = parts(spark, sf)
+    swept = vocabulary.sweep(rows, [0.8, 0.9])
+    choices = docs_of(spark, sf).filter("doc_id % 3 = 0").select("doc_id", F.lit(0.8).alias("chosen"))
+    return swept.join(choices, "doc_id", "left").filter(F.col("share") == F.coalesce("chosen", F.lit(0.9))).select("doc_id", "share", "n_stems")
+
+
+@query("L06_recovered_noise")
+def l06(spark, sf):
+    from lectern.operators import clustering
+
+    places, _, top, rows = places_of(spark, sf)
+    noise = top.filter("rank % 7 = 0").select("doc_id", F.col("stem").alias("term"))
+    total = rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
+    points = places.join(noise, ["doc_id", "term"]).join(total, "doc_id")
+    points = points.select("doc_id", "term", F.col("pos").cast("long").alias("item"), F.array(F.lit(1.0), F.col("pos") / F.col("n_tokens")).alias("vector"))
+    return clustering.recovered_noise(points).select("doc_id", "label", F.array_join("stems", " ").alias("stems"))

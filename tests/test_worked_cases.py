@@ -102,3 +102,31 @@ def test_windows_and_budgets(spark):
     (given,) = values(spark, ["x"], reviews.fitted_contexts(F.array(*(F.lit(n) for n in (2, 30, 30, 4))), 40))
     assert given == [2, 12, 13, 4]
     assert values(spark, ["2, 4", " ALL", "", "two", "3"], reviews.picked_places(F.col("text"))) == [[2, 4], [-1], [], None, [3]]
+
+
+def test_files(spark, tmp_path):
+    from lectern.sources import files
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "minds-condensed-25pct.txt").write_text("one\ntwo\n")
+    (tmp_path / "a" / "minds-condensed-5pct.txt").write_text("three")
+    (tmp_path / "a" / "other.txt").write_text("four")
+    found = {(r.corpus, r.rate, r.text) for r in files.read_condensed(spark, str(tmp_path)).collect()}
+    assert found == {("minds", 25, "one\ntwo\n"), ("minds", 5, "three")}
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.PDF").write_bytes(b" page one \f\f page two")
+    pages = lambda content: F.split(F.decode(content, "UTF-8"), "\f")
+    assert files.read_texts(spark, str(tmp_path / "b"), pages).first().text == "page one\n\npage two"
+    with pytest.raises(Exception, match="no reader of PDF"):
+        files.read_texts(spark, str(tmp_path / "b")).collect()
+    with pytest.raises(Exception, match="no text in"):
+        files.read_texts(spark, str(tmp_path / "b"), lambda c: F.array(F.lit(" "))).collect()
+    assert files.environment(spark).first().master.startswith("local")
+
+
+def test_recovered_noise(spark):
+    from lectern.operators.clustering import recovered_noise
+
+    points = [(1, "ab"[i % 2], i, [1.0, 0.01 * i]) for i in range(8)] + [(1, "bc"[i % 2], 100 + i, [0.01 * i, 1.0]) for i in range(8)] + [(1, "d", 500, [-1.0, -1.0])]
+    found = recovered_noise(spark.createDataFrame(points, "doc_id long, term string, item long, vector array<double>")).collect()
+    assert sorted(r.stems for r in found) == [["a", "b"], ["b", "c"]]
