@@ -137,3 +137,18 @@ def resumable(files: DataFrame, phases: dict[str, list[str]]) -> DataFrame:
     there = files.groupBy("corpus").agg(F.collect_set("file").alias("files"))
     ready = {phase: F.forall(F.array(*(F.lit(n) for n in needed)), lambda n: F.array_contains("files", n)) for phase, needed in phases.items()}
     return there.select("corpus", *(c.alias(phase) for phase, c in ready.items()))
+
+
+def retrieved(scored: DataFrame, most: int, lead: int) -> DataFrame:
+    """doc_id, chunks: the best ``most`` chunks of each text and its first ``lead`` ones, in the text's order.
+
+    scored: doc_id, chunk (from 0), score."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "chunk")
+    kept = scored.withColumn("r", F.row_number().over(order)).filter((F.col("r") <= most) | (F.col("chunk") < lead))
+    return kept.groupBy("doc_id").agg(F.array_sort(F.collect_list("chunk")).alias("chunks"))
+
+
+def shown(items: Column, most: int) -> Column:
+    """The first items and how many more there are."""
+    more = F.when(F.size(items) > most, F.concat(F.lit(" and "), (F.size(items) - most).cast("string"), F.lit(" more"))).otherwise("")
+    return F.concat(F.array_join(F.slice(items, 1, most), ", "), more)

@@ -63,20 +63,20 @@ def sentences_and_clusters(spark, sf):
     return rows, stems, vocabulary.pseudo_clusters(top)
 
 
-_PHRASES = """sg AS (SELECT doc_id, sent_id, n, p, array_to_string(words[p + 1:p + n], ' ') AS gram FROM (SELECT doc_id, sent_id, n, words, unnest(range(0, len(words) - n + 1)) AS p FROM dens, (SELECT unnest([2, 3]) AS n) WHERE len(words) >= n)),
+PHRASES = """sg AS (SELECT doc_id, sent_id, n, p, array_to_string(words[p + 1:p + n], ' ') AS gram FROM (SELECT doc_id, sent_id, n, words, unnest(range(0, len(words) - n + 1)) AS p FROM dens, (SELECT unnest([2, 3]) AS n) WHERE len(words) >= n)),
 sc AS (SELECT doc_id, n, gram, count(*) AS cnt, min((sent_id, p)) AS first FROM sg GROUP BY ALL HAVING count(*) >= 2), so AS (SELECT sc.* FROM sc JOIN (SELECT doc_id, quantile_cont(cnt, 0.95) AS t FROM sc GROUP BY doc_id) USING (doc_id) WHERE cnt >= t),
 sw AS (SELECT DISTINCT doc_id, gram, unnest(string_split(gram, ' ')) AS w FROM so), near AS (SELECT DISTINCT c.doc_id, cluster, gram FROM sw JOIN clusters c USING (doc_id) WHERE starts_with(w, stem) OR starts_with(stem, w)),
 sizes AS (SELECT doc_id, cluster, count(DISTINCT stem) AS k FROM clusters GROUP BY ALL),
 phrases AS (SELECT doc_id, cluster, gram, cnt, rank FROM (SELECT near.*, cnt, row_number() OVER (PARTITION BY doc_id, cluster ORDER BY cnt DESC, n DESC, first) AS rank FROM near JOIN so USING (doc_id, gram)) JOIN sizes USING (doc_id, cluster) WHERE rank <= k)"""
 
 
-@query("A05_cluster_phrases", UPTO + CLUSTERS + ", " + W.SQL["sentences"] + ", " + DENSITY + ", " + _PHRASES + " SELECT doc_id, cluster, gram, cnt, rank FROM phrases")
+@query("A05_cluster_phrases", UPTO + CLUSTERS + ", " + W.SQL["sentences"] + ", " + DENSITY + ", " + PHRASES + " SELECT doc_id, cluster, gram, cnt, rank FROM phrases")
 def a05(spark, sf):
     rows, _, clusters = sentences_and_clusters(spark, sf)
     return selection.cluster_phrases(selection.sentence_grams(rows), clusters)
 
 
-@query("F30_scores_with_phrases", UPTO + CLUSTERS + ", " + W.SQL["sentences"] + ", " + DENSITY + ", " + _PHRASES + f""", chosen AS (SELECT d.* FROM dens d JOIN (SELECT doc_id, quantile_cont(density, 0.5) AS t FROM dens GROUP BY doc_id) USING (doc_id) WHERE density >= t),
+@query("F30_scores_with_phrases", UPTO + CLUSTERS + ", " + W.SQL["sentences"] + ", " + DENSITY + ", " + PHRASES + f""", chosen AS (SELECT d.* FROM dens d JOIN (SELECT doc_id, quantile_cont(density, 0.5) AS t FROM dens GROUP BY doc_id) USING (doc_id) WHERE density >= t),
 swords AS (SELECT doc_id, sent_id, density, unnest(words) AS lower FROM chosen), {stems_sql("swords").replace("stems AS", "sstems AS")},
 found AS (SELECT doc_id, cluster, sent_id, first(density) AS density, count(DISTINCT stem) AS n_stems FROM swords JOIN sstems USING (lower) JOIN clusters USING (doc_id, stem) GROUP BY doc_id, cluster, sent_id),
 hits AS (SELECT doc_id, cluster, sent_id, count(*) AS n_phrases FROM (SELECT DISTINCT doc_id, sent_id, gram FROM sg) JOIN phrases USING (doc_id, gram) GROUP BY doc_id, cluster, sent_id),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import words as W
 from lectern.operators import phrases, reading, reviews, selection, vocabulary
-from lectern.plans.analysis import CLUSTERS, DENSITY, parts, places_of
+from lectern.plans.analysis import CLUSTERS, DENSITY, PHRASES, POOL, parts, places_of, sentences_and_clusters
 from lectern.plans.audits import CALLS_SQL, calls
 from lectern.plans.basics import OCCURRENCES, UPTO_TOP, docs_of, grams_sql
 from lectern.plans.registry import query
@@ -342,3 +342,112 @@ def l06(spark, sf):
     points = places.join(noise, ["doc_id", "term"]).join(total, "doc_id")
     points = points.select("doc_id", "term", F.col("pos").cast("long").alias("item"), F.array(F.lit(1.0), F.col("pos") / F.col("n_tokens")).alias("vector"))
     return clustering.recovered_noise(points).select("doc_id", "label", F.array_join("stems", " ").alias("stems"))
+
+
+@query("A15_cluster_hits", UPTO + ", " + OCCURRENCES + ", " + W.SQL["sentences"] + ", " + DENSITY + ", " + PHRASES + """, s AS (SELECT doc_id, cluster, count(*) AS n FROM occ JOIN clusters USING (doc_id, stem) GROUP BY ALL),
+p AS (SELECT doc_id, cluster, sum((length(lower(text)) - length(replace(lower(text), gram, ''))) // length(gram)) AS n FROM phrases JOIN documents USING (doc_id) GROUP BY ALL)
+SELECT doc_id, cluster, CAST(coalesce(s.n, 0) AS BIGINT) AS stem_hits, CAST(coalesce(p.n, 0) AS BIGINT) AS phrase_hits FROM s FULL JOIN p USING (doc_id, cluster)""")
+def a15(spark, sf):
+    places, clusters, _, _ = places_of(spark, sf)
+    stems = places.join(clusters.select("doc_id", F.col("stem").alias("term"), "cluster"), ["doc_id", "term"]).groupBy("doc_id", "cluster").agg(F.count("*").alias("stem_hits"))
+    rows, _, named = sentences_and_clusters(spark, sf)
+    grams = selection.cluster_phrases(selection.sentence_grams(rows), named).select("doc_id", "cluster", "gram")
+    texts = docs_of(spark, sf).select("doc_id", F.lower("text").alias("text"))
+    n = F.floor((F.length("text") - F.length(F.replace(F.col("text"), F.col("gram"), F.lit("")))) / F.length("gram"))
+    found = grams.join(texts, "doc_id").groupBy("doc_id", "cluster").agg(F.sum(n).alias("phrase_hits"))
+    return stems.join(found, ["doc_id", "cluster"], "full").select("doc_id", "cluster", F.coalesce("stem_hits", F.lit(0)).cast("long").alias("stem_hits"), F.coalesce("phrase_hits", F.lit(0)).cast("long").alias("phrase_hits"))
+
+
+@query("J07_tokens_by_sentence", W.with_sql("sentences") + ", d AS (SELECT DISTINCT sentence FROM sentences) SELECT md5(sentence) AS digest, len(regexp_extract_all(sentence, '[A-Za-z'']+')) AS n_tokens FROM d")
+def j07(spark, sf):
+    distinct = W.sentences(docs_of(spark, sf)).select("sentence").distinct()
+    return distinct.select(F.md5("sentence").alias("digest"), F.size(F.regexp_extract_all("sentence", F.lit("([A-Za-z']+)"), F.lit(1))).cast("long").alias("n_tokens"))
+
+
+@query("J22_cited_sentences", W.with_sql("sentences") + ", cited AS (SELECT DISTINCT doc_id, unnest([0, 2, 5, 100000]) AS ref FROM documents) SELECT doc_id, CAST(ref AS INT) AS ref, md5(sentence) AS digest FROM cited JOIN sentences s USING (doc_id) WHERE s.sent_id = ref")
+def j22(spark, sf):
+    rows = docs_of(spark, sf).select("doc_id", W.sentence_array(F.col("text")).alias("s"), F.explode(F.array(*(F.lit(i) for i in (0, 2, 5, 100_000)))).alias("ref"))
+    return rows.filter(F.col("ref") < F.size("s")).select("doc_id", "ref", F.md5(F.get("s", F.col("ref"))).alias("digest"))
+
+
+@query("J24_decisions_by_word", "WITH flagged AS (SELECT event_id, event_type AS word FROM events), kinds AS (SELECT DISTINCT event_type AS word, upper(event_type) AS typed FROM events) SELECT event_id, CASE WHEN ascii(lower(word)) % 2 = 0 THEN 'keep' ELSE 'open' END AS choice FROM flagged")
+def j24(spark, sf):
+    flagged = table(spark, sf, "events").select("event_id", F.col("event_type").alias("word"))
+    typed = flagged.select(F.upper("word").alias("typed")).distinct().filter(F.ascii(F.lower("typed")) % 2 == 0).select(F.lower("typed").alias("low"), F.lit("keep").alias("choice"))
+    return flagged.join(typed, F.lower("word") == F.col("low"), "left").select("event_id", F.coalesce("choice", F.lit("open")).alias("choice"))
+
+
+@query("L07_inserted_words")
+def l07(spark, sf):
+    from lectern.operators.sequences import inserted_places
+
+    rows = calls(spark, sf).filter("n_fixed > 0").withColumn("w", W.word_array(F.col("fixed")))
+    places = inserted_places(W.word_array(F.col("original")), F.col("w"))
+    return rows.select("conv_id", "turn", F.array_join(F.transform(places, lambda i: F.get("w", i)), " ").alias("inserted"))
+
+
+@query("L09_span_ids", W.with_sql("sentences") + " SELECT doc_id, sent_id, 's' || row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) AS span_id FROM sentences QUALIFY length(sentence) >= 40")
+def l09(spark, sf):
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_id"))
+    return W.sentences(docs_of(spark, sf)).withColumn("span_id", F.concat(F.lit("s"), n.cast("string"))).filter(F.length("sentence") >= 40).select("doc_id", "sent_id", "span_id")
+
+
+@query("M01_annotated_tokens", W.with_sql("sentences") + f""", t AS (SELECT doc_id, lower(unnest(regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}'']+'))) AS w FROM sentences)
+SELECT doc_id, CASE WHEN w IN ('and', 'but', 'or', 'nor', 'yet', 'because', 'although', 'though', 'since', 'while', 'whereas', 'if', 'that', 'unless', 'until') THEN 'SCONJ'
+ WHEN w IN ('however', 'furthermore', 'therefore', 'thus', 'moreover', 'hence', 'nevertheless', 'consequently', 'indeed', 'then', 'also') THEN 'ADV' WHEN w IN ({W.sql_list(W.FUNCTION_WORDS)}) THEN 'ADP' ELSE 'NOUN' END AS pos, count(*) AS n FROM t GROUP BY ALL""")
+def m01(spark, sf):
+    from lectern.operators.sequences import tagged_by_lists
+
+    tokens = W.sentences(docs_of(spark, sf)).select("doc_id", F.explode(tagged_by_lists(F.col("sentence"))).alias("t"))
+    return tokens.groupBy("doc_id", "t.pos").agg(F.count("*").alias("n"))
+
+
+@query("M06_retrieved_metadata", f"""WITH w AS (SELECT doc_id, {W.word_array_sql('text')} AS w FROM documents), c AS (SELECT doc_id, start // 120 AS chunk, w[start + 1:start + 120] AS w FROM (SELECT doc_id, w, unnest(range(0, len(w), 120)) AS start FROM w)),
+s AS (SELECT doc_id, chunk, len(list_filter(list_transform(w, lambda x: lower(x)), lambda x: x IN ('by', 'author', 'title', 'date', 'published'))) AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk) AS r FROM s)
+SELECT doc_id, string_agg(chunk, ',' ORDER BY chunk) AS chunks FROM r WHERE r <= 5 OR chunk < 3 GROUP BY doc_id""")
+def m06(spark, sf):
+    one_line = docs_of(spark, sf).select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("text"))
+    chunks = one_line.select("doc_id", F.posexplode(W.paragraph_chunks(F.col("text"), 120)).alias("chunk", "text"))
+    asked = ("by", "author", "title", "date", "published")
+    scored = chunks.select("doc_id", "chunk", F.size(F.filter(F.split(F.lower("text"), " "), lambda x: x.isin(*asked))).alias("score"))
+    return reviews.retrieved(scored, 5, 3).select("doc_id", F.array_join(F.transform("chunks", lambda c: c.cast("string")), ",").alias("chunks"))
+
+
+@query("O05_top_collocations", UPTO + ", " + OCCURRENCES + ", " + POOL + """, pl AS (SELECT o.doc_id, o.stem AS term, o.pos FROM occ o JOIN pool p ON p.doc_id = o.doc_id AND p.term = o.stem),
+pairs AS (SELECT a.doc_id, a.term AS term_a, b.term AS term_b FROM pool a JOIN pool b ON a.doc_id = b.doc_id AND a.cluster < b.cluster),
+near AS (SELECT x.doc_id, x.term AS term_a, y.term AS term_b, count(DISTINCT x.pos) AS hits FROM (SELECT *, unnest(range(pos - 10, pos + 11)) AS q FROM pl) x JOIN pl y ON y.doc_id = x.doc_id AND y.pos = x.q AND y.pos <> x.pos GROUP BY ALL)
+SELECT doc_id, term_a, term_b, hits, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, term_a, term_b) AS rank FROM pairs JOIN near USING (doc_id, term_a, term_b)) WHERE rank <= 20""")
+def o05(spark, sf):
+    places, clusters, _, _ = places_of(spark, sf)
+    found = reading.collocation_pairs(places, reading.term_pool(places, clusters), 10)
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("hits"), "term_a", "term_b")).cast("long")
+    return found.withColumn("rank", rank).filter("rank <= 20").select("doc_id", "term_a", "term_b", "hits", "rank")
+
+
+@query("O14_shown_items", UPTO + ", " + LISTS + " SELECT doc_id, cluster, array_to_string(stems[1:5], ', ') || CASE WHEN len(stems) > 5 THEN ' and ' || (len(stems) - 5) || ' more' ELSE '' END AS shown FROM lists")
+def o14(spark, sf):
+    return lists_of(spark, sf).select("doc_id", "cluster", reviews.shown(F.col("stems"), 5).alias("shown"))
+
+
+@query("U03_reembedded_stems", UPTO + ", direct AS (SELECT doc_id, stem FROM clusters WHERE rank % 3 = 0 UNION SELECT doc_id, stem FROM clusters WHERE rank % 5 = 0) SELECT doc_id, cluster, string_agg(stem, ' ' ORDER BY stem) AS stems FROM clusters SEMI JOIN direct USING (doc_id, stem) GROUP BY ALL")
+def u03(spark, sf):
+    _, top = parts(spark, sf)
+    clusters = vocabulary.pseudo_clusters(top)
+    sets = clusters.groupBy("doc_id").agg(F.collect_set(F.when(F.col("rank") % 3 == 0, F.col("stem"))).alias("direct"), F.collect_set(F.when(F.col("rank") % 5 == 0, F.col("stem"))).alias("resplit"))
+    lists = clusters.groupBy("doc_id", "cluster").agg(F.collect_set("stem").alias("stems")).join(sets, "doc_id")
+    both = F.array_sort(F.array_intersect("stems", F.array_union("direct", "resplit")))
+    return lists.select("doc_id", "cluster", F.array_join(both, " ").alias("stems")).filter("stems <> ''")
+
+
+@query("H05_escalations", "WITH " + CALLS_SQL + " SELECT conv_id, turn, n_original > 100 AND NOT failed AND conv_id % 2 = 0 AS escalated FROM calls")
+def h05(spark, sf):
+    rows = calls(spark, sf)
+    asked = rows.filter("conv_id % 2 = 0").select("conv_id", F.lit(True).alias("agreed")).distinct()
+    return rows.join(asked, "conv_id", "left").select("conv_id", "turn", ((F.col("n_original") > 100) & ~F.col("failed") & F.coalesce("agreed", F.lit(False))).alias("escalated"))
+
+
+@query("H04_chosen_candidates", "WITH " + CALLS_SQL + " SELECT conv_id, turn, n_original AS words FROM calls WHERE turn = conv_id % 3 OR (conv_id % 3 = 2 AND turn = 0)")
+def h04(spark, sf):
+    rows = calls(spark, sf).select("conv_id", "turn", F.col("n_original").alias("words"))
+    picked = rows.filter("turn = conv_id % 3 or (conv_id % 3 = 2 and turn = 0)").select("conv_id", "turn").distinct()
+    return rows.join(picked, ["conv_id", "turn"], "left_semi")
