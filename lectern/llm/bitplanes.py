@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.pieces import END_ID, encoder, text_runs
+from lectern.llm.workers import tidy
 
 MAGIC = b"LPLANES1"
 BLOCK_IDS = 1 << 16
@@ -193,7 +194,7 @@ def write_ids(docs: DataFrame, folder: str, bits: bool = False, vocabulary: str
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = partitions or max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
-    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "path string, first_doc long, n_docs long, n_ids long")
+    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(write), "path string, first_doc long, n_docs long, n_ids long")
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
@@ -222,4 +223,4 @@ def read_ids(manifest: DataFrame) -> DataFrame:
     # One row for each file: few enough for one task at any size.
     order = Window.orderBy("first_doc", "path")
     files = manifest.withColumn("before", F.sum("n_ids").over(order) - F.col("n_ids")).select("path", "before")
-    return files.repartition(max(1, manifest.count()), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, manifest.count()), "path").mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")

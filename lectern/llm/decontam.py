@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.wordarrays import ALNUM, buffers, grams, runs, split_words, window_hashes
+from lectern.llm.workers import tidy
 
 WINDOW = 10
 #: Bytes of benchmark text sent to the executors at once, and of documents in a shard.
@@ -257,7 +258,7 @@ def _pass(docs: DataFrame, tests: Tests, first: bool) -> DataFrame:
                 new = [pa.array(x, kind) for x, (_, kind) in zip(columns, FOUND, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(kept))), *new], [*kept, *dict(FOUND)])
 
-    return docs.mapInArrow(scan, T.StructType([*(docs.schema[c] for c in kept), *FOUND_SPARK]))
+    return docs.mapInArrow(tidy(scan), T.StructType([*(docs.schema[c] for c in kept), *FOUND_SPARK]))
 
 
 def _union(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:

@@ -48,12 +48,15 @@ from lectern.llm.blobs import dealt, pack, pack_sorted, unpack, unpack_sorted
 from lectern.llm.components import connected
 from lectern.llm.storage import drop_folder, stored
 from lectern.llm.wordarrays import SOLID, STEP, buffers, gram_places, grams, mix, runs, split_words
+from lectern.llm.workers import tidy, tidy_group
 
 SHINGLE, PERCENT = 4, 85
 #: A region is large from so many classes on, and so many shingles of large regions may be sent to all tasks; if there
 #: are more, only the larger regions count.
 LARGE, LARGE_SHINGLES = 4, 1 << 20
 BATCH_BYTES, PART_BYTES = 8 << 20, 2 << 20
+#: Rows with texts that a Python worker gets at once.
+BATCH_ROWS = 2_000
 #: Bits of the map of shingles that more than one text holds: so many for each document, and at most.
 MAP_BITS_A_DOCUMENT, MAP_BITS = 128, 1 << 28
 #: Classes whose ids may be broadcast to fetch their texts; beyond, that is a shuffled join.
@@ -168,7 +171,7 @@ def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, last: tup
                         often[-1] = _often(list(seen.values()))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(histograms, pa.binary()), pa.array(often, pa.binary())], ["doc_id", "key", "n", "prefix", "histogram", "often"])
 
-    return docs.mapInArrow(make, "doc_id long, key long, n long, prefix array<long>, histogram binary, often binary")
+    return docs.mapInArrow(tidy(make), "doc_id long, key long, n long, prefix array<long>, histogram binary, often binary")
 
 
 def _recurring(made: DataFrame) -> DataFrame:
@@ -236,9 +239,9 @@ def shared_shingles(made: DataFrame, bits: int) -> np.ndarray:
         there[_bit_of(keys[often], bits) % part] = 1
         return pa.table({"shard": table.column("shard")[:1], "map": pa.array([np.packbits(there).tobytes()], pa.binary())})
 
-    rows = made.filter("size(prefix) > 0").select("prefix").mapInArrow(send, "shard long, keys binary, often binary")
+    rows = made.filter("size(prefix) > 0").select("prefix").mapInArrow(tidy(send), "shard long, keys binary, often binary")
     out = np.zeros(bits // 8, np.uint8)
-    for row in rows.groupBy("shard").applyInArrow(gather, "shard long, map binary").collect():
+    for row in rows.groupBy("shard").applyInArrow(tidy_group(gather), "shard long, map binary").collect():
         out[row["shard"] * part // 8 : (row["shard"] + 1) * part // 8] = np.frombuffer(row["map"], np.uint8)
     return out
 
@@ -264,7 +267,7 @@ def _prefix_rows(made: DataFrame, bits: int) -> DataFrame:
             at = pa.array(row[good])
             yield pa.RecordBatch.from_arrays([keys.take(at), n.take(at).cast(pa.int32()), pa.array(signed(h[good])), pa.array(place[good])], ["key", "n", "h", "place"])
 
-    return made.filter("size(prefix) > 0").select("key", "n", "prefix").mapInArrow(keep, "key long, n int, h long, place int")
+    return made.filter("size(prefix) > 0").select("key", "n", "prefix").mapInArrow(tidy(keep), "key long, n int, h long, place int")
 
 
 def _compare(pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -290,7 +293,7 @@ def _compare(pairs: DataFrame, n: int, percent: int) -> DataFrame:
                 columns = list(zip(*out, strict=True)) if out else [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_())], ["a", "b", "linked"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long, linked boolean")
 
 
 def _near(h1: np.ndarray, h2: np.ndarray, n1, n2, percent: int) -> np.ndarray:
@@ -313,7 +316,7 @@ def _near_pairs(pairs: DataFrame, percent: int) -> DataFrame:
                 good = _near(h1, h2, part.column(2).to_numpy(), part.column(3).to_numpy(), percent)
                 yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(good)) for k in (0, 1)], ["a", "b"])
 
-    return pairs.select("a", "b", "n_a", "n_b", "h_a", "h_b").mapInArrow(keep, "a long, b long")
+    return pairs.select("a", "b", "n_a", "n_b", "h_a", "h_b").mapInArrow(tidy(keep), "a long, b long")
 
 
 def least_overlap(both, percent: int):
@@ -459,13 +462,13 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
 def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Classes (doc_id, key, n) and links between them (a, b) that connect just what all links connect."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    made = stored(classes(docs, n, percent), "join-classes")
+    made = stored(classes(docs, n, percent), "join-classes", BATCH_ROWS)
     bits = _map_bits(made.count())
     rows = stored(_prefix_rows(made, bits), "join-prefixes")
     last = large_shingles(rows, made)
     if len(last[0]):
         drop_folder(made, rows)
-        made = stored(classes(docs, n, percent, last), "join-classes")
+        made = stored(classes(docs, n, percent, last), "join-classes", BATCH_ROWS)
         rows = stored(_prefix_rows(made, bits), "join-prefixes")
     keys = stored(made.select("doc_id", "key", "n"), "join-keys")
     regions = rows.groupBy("h").agg(F.min(F.struct("key", "n", "place")).alias("p"), F.max("key").alias("top"), F.count("*").alias("size")).filter("p.key <> top")
@@ -491,7 +494,7 @@ def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
         wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         texts = _texts(docs, keys, wanted, n)
         both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-        links = stored(_compare(both, n, percent).filter("linked").select("a", "b"), "join-links")
+        links = stored(_compare(both, n, percent).filter("linked").select("a", "b"), "join-links", BATCH_ROWS)
         drop_folder(pairs, texts)
         return links
 
@@ -513,10 +516,10 @@ def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
         small = members.filter(F.col("size") <= block)
         shards = max(1, -(-small.count() // SHARD_ROWS))
         dealt_out = small.select(*names, F.lit(2).alias("side"), F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
-        found = dealt_out.groupBy("shard").applyInArrow(_join_regions(percent, most), CANDIDATES)
+        found = dealt_out.groupBy("shard").applyInArrow(tidy_group(_join_regions(percent, most)), CANDIDATES)
         large = members.filter(F.col("size") > block)
         if not large.isEmpty():
-            found = found.unionByName(_blocks(large.dropDuplicates(["h", "key"]).select(*names), block).groupBy("h", "b1", "b2").applyInArrow(_join_regions(percent, most), CANDIDATES))
+            found = found.unionByName(_blocks(large.dropDuplicates(["h", "key"]).select(*names), block).groupBy("h", "b1", "b2").applyInArrow(tidy_group(_join_regions(percent, most)), CANDIDATES))
         found = stored(found.groupBy("a", "b").agg(F.bool_or("more").alias("more")), "join-candidates")
         drop_folder(members, inside)
         inside = left
@@ -562,4 +565,4 @@ def with_keys(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 keys += [set_key(s) if len(s) else None for s in shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], n)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.int64())], [*names, "key"])
 
-    return rows.mapInArrow(make, docs.select(*names, F.lit(None).cast("long").alias("key")).schema)
+    return rows.mapInArrow(tidy(make), docs.select(*names, F.lit(None).cast("long").alias("key")).schema)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.wordarrays import LOWER, buffers, runs
+from lectern.llm.workers import tidy
 
 UNKNOWN = "und"
 LENGTHS = (1, 2, 3)
@@ -143,7 +144,7 @@ def sample(docs: DataFrame, learn, each: int = SAMPLE, total: int = SAMPLE_ALL)
             bits = np.packbits(_presence_of(batch.column(2)) > 0, axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.tobytes() for b in bits], pa.binary())], ["lang", "rank", "bits"])
 
-    rows = low.select("lang", "rank", "text").mapInArrow(mark, "lang string, rank int, bits binary").toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
+    rows = low.select("lang", "rank", "text").mapInArrow(tidy(mark), "lang string, rank int, bits binary").toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
     bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(-1, FEATURES // 8)
     x = np.unpackbits(bits, axis=1).astype(np.float32)
     return x / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1), rows.column("lang").to_pylist()
@@ -179,4 +180,4 @@ def identify(docs: DataFrame, learn=None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best, pa.string()), pa.array(value, pa.float64())], [*names, "lang_pred", "lang_score"])
 
     schema = docs.limit(0).withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0)}).schema
-    return docs.select("*", letters).mapInArrow(score, schema)
+    return docs.select("*", letters).mapInArrow(tidy(score), schema)

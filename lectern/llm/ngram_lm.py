@@ -44,6 +44,7 @@ from lectern.llm.blobs import dealt, pack, pack_sorted, unpack, unpack_sorted
 from lectern.llm.eliasfano import Trie
 from lectern.llm.storage import drop_folder, shared_folder, stored
 from lectern.llm.wordarrays import SOLID, buffers, mix, runs, split_words
+from lectern.llm.workers import tidy, tidy_group
 
 BLOCK_BYTES, SHARD_BYTES = 6 << 20, 8 << 20
 ORDER = 3
@@ -145,7 +146,7 @@ def _word_requests(docs: DataFrame, shards: int) -> DataFrame:
             keys, counts, _ = _distinct(np.concatenate([words, np.full(len(train), START)]), trained)
             yield _batch([{"shard": s, "block": block, "check": check, "keys": pack_sorted(keys[at]), "counts": pack(counts[at])} for s, at in dealt(word_shard(keys, shards))], _WORD_REQUEST)
 
-    return docs.mapInArrow(ask, WORD_REQUEST)
+    return docs.mapInArrow(tidy(ask), WORD_REQUEST)
 
 
 def _gram_requests(docs: DataFrame, shards: int, order: int) -> DataFrame:
@@ -166,7 +167,7 @@ def _gram_requests(docs: DataFrame, shards: int, order: int) -> DataFrame:
                 })
             yield _batch(rows, _GRAM_REQUEST)
 
-    return docs.mapInArrow(ask, GRAM_REQUEST)
+    return docs.mapInArrow(tidy(ask), GRAM_REQUEST)
 
 
 def _summed(requests: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +247,7 @@ def _gram_answers(requests: DataFrame, folder: str, shards: int, least: int) ->
             out += [{"kind": 0, "shard": s, "block": -1, "check": 0, "parts": [pack_sorted(names[at]), pack(given[at])]} for s, at in dealt(word_shard(names, shards))]
         return pa.Table.from_pylist(out, _ANSWER)
 
-    return requests.groupBy("shard").applyInArrow(answer, ANSWER)
+    return requests.groupBy("shard").applyInArrow(tidy_group(answer), ANSWER)
 
 
 def _word_answers(requests: DataFrame, masses: DataFrame) -> DataFrame:
@@ -274,7 +275,7 @@ def _word_answers(requests: DataFrame, masses: DataFrame) -> DataFrame:
         return pa.Table.from_pylist(out, _ANSWER)
 
     both = requests.unionByName(masses.select("shard", "block", "check", F.col("parts")[0].alias("keys"), F.col("parts")[1].alias("counts")))
-    return both.groupBy("shard").applyInArrow(answer, ANSWER)
+    return both.groupBy("shard").applyInArrow(tidy_group(answer), ANSWER)
 
 
 def _filed(answers: DataFrame, folder: str) -> int:
@@ -367,5 +368,5 @@ def score_documents(docs: DataFrame, train, least: int = 1, order: int = ORDER)
             arrays = [pa.array(np.diff(offsets)), pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(np.log10(np.minimum(p, 1)), first))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *arrays], ["doc_id", "train", *SCORES])
 
-    scored = docs.mapInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = docs.mapInArrow(tidy(score), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(n_words).cast("long"))

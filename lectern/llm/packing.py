@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 
 from lectern.llm.pieces import END_ID, encoder, text_runs
 from lectern.llm.storage import stored
+from lectern.llm.workers import tidy
 
+#: Rows with texts that a Python worker gets at once.
+BATCH_ROWS = 2_000
 CAPACITY = 2048
 OPEN_BINS = 1024
 #: Pieces for each task of the first round, and by how much each further round has fewer tasks.
@@ -107,7 +110,7 @@ def piece_rows(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
                     yield pa.RecordBatch.from_arrays(arrays, names)
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows_in.mapInArrow(rows, PIECE + (", ids array<int>" if with_ids else ""))
+    return rows_in.mapInArrow(tidy(rows), PIECE + (", ids array<int>" if with_ids else ""))
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, bins: int = OPEN_BINS) -> DataFrame:
@@ -146,7 +149,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, bins: int = OPEN_BI
             yield table(open_bins.close(), not last)
 
         mixed = pieces.repartition(partitions, "doc_id", "piece").sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "ids_crc32")
-        packed = stored(mixed.mapInArrow(pack, f"{PIECE}, sequence_id long, offset long, still_open boolean"), f"packed-{level}")
+        packed = stored(mixed.mapInArrow(tidy(pack), f"{PIECE}, sequence_id long, offset long, still_open boolean"), f"packed-{level}")
         closed = packed.filter(~F.col("still_open")).drop("still_open")
         done = closed if done is None else done.unionByName(closed)
         if last:
@@ -156,7 +159,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, bins: int = OPEN_BI
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, bins: int = OPEN_BINS, vocabulary: str | None = None) -> DataFrame:
     """Encode and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack_pieces(stored(piece_rows(docs, capacity, vocabulary), "pieces"), capacity, bins)
+    return pack_pieces(stored(piece_rows(docs, capacity, vocabulary), "pieces", BATCH_ROWS), capacity, bins)
 
 
 def sequences(packed: DataFrame, pieces: DataFrame) -> DataFrame:

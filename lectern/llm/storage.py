@@ -27,18 +27,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Of Spark: rows that a Python worker gets at once.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """The same rows, written to the shared folder and read from it: lineage ends here and survives lost executors.
 
-    The write's own shuffle files are deleted when it has ended; ``drop_folder`` deletes the table.
+    The write's own shuffle files are deleted when it has ended; ``drop_folder`` deletes the table. ``batch`` bounds the rows
+    that a Python worker gets at once in this write, if the session's own bound is larger.
     """
     spark = df.sparkSession
-    path, before = shared_folder(spark, name), spark.conf.get(CLEANUP, "false")
+    path, before = shared_folder(spark, name), {k: spark.conf.get(k) for k in (CLEANUP, BATCH)}
     spark.conf.set(CLEANUP, "true")
+    if batch and not 0 < int(before[BATCH]) <= batch:
+        spark.conf.set(BATCH, str(batch))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, value in before.items():
+            spark.conf.set(k, value)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

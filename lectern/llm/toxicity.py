@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.wordarrays import ALNUM, Words, buffers, mix, runs, split_words
+from lectern.llm.workers import tidy
 
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 4
 #: Characters of a word that are hashed; 0 is the whole word.
@@ -290,7 +291,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn=None) -> DataFrame
                 value = score(model, ids, offsets, lookup)
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), pa.array(value, pa.float64())], [*names, "toxicity"])
 
-    scored = docs.mapInArrow(run, docs.limit(0).withColumn("toxicity", F.lit(0.0)).schema)
+    scored = docs.mapInArrow(tidy(run), docs.limit(0).withColumn("toxicity", F.lit(0.0)).schema)
     limit = F.lit(CUT)
     for lang, t in thresholds.items():
         limit = F.when(F.col("lang") == lang, t).otherwise(limit)
