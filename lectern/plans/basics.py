@@ -305,7 +305,7 @@ def a20(spark, sf):
 
 GRAMS = """grams AS (SELECT doc_id, CAST(n AS INT) AS n, CAST(p AS INT) AS pos, array_to_string(w[p + 1:p + n], ' ') AS gram FROM (SELECT doc_id, n, w, unnest(range(0, len(w) - n + 1)) AS p
  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z'']+') AS w FROM documents), (SELECT unnest(range({low}, {high} + 1)) AS n) WHERE len(w) >= n)),
-gram_counts AS (SELECT doc_id, n, gram, count(*) AS cnt, min(pos) AS first_pos FROM grams GROUP BY ALL HAVING count(*) >= 2)"""
+gram_counts AS MATERIALIZED (SELECT doc_id, n, gram, count(*) AS cnt, min(pos) AS first_pos FROM grams GROUP BY ALL HAVING count(*) >= 2)"""
 
 
 def grams_sql(low, high):

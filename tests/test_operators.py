@@ -27,11 +27,11 @@ def test_cleaning(spark):
     assert one(spark, cleaning.squeeze, "  a \t b\n\n\n\nc ") == "a b\n\nc\n"
     rows = W.lines(docs(spark, "Page 1\nPage 2\nPage 3\nPage 4\nbody"))
     assert [r.line for r in cleaning.drop_recurring_lines(rows).collect()] == ["body"]
-    rows = W.lines(docs(spark, "doi 10.1234/x\nIntroduction\nsee doi here\n12\nReferences\nx"))
+    rows = W.lines(docs(spark, "https://doi.org/10.1234/x\nIntroduction\nsee doi here\n12\nReferences\nx"))
     kept = cleaning.drop_page_numbers(cleaning.drop_end_sections(cleaning.drop_front_matter(rows)))
     assert [r.line for r in kept.orderBy("line_no").collect()] == ["Introduction", "see doi here"]
     assert cleaning.clean(docs(spark, "a-\nb  c\n\n\n\nd", None, "")).filter("doc_id = 0").first().text == "ab c\n\nd\n"
-    assert one(spark, cleaning.markdown_to_prose, "# T\n\n**b** [l](u) `c`\n- x") == "T\n\nb l c\nx"
+    assert one(spark, cleaning.markdown_to_prose, "# T\n\n**b** [l](u) `c`\n- x") == "T\n\nb l c\nx\n"
 
 
 def test_porter(spark):

@@ -10,7 +10,7 @@ import pytest
 from lectern.plans import all_oracles, all_queries
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["P02_front_matter", "J04_drop_recurring_lines", "F09_sentences", "W01_rank_fraction_cutoff", "L02_maximal_phrases", "A19_term_dispersion", "J17_collocation_pairs", "A30_wilson_interval", "A36_homogeneity", "X01_incremental_log"]
+NAMES = ["P02_front_matter", "F02_footnote_calls", "F04_clean", "P24_sanity_issues", "L01_verbatim_runs", "H02_cluster_review", "J04_drop_recurring_lines", "F09_sentences", "W01_rank_fraction_cutoff", "L02_maximal_phrases", "A19_term_dispersion", "J17_collocation_pairs", "A30_wilson_interval", "A36_homogeneity", "X01_incremental_log"]
 
 
 @pytest.fixture(scope="module")
