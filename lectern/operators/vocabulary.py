@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.porter import stems
-from lectern.functions.words import is_function_word, tokens
+from lectern.functions.words import FUNCTION_WORDS, is_function_word, tokens
 
 
 #: Parts that each function word is dealt to when tokens meet stems.
@@ -88,3 +88,20 @@ def sweep(rows: DataFrame, shares: list[float]) -> DataFrame:
     tried = ranked.withColumn("share", F.explode(F.array(*(F.lit(float(s)) for s in shares)))).filter(F.col("rank") <= F.ceil(F.col("n") * (F.lit(1.0) - F.col("share"))))
     hit = rows.filter(F.col("lower").rlike("^[a-z]+$")).join(tried.select("doc_id", "stem", "share"), ["doc_id", "stem"])
     return hit.groupBy("doc_id", "share").agg(F.count_distinct("stem").alias("n_stems"), F.count_distinct("lower").alias("n_words"), F.count("*").alias("n_hits"))
+
+
+# Abbreviations of citations, and what a numeral is.
+CITATION_ABBREVIATIONS = ("et", "al", "ibid", "eg", "ie", "etc", "cf", "op", "cit", "vol", "no", "pp")
+NUMERAL = r"^\d+[a-z]?$"
+
+
+def stopwords(docs: DataFrame, least: int = 3) -> DataFrame:
+    """doc_id, words: the sorted stop words of each text, which are function words, abbreviations of citations, its numerals, and
+    names that it mentions ``least`` times. Capitalised words that do not start the text stand for names of persons."""
+    numerals = F.filter(F.regexp_extract_all("text", F.lit(r"(?U)\b(\w+)\b"), F.lit(1)), lambda w: w.rlike(NUMERAL))
+    mentions = tokens(docs).filter((F.col("pos") > 0) & F.col("token").rlike("^[A-Z][a-z]+$")).groupBy("doc_id", "token").count().filter(F.col("count") >= least)
+    names = mentions.groupBy("doc_id").agg(F.collect_set(F.lower("token")).alias("names"))
+    base = F.array(*(F.lit(w) for w in (*FUNCTION_WORDS, *CITATION_ABBREVIATIONS)))
+    rows = docs.select("doc_id", numerals.alias("numerals")).join(names, "doc_id", "left")
+    every = F.concat(base, "numerals", F.coalesce("names", F.array().cast("array<string>")))
+    return rows.select("doc_id", F.array_sort(F.array_distinct(every)).alias("words"))

@@ -40,11 +40,12 @@ def f38(spark, sf):
     return names.withColumn("colour", ((F.row_number().over(Window.partitionBy("doc_id").orderBy("cluster")) - 1) % 20).cast("int"))
 
 
-@query("U01_stopword_table", W.with_sql("tokens") + f"SELECT unnest([{STOP}]) AS word UNION SELECT lower FROM tokens WHERE regexp_matches(token, '^[A-Z][a-z]+$') GROUP BY lower HAVING count(*) >= 50")
+@query("U01_stopwords", W.with_sql("tokens") + f""", names AS (SELECT doc_id, lower(token) AS word FROM tokens WHERE pos > 0 AND regexp_matches(token, '^[A-Z][a-z]+$') GROUP BY doc_id, token HAVING count(*) >= 3),
+numerals AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS word FROM documents), base AS (SELECT doc_id, unnest([{STOP}, 'et', 'al', 'ibid', 'eg', 'ie', 'etc', 'cf', 'op', 'cit', 'vol', 'no', 'pp']) AS word FROM documents),
+every AS (SELECT * FROM names UNION SELECT * FROM numerals WHERE regexp_matches(word, '^[0-9]+[a-z]?$') UNION SELECT * FROM base)
+SELECT doc_id, count(*) AS n, md5(string_agg(word, ' ' ORDER BY word)) AS digest FROM every GROUP BY doc_id""")
 def u01(spark, sf):
-    base = docs_of(spark, sf).limit(1).select(F.explode(F.array(*(F.lit(w) for w in W.FUNCTION_WORDS))).alias("word"))
-    names = W.tokens(docs_of(spark, sf)).filter(F.col("token").rlike("^[A-Z][a-z]+$")).groupBy(F.col("lower").alias("word")).count().filter("count >= 50")
-    return base.unionByName(names.select("word")).distinct()
+    return vocabulary.stopwords(docs_of(spark, sf)).select("doc_id", F.size("words").cast("long").alias("n"), F.md5(F.array_join("words", " ")).alias("digest"))
 
 
 @query("A22_name_mentions", W.with_sql("tokens") + "SELECT doc_id, token AS name, count(*) AS n FROM tokens WHERE pos > 0 AND regexp_matches(token, '^[A-Z][a-z]+$') GROUP BY ALL HAVING count(*) >= 3")
