@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.pieces import encoder, text_runs
+from lectern.llm.pieces import encoder, forget, text_runs
 from lectern.llm.workers import tidy
 
 _lengths: dict[str | None, np.ndarray] = {}
@@ -92,4 +92,4 @@ def section_tokens(docs: DataFrame, rule: str = "first", sections: str | None =
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")]
     if sections:
         columns.append(F.expr(f"transform({sections}, s -> named_struct('start', cast(s.start as long), 'end', cast(s.end as long)))").alias("sections"))
-    return docs.select(*columns).mapInArrow(tidy(count), "doc_id long, section int, first_char long, end_char long, n_tokens long")
+    return docs.select(*columns).mapInArrow(tidy(count, forget), "doc_id long, section int, first_char long, end_char long, n_tokens long")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.pieces import END_ID, encoder, text_runs
+from lectern.llm.pieces import END_ID, encoder, forget, text_runs
 from lectern.llm.workers import tidy
 
 MAGIC = b"LPLANES1"
@@ -194,7 +194,7 @@ def write_ids(docs: DataFrame, folder: str, bits: bool = False, vocabulary: str
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = partitions or max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
-    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(write), "path string, first_doc long, n_docs long, n_ids long")
+    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(write, forget), "path string, first_doc long, n_docs long, n_ids long")
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.pieces import END_ID, encoder, text_runs
+from lectern.llm.pieces import END_ID, encoder, forget, text_runs
 from lectern.llm.storage import stored
 from lectern.llm.workers import tidy
 
@@ -110,7 +110,7 @@ def piece_rows(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
                     yield pa.RecordBatch.from_arrays(arrays, names)
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows_in.mapInArrow(tidy(rows), PIECE + (", ids array<int>" if with_ids else ""))
+    return rows_in.mapInArrow(tidy(rows, forget), PIECE + (", ids array<int>" if with_ids else ""))
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, bins: int = OPEN_BINS) -> DataFrame:

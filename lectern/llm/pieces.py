@@ -122,12 +122,18 @@ _encoders: dict[tuple[str | None, bool], PieceEncoder] = {}
 
 
 def encoder(path: str | None = None, special: bool = True) -> PieceEncoder:
-    """One for each worker process and vocabulary file, as its memo is worth keeping between tasks."""
+    """One for each worker process and vocabulary file, as opening it takes a while."""
     if (path, special) not in _encoders:
         _encoders[path, special] = PieceEncoder(path, special=special)
     return _encoders[path, special]
 
 
+def forget() -> None:
+    """Empty the memos of this process, for the end of a task."""
+    for x in _encoders.values():
+        x.memo = {}
+
+
 def text_runs(texts: list, most: int = 1 << 21) -> Iterator[slice]:
     """Spans of texts of at most so many characters, or one text."""
     i, n = 0, 0
