@@ -27,18 +27,37 @@ LANGUAGE_LEAST = 0.15
 SHINGLE, PERCENT = 5, 80
 
 
+#: Rows that a Python worker gets at once; texts are long, so that the usual number would be tens of MB.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+
+
+def bounded(stage):
+    """The stage with the session's batches for Python bounded; the bound stays set, as the result is computed later."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not 0 < int(spark.conf.get(BATCH)) <= BATCH_ROWS:
+            spark.conf.set(BATCH, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
+
+@bounded
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or that look like no language that was learned, go."""
     found = langid.identify(docs)
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LANGUAGE_LEAST)).select(*COLUMNS)
 
 
+@bounded
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a toxicity of 0.3 or more go."""
     scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
     return scored.filter(F.col("toxicity") < toxicity.CUT).select(*COLUMNS)
 
 
+@bounded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id stays; of repeated rows of it, one.
 
@@ -71,11 +90,13 @@ def _nameless(rows: DataFrame, found: DataFrame) -> DataFrame:
     return keyed.join(groups, "key", "left_semi").dropDuplicates(["key"]).unionByName(keyed.filter("key is null")).select(*COLUMNS)
 
 
+@bounded
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
+@bounded
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, in sequences of at most 2048 tokens."""
     return packing.pack_documents(docs)
