@@ -81,16 +81,16 @@ class Trie:
     """A trie of n-grams, level by level.
 
     ``roots`` are the sorted first words. A level has for each node of the level above a pointer to its first child; the
-    pointers are monotone. Children are sorted words of ``bits`` bits, made one monotone sequence by adding their parent's
-    rank in units of the words' universe, so that a child is found by successor search among its parent's own children.
+    pointers are monotone. Children are sorted words of so many bits in each level, made one monotone sequence by adding their
+    parent's rank in units of the words' universe, so that a child is found by successor search among its parent's own children.
     Each node has the code of one of at most 256 values; ``backoff`` is what a node's children leave over.
     """
 
-    def __init__(self, bits: int, roots: EliasFano, levels: list[tuple[EliasFano, EliasFano, np.ndarray, np.ndarray, np.ndarray]]):
+    def __init__(self, bits: list[int], roots: EliasFano, levels: list[tuple[EliasFano, EliasFano, np.ndarray, np.ndarray, np.ndarray]]):
         self.bits, self.roots, self.levels = bits, roots, levels
 
     @classmethod
-    def of(cls, roots: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int) -> Trie:
+    def of(cls, roots: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bits: list[int]) -> Trie:
         """``levels`` has for each level below the roots: each node's parent (its place in the level above), word and value,
         in order of both."""
         made, above = [], len(roots)
@@ -98,7 +98,7 @@ class Trie:
             pointers = np.searchsorted(parent, np.arange(above + 1))
             book, codes = quantise(value)
             given = np.bincount(levels[k + 1][0], quantised(levels[k + 1][2]), len(word)) if k + 1 < len(levels) else np.zeros(len(word))
-            relative = (parent.astype(np.uint64) << np.uint64(bits)) + word.astype(np.uint64)
+            relative = (parent.astype(np.uint64) << np.uint64(bits[k])) + word.astype(np.uint64)
             made.append((EliasFano.of(pointers), EliasFano.of(relative), codes, book, (1 - given).astype(np.float32)))
             above = len(word)
         return cls(bits, EliasFano.of(roots), made)
@@ -114,7 +114,7 @@ class Trie:
         here = np.flatnonzero(parent >= 0)
         if len(here) and words.n:
             rank = parent[here]
-            wanted = (rank.astype(np.uint64) << np.uint64(self.bits)) + word[here].astype(np.uint64)
+            wanted = (rank.astype(np.uint64) << np.uint64(self.bits[level])) + word[here].astype(np.uint64)
             out[here] = self._found(words, wanted, pointers.access(rank).astype(np.int64), pointers.access(rank + 1).astype(np.int64))
         return out
 
@@ -129,7 +129,7 @@ class Trie:
 
     def to_bytes(self) -> bytes:
         """A table of sizes, then all arrays, each at a multiple of 8 bytes."""
-        arrays = [np.array([self.bits], np.int64), *self.roots.arrays()]
+        arrays = [np.array(self.bits, np.int64), *self.roots.arrays()]
         for pointers, words, codes, book, backoff in self.levels:
             arrays += [*pointers.arrays(), *words.arrays(), codes, book, backoff]
         raw = [a.tobytes() + bytes(-a.nbytes % 8) for a in arrays]
@@ -153,7 +153,7 @@ class Trie:
             return EliasFano(int(a[0][0]), int(a[0][1]), a[1], a[2])
 
         levels = [(sequence(a[:3]), sequence(a[3:6]), *a[6:]) for a in (arrays[i : i + len(level)] for i in range(4, n, len(level)))]
-        return cls(int(arrays[0][0]), sequence(arrays[1:4]), levels)
+        return cls(arrays[0].tolist(), sequence(arrays[1:4]), levels)
 
 
 def quantise(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

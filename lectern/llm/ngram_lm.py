@@ -12,14 +12,15 @@ n-gram and word once, with its count in the block's training documents; requests
 belongs to the shard of its first two words, so that a frequent first word does not meet in one, and is sent as nested
 levels: children below their parent. A shard sums the counts, writes its trie to the shared folder, opens it by memory
 map where the folder is local, and answers by walking down from the first word, a successor search among the children
-of each node. Answers are gathered for each block in one file of the shared folder, named by the block, and the
+of each node; then the file is deleted, unless ``keep`` names a folder for the model. Answers are gathered for each block in one file of the shared folder, named by the block, and the
 blocks are read once more and scored. Shards hold about ``SHARD_BYTES`` of text each, whatever the input's size.
 
 In the level below the first words the trie holds discounted counts, as a first word's successors are spread over
 shards and only the words' own shard knows its total; below that it holds probabilities.
 
-First words are known by 63 bits of their hash, words of the vocabulary by 64, and others by 40 among the children of one
-node, where a million siblings have a pair alike with a chance of about a half.
+First words are known by 63 bits of their hash, words of the vocabulary by 64, second words by 40 among a first word's
+children, where a million siblings have a pair alike with a chance of about a half, and others by 32 among the children
+of a node, where that takes 65,000 siblings.
 
 The table must be read the same way each time: a scan of files, or a stored table. Requests and answers carry a
 checksum of their block's ids, and a different block is an error, never a wrong score. Jobs run while the result is planned.
@@ -49,8 +50,19 @@ from lectern.llm.workers import tidy, tidy_group
 BLOCK_BYTES, SHARD_BYTES = 6 << 20, 8 << 20
 ORDER = 3
 DISCOUNT, WORD_DISCOUNT = 0.75, 0.7
-#: Bits of a word among the children of a node, and ranges of first words; each range is spread by second words.
-BITS, RANGES = 40, 32
+#: Ranges of first words; each range is spread by second words.
+RANGES = 32
+
+
+def bits(level: int) -> int:
+    """Bits of a word among the children of a node: first words have by far the most."""
+    return 32 if level else 40
+
+
+def short(words: np.ndarray, level: int) -> np.ndarray:
+    return words.astype(np.uint32) if level else words & np.uint64((1 << bits(0)) - 1)
+
+
 START = np.uint64(0x5851F42D4C957F2D)
 END = np.uint64(0x14057B7EF767814F)
 
@@ -155,13 +167,12 @@ def _gram_requests(docs: DataFrame, shards: int, order: int) -> DataFrame:
             grams = Grams(words, offsets, np.repeat(train, np.diff(offsets)), order)
             levels = [dict(dealt(s)) for s in grams.shards(shards)]
             children = [np.bincount(p, minlength=len(w)).astype(np.uint32) for p, w in zip(grams.parent[1:], grams.word, strict=False)]
-            short = grams.words & np.uint64((1 << BITS) - 1)
             rows = []
             for s, at in levels[0].items():
                 parts = [level.get(s, at[:0]) for level in levels]
                 rows.append({
                     "shard": s, "block": block, "check": check, "first": pack_sorted(grams.words[grams.parent[0][at]]),
-                    "words": [pack(short[grams.word[k][p]]) for k, p in enumerate(parts)],
+                    "words": [pack(short(grams.words[grams.word[k][p]], k)) for k, p in enumerate(parts)],
                     "counts": [pack(grams.count[k][p]) for k, p in enumerate(parts)],
                     "children": [pack(children[k][p]) for k, p in enumerate(parts[:-1])],
                 })
@@ -182,8 +193,18 @@ def _summed(requests: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     return keys[first], np.add.reduceat(counts.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
 
 
-def _opened(folder: str, raw: bytes) -> Trie:
-    """Write a trie to the shared folder and open it there."""
+def _kind(level: int):
+    return np.uint32 if level else np.uint64
+
+
+def _deleted(folder: str, path: str) -> None:
+    from pyarrow import fs
+
+    fs.FileSystem.from_uri(folder)[0].delete_file(path)
+
+
+def _opened(folder: str, raw: bytes) -> tuple[Trie, str]:
+    """Write a trie to the shared folder and open it there; also its path."""
     from pyarrow import fs
 
     store, base = fs.FileSystem.from_uri(folder)
@@ -192,16 +213,16 @@ def _opened(folder: str, raw: bytes) -> Trie:
     with store.open_output_stream(path) as out:
         out.write(raw)
     if isinstance(store, fs.LocalFileSystem):
-        return Trie.view(np.memmap(path, np.uint8, "r"))
+        return Trie.view(np.memmap(path, np.uint8, "r")), path
     with store.open_input_file(path) as source:
-        return Trie.view(source.read())
+        return Trie.view(source.read()), path
 
 
 ANSWER = "kind int, shard long, block long, check long, parts array<binary>"
 _ANSWER = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("block", pa.int64()), ("check", pa.int64()), ("parts", pa.list_(pa.binary()))])
 
 
-def _gram_answers(requests: DataFrame, folder: str, shards: int, least: int) -> DataFrame:
+def _gram_answers(requests: DataFrame, folder: str, shards: int, least: int, keep: str | None) -> DataFrame:
     """Kind 2: of a block's n-grams of a shard, level by level, which are in the trie, the codes of those, what their
     children leave over, and the codes' values. Kind 0: for a shard of words, first words and the sum of what they give away here."""
 
@@ -212,10 +233,10 @@ def _gram_answers(requests: DataFrame, folder: str, shards: int, least: int) ->
         first, above = np.unique(np.concatenate([unpack_sorted(r["first"]) for r in rows]), return_inverse=True)
         nodes, places = [], []
         for k in range(order):
-            word = np.concatenate([unpack(r["words"][k], np.uint64) for r in rows])
+            word = np.concatenate([unpack(r["words"][k], _kind(k)) for r in rows]).astype(np.uint64)
             count = np.concatenate([unpack(r["counts"][k], np.uint32) for r in rows])
-            distinct, place = np.unique(above.astype(np.uint64) << np.uint64(BITS) | word, return_inverse=True)
-            nodes.append(((distinct >> np.uint64(BITS)).astype(np.int64), distinct & np.uint64((1 << BITS) - 1), np.bincount(place, count, len(distinct))))
+            distinct, place = np.unique(above.astype(np.uint64) << np.uint64(bits(k)) | word, return_inverse=True)
+            nodes.append(((distinct >> np.uint64(bits(k))).astype(np.int64), distinct & np.uint64((1 << bits(k)) - 1), np.bincount(place, count, len(distinct))))
             places.append(place)
             if k + 1 < order:
                 above = np.repeat(place, np.concatenate([unpack(r["children"][k], np.uint32) for r in rows]))
@@ -227,13 +248,14 @@ def _gram_answers(requests: DataFrame, folder: str, shards: int, least: int) ->
             up = np.searchsorted(roots, parent[kept]) if k == 0 else rank[parent[kept]]
             learned.append((up, word[kept], count[kept] - DISCOUNT if k == 0 else (count[kept] - DISCOUNT) / whole[parent[kept]]))
             rank, whole = np.cumsum(count >= least) - 1, count
-        trie = _opened(folder, Trie.of(first[roots] >> np.uint64(1), learned, BITS).to_bytes())
+        raw = Trie.of(first[roots] >> np.uint64(1), learned, [bits(k) for k in range(order)]).to_bytes()
+        trie, path = _opened(keep or folder, raw)
         # The walk: each distinct n-gram that was asked for, from its first word down.
         found, at = [], trie.root(first >> np.uint64(1))
         for k, (parent, word, _) in enumerate(nodes):
             at = trie.child(k, at[parent], word)
             found.append(at)
-        out, sizes = [], [np.cumsum([0, *(len(unpack(r["words"][k], np.uint64)) for r in rows)]) for k in range(order)]
+        out, sizes = [], [np.cumsum([0, *(len(unpack(r["words"][k], _kind(k))) for r in rows)]) for k in range(order)]
         for i, row in enumerate(rows):
             parts = []
             for k, (_, _, codes, book, backoff) in enumerate(trie.levels):
@@ -245,6 +267,9 @@ def _gram_answers(requests: DataFrame, folder: str, shards: int, least: int) ->
             given = np.bincount(learned[0][0], trie.levels[0][3][trie.levels[0][2]].astype(np.float64), len(roots))
             names = first[roots]
             out += [{"kind": 0, "shard": s, "block": -1, "check": 0, "parts": [pack_sorted(names[at]), pack(given[at])]} for s, at in dealt(word_shard(names, shards))]
+        if not keep:
+            del trie
+            _deleted(folder, path)
         return pa.Table.from_pylist(out, _ANSWER)
 
     return requests.groupBy("shard").applyInArrow(tidy_group(answer), ANSWER)
@@ -321,15 +346,16 @@ def held_out(doc_id) -> F.Column:
 SCORES = ["n_tokens", "n_known", "base_score", "score"]
 
 
-def score_documents(docs: DataFrame, train, least: int = 1, order: int = ORDER) -> DataFrame:
+def score_documents(docs: DataFrame, train, least: int = 1, order: int = ORDER, keep: str | None = None) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score. ``train`` says which rows are learned from,
-    ``least`` how often an n-gram of two words or more that is kept occurs in them."""
+    ``least`` how often an n-gram of two words or more that is kept occurs in them. ``keep`` is a folder, as a URI, where the
+    shards' tries stay; else each is deleted when it has answered."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     folder = shared_folder(spark, "lm")
-    found2 = stored(_gram_answers(_gram_requests(docs, shards, order), f"{folder}/tries", shards, least), "lm-grams")
+    found2 = stored(_gram_answers(_gram_requests(docs, shards, order), f"{folder}/tries", shards, least, keep), "lm-grams")
     found1 = stored(_word_answers(_word_requests(docs, shards), found2.filter("kind = 0")), "lm-words")
     # Two numbers from each shard, added up where they are.
     number = F.expr("transform(parts, p -> cast(conv(hex(p), 16, 10) as long))")

@@ -129,7 +129,7 @@ def test_trie_on_disk(tmp_path):
         (np.array([pairs.index(g[:2]) for g in grams]), np.array([g[2] for g in grams], np.uint64), value3),
     ]
     path = tmp_path / "trie"
-    path.write_bytes(Trie.of(np.array(roots, np.uint64), levels, 40).to_bytes())
+    path.write_bytes(Trie.of(np.array(roots, np.uint64), levels, [40, 32]).to_bytes())
     trie = Trie.view(np.memmap(path, np.uint8, "r"))
     asked = [*grams, *((a + d, b + e, c + 1) for a, b, c in grams for d in (0, 1) for e in (0, 1))]
     first, second, third = (np.array(x, np.uint64) for x in zip(*asked, strict=True))
