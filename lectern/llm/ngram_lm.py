@@ -44,10 +44,12 @@ from pyspark.sql import functions as F
 from lectern.llm.blobs import dealt, pack, pack_sorted, unpack, unpack_sorted
 from lectern.llm.eliasfano import Trie
 from lectern.llm.storage import drop_folder, shared_folder, stored
-from lectern.llm.wordarrays import SOLID, buffers, mix, runs, split_words
+from lectern.llm.wordarrays import SOLID, buffers, mix, split_words
 from lectern.llm.workers import tidy, tidy_group
 
-BLOCK_BYTES, SHARD_BYTES = 6 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 4 << 20
+#: Rows that a Python worker gets at once while requests are made; blocks do not depend on it.
+BATCH_ROWS = 2_000
 ORDER = 3
 DISCOUNT, WORD_DISCOUNT = 0.75, 0.7
 #: Ranges of first words; each range is spread by second words.
@@ -87,17 +89,34 @@ def pair_shard(first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray
     return word_shard(first, ranges) * spread + (mix(second) % np.uint64(spread)).astype(np.int64)
 
 
-def _blocks(batches):
-    """Runs of whole documents of one partition: number, checksum, batch's documents, training flags, tokens, offsets."""
-    task, number = TaskContext.get().partitionId(), 0
+def _runs_of_documents(batches):
+    """Consecutive rows of one partition, as many as have ``BLOCK_BYTES`` of text at most, or one, however they are batched."""
+    pending, held = [], 0
     for batch in batches:
-        data, bounds = buffers(batch.column(1))
-        ids = batch.column(0).cast(pa.string()).fill_null("")
-        for i, j in runs(bounds, BLOCK_BYTES):
-            words, offsets = tokens(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-            check = zlib.crc32("\n".join(ids.slice(i, j - i).to_pylist()).encode())
-            yield task << 32 | number, check, batch.slice(i, j - i), np.array(batch.column(2).slice(i, j - i).to_pylist(), bool), words, offsets
-            number += 1
+        bounds = buffers(batch.column(1))[1]
+        i = 0
+        while i < batch.num_rows:
+            j = int(np.searchsorted(bounds, bounds[i] + BLOCK_BYTES - held, side="right")) - 1
+            j = min(max(j, i if pending else i + 1), batch.num_rows)
+            if j > i:
+                pending.append(batch.slice(i, j - i))
+                held += int(bounds[j] - bounds[i])
+                i = j
+            if i < batch.num_rows:
+                yield pa.Table.from_batches(pending).combine_chunks()
+                pending, held = [], 0
+    if pending:
+        yield pa.Table.from_batches(pending).combine_chunks()
+
+
+def _blocks(batches):
+    """Blocks of one partition: number, checksum, documents, training flags, tokens, offsets."""
+    task = TaskContext.get().partitionId()
+    for number, docs in enumerate(_runs_of_documents(batches)):
+        part = docs.to_batches()[0]
+        words, offsets = tokens(*buffers(part.column(1)))
+        check = zlib.crc32("\n".join(part.column(0).cast(pa.string()).fill_null("").to_pylist()).encode())
+        yield task << 32 | number, check, part, np.array(part.column(2).to_pylist(), bool), words, offsets
 
 
 def _distinct(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -355,8 +374,8 @@ def score_documents(docs: DataFrame, train, least: int = 1, order: int = ORDER,
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     folder = shared_folder(spark, "lm")
-    found2 = stored(_gram_answers(_gram_requests(docs, shards, order), f"{folder}/tries", shards, least, keep), "lm-grams")
-    found1 = stored(_word_answers(_word_requests(docs, shards), found2.filter("kind = 0")), "lm-words")
+    found2 = stored(_gram_answers(_gram_requests(docs, shards, order), f"{folder}/tries", shards, least, keep), "lm-grams", BATCH_ROWS)
+    found1 = stored(_word_answers(_word_requests(docs, shards), found2.filter("kind = 0")), "lm-words", BATCH_ROWS)
     # Two numbers from each shard, added up where they are.
     number = F.expr("transform(parts, p -> cast(conv(hex(p), 16, 10) as long))")
     totals = found1.filter("kind = 3").select(number.alias("n")).agg(F.sum(F.col("n")[0]), F.sum(F.col("n")[1])).first()

@@ -162,3 +162,16 @@ def test_other_documents_are_an_error(tmp_path):
     for block, check_ in ((7, 6), (8, 5)):
         with pytest.raises(RuntimeError):
             ngram_lm._answers(f"file://{tmp_path}", block, check_)
+
+
+def test_blocks_do_not_depend_on_batches(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_lm, "BLOCK_BYTES", 50)
+    rng = random.Random(6)
+    docs = pa.table({"doc_id": list(range(80)), "text": ["x" * rng.choice([0, 3, 20, 49, 50, 51, 200]) for _ in range(80)], "train": [True] * 80})
+    found = [[tuple(t.column("doc_id").to_pylist()) for t in ngram_lm._runs_of_documents(docs.to_batches(n))] for n in (1, 3, 7, 80)]
+    assert found[0] == found[1] == found[2] == found[3] and sum(found[0], ()) == tuple(range(80))
+    assert all(len(b) == 1 or sum(len(docs["text"][i].as_py()) for i in b) <= 50 for b in found[0])
