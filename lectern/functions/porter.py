@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,94 @@ def stems(words: DataFrame) -> DataFrame:
     return out.groupBy("lower").agg(F.first("w").alias("stem"))
 
 
+_PATTERNS = {p: re.compile(p) for p in (_M0, _M1, _IS1, _VOWEL, _CVC)}
+
+
+def _cut(w: str, suffix: str, pattern: str, tail: str = "") -> str:
+    rest = w[: -len(suffix)]
+    return rest + tail if _PATTERNS[pattern].search(rest) else w
+
+
+_SUFFIX4 = re.compile(f"({'|'.join(STEP4.split())})$")
+
+
+def _step4(w: str) -> str:
+    found = _SUFFIX4.search(w)  # the leftmost match is the longest suffix
+    if found:
+        return _cut(w, found[0], _M1)
+    return _cut(w, "ion", _M1) if w.endswith(("sion", "tion")) else w
+
+
+def _bare(w: str) -> str:
+    b = w[:-1]
+    if w[-1] != "#":
+        return w
+    if b.endswith(("at", "bl", "iz")):
+        return b + "e"
+    if len(b) > 1 and b[-1] == b[-2] and b[-1] not in "aeiouylsz":
+        return b[:-1]
+    return b + "e" if _PATTERNS[_CVC].search(b) else b
+
+
+def _plural(w: str) -> str:
+    if w.endswith(("sses", "ies")):
+        return w[:-2]
+    return w[:-1] if w.endswith("s") and not w.endswith("ss") else w
+
+
+def _participle(w: str) -> str:
+    if w.endswith("eed"):
+        return _cut(w, "eed", _M0, "ee")
+    if w.endswith("ed"):
+        return _cut(w, "ed", _VOWEL, "#")
+    return _cut(w, "ing", _VOWEL, "#") if w.endswith("ing") else w
+
+
+def _replaced(pairs: str):
+    rules = dict(_pairs(pairs))
+    suffix = re.compile(f"({'|'.join(rules)})$")
+
+    def step(w: str) -> str:
+        found = suffix.search(w)
+        return _cut(w, found[0], _M0, rules[found[0]]) if found else w
+
+    return step
+
+
+def _last_e(w: str) -> str:
+    b = w[:-1]
+    good = w.endswith("e") and (_PATTERNS[_M1].search(b) or (_PATTERNS[_IS1].search(b) and not _PATTERNS[_CVC].search(b)))
+    return b if good else w
+
+
+_IN_PYTHON = (
+    _plural, _participle, _bare, lambda w: _cut(w, "y", _VOWEL, "i") if w.endswith("y") else w, _replaced(STEP2), _replaced(STEP3), _step4, _last_e,
+    lambda w: w[:-1] if w.endswith("ll") and _PATTERNS[_M1].search(w) else w,
+)
+#: Stems that a Python worker has met; they are forgotten when there are so many.
+_KNOWN: dict[str, str] = {}
+MOST_KNOWN = 400_000
+
+
+def stem(word: str) -> str:
+    """The stem of one word, by the same rules as the SQL expressions."""
+    w = word.replace("'", "")
+    for step in _IN_PYTHON:
+        if len(w) >= 3:
+            w = step(w)
+    return w
+
+
+def known_stem(word: str) -> str:
+    """The same, remembered by the worker."""
+    found = _KNOWN.get(word)
+    if found is None:
+        if len(_KNOWN) >= MOST_KNOWN:
+            _KNOWN.clear()
+        found = _KNOWN[word] = stem(word)
+    return found
+
+
 def stems_sql(source: str = "tokens") -> str:
     """A relation ``stems`` (lower, stem) of the words of another."""
     query = f"SELECT DISTINCT lower, replace(lower, '''', '') AS w FROM {source}"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import words as W
 from lectern.functions.porter import stems_sql
-from lectern.operators import cleaning, phrases, vocabulary
+from lectern.operators import cleaning, phrases, vocabulary, whole
 from lectern.plans.registry import query
 from lectern.session import table
 
@@ -336,7 +336,7 @@ MAXIMAL = """inside AS (SELECT DISTINCT doc_id, array_to_string(w[p + 1:p + m],
 
 @query("L02_maximal_phrases", "WITH " + grams_sql(2, 4) + ", " + MAXIMAL + " SELECT * FROM kept")
 def l02(spark, sf):
-    return phrases.maximal(phrases.gram_counts(phrases.grams(docs_of(spark, sf), range(2, 5))))
+    return phrases.maximal(phrases.recurring_counts(whole.dealt(docs_of(spark, sf)), range(2, 5)), 4)
 
 
 @query("O07_top_phrases", "WITH " + grams_sql(2, 4) + ", " + MAXIMAL + " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, n DESC, first_pos) AS rank FROM kept) WHERE rank <= 25")
