@@ -341,7 +341,7 @@ def l02(spark, sf):
 
 @query("O07_top_phrases", "WITH " + grams_sql(2, 4) + ", " + MAXIMAL + " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, n DESC, first_pos) AS rank FROM kept) WHERE rank <= 25")
 def o07(spark, sf):
-    return phrases.top_phrases(phrases.maximal(phrases.gram_counts(phrases.grams(docs_of(spark, sf), range(2, 5)))), 25)
+    return phrases.top_phrases(phrases.maximal(phrases.recurring_counts(whole.dealt(docs_of(spark, sf)), range(2, 5)), 4), 25)
 
 
 @query("A25_most_repeated_6gram", "WITH " + grams_sql(6, 6) + " SELECT doc_id, gram, cnt FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, first_pos) AS r FROM gram_counts) WHERE r = 1")
