@@ -66,19 +66,3 @@ def term_pool(places: DataFrame, clusters: DataFrame, k: int = 6) -> DataFrame:
     named = counts.join(clusters.select("doc_id", F.col("stem").alias("term"), "cluster"), ["doc_id", "term"])
     order = Window.partitionBy("doc_id", "cluster").orderBy(F.desc("cnt"), "first_pos")
     return named.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
-
-
-def collocation_pairs(places: DataFrame, pool: DataFrame, n: int) -> DataFrame:
-    """Pairs of pool terms of different clusters: places of the first term near one of the second, and whether a
-    term is so frequent (five times the upper median of the pool) that it is near everything."""
-    first = pool.select("doc_id", F.col("term").alias("term_a"), F.col("cluster").alias("cluster_a"), F.col("cnt").alias("cnt_a"))
-    second = pool.select("doc_id", F.col("term").alias("term_b"), F.col("cluster").alias("cluster_b"), F.col("cnt").alias("cnt_b"))
-    pairs = first.join(second, "doc_id").filter("cluster_a < cluster_b")  # at most k terms of each cluster
-    pooled = places.join(pool.select("doc_id", "term"), ["doc_id", "term"])
-    left = pooled.select("doc_id", F.col("term").alias("term_a"), F.col("pos").alias("pos_a"), F.floor(F.col("pos") / n).alias("bucket"))
-    right = pooled.select("doc_id", F.col("term").alias("term_b"), F.col("pos").alias("pos_b"), F.explode(F.expr(f"transform(array(-1, 0, 1), k -> floor(pos / {n}) + k)")).alias("bucket"))
-    near = left.join(right, ["doc_id", "bucket"]).filter(f"abs(pos_a - pos_b) <= {n} and pos_a <> pos_b")
-    hits = near.groupBy("doc_id", "term_a", "term_b").agg(F.count_distinct("pos_a").alias("hits"))
-    median = pool.groupBy("doc_id").agg(F.array_sort(F.collect_list("cnt")).alias("c")).select("doc_id", F.expr("element_at(c, cast(floor(size(c) / 2) as int) + 1)").alias("median"))
-    found = pairs.join(hits, ["doc_id", "term_a", "term_b"]).join(median, "doc_id")
-    return found.withColumn("confounded", F.greatest("cnt_a", "cnt_b") >= 5 * F.col("median"))

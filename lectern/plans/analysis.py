@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import words as W
 from lectern.functions.porter import stems_sql
-from lectern.operators import phrases, reading, selection, verification, vocabulary
+from lectern.operators import phrases, reading, selection, verification, vocabulary, whole
 from lectern.plans.basics import OCCURRENCES, STEM_COUNTS, STEMMED, STOP, UPTO_TOP, docs_of, grams_sql, stemmed_of
 from lectern.plans.registry import query
 from lectern.session import table
@@ -51,16 +51,15 @@ found AS (SELECT doc_id, cluster, sent_id, first(density) AS density, list_sort(
 scored AS (SELECT *, round(density * (1 + len(stems)), 4) AS score FROM found)
 SELECT doc_id, cluster, sent_id, score, array_to_string(stems, ' ') AS stems, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cluster ORDER BY score DESC, sent_id) AS rank FROM scored) WHERE rank <= 3""".replace("GROUP BY ALL),\nscored", "GROUP BY doc_id, cluster, sent_id),\nscored"))
 def w06(spark, sf):
-    rows, stems, clusters = sentences_and_clusters(spark, sf)
-    found = selection.informative(rows, stems, clusters, 0.5, 3)
+    texts, clusters = texts_and_clusters(spark, sf)
+    found = selection.informative(selection.dense_sentences(texts, 0.5), whole.clusters_of_words(clusters), 3)
     return found.select("doc_id", "cluster", "sent_id", "score", F.array_join("stems", " ").alias("stems"), "rank")
 
 
-def sentences_and_clusters(spark, sf):
-    rows = selection.densities(docs_of(spark, sf))
-    stems = selection.stems_of_sentences(rows)
-    top = vocabulary.rank_cut(selection.counts_of_stems(stems), 0.9, 150)
-    return rows, stems, vocabulary.pseudo_clusters(top)
+def texts_and_clusters(spark, sf):
+    """Texts dealt by doc_id, and their top words with clusters."""
+    texts = whole.dealt(docs_of(spark, sf))
+    return texts, whole.top_words(texts, 0.9, 150)
 
 
 PHRASES = """sg AS (SELECT doc_id, sent_id, n, p, array_to_string(words[p + 1:p + n], ' ') AS gram FROM (SELECT doc_id, sent_id, n, words, unnest(range(0, len(words) - n + 1)) AS p FROM dens, (SELECT unnest([2, 3]) AS n) WHERE len(words) >= n)),
@@ -72,8 +71,8 @@ phrases AS (SELECT doc_id, cluster, gram, cnt, rank FROM (SELECT near.*, cnt, ro
 
 @query("A05_cluster_phrases", UPTO + CLUSTERS + ", " + W.SQL["sentences"] + ", " + DENSITY + ", " + PHRASES + " SELECT doc_id, cluster, gram, cnt, rank FROM phrases")
 def a05(spark, sf):
-    rows, _, clusters = sentences_and_clusters(spark, sf)
-    return selection.cluster_phrases(selection.sentence_grams(rows), clusters)
+    texts, clusters = texts_and_clusters(spark, sf)
+    return selection.cluster_phrases(selection.sentence_grams(texts), clusters).drop("sent_ids")
 
 
 @query("F30_scores_with_phrases", UPTO + CLUSTERS + ", " + W.SQL["sentences"] + ", " + DENSITY + ", " + PHRASES + f""", chosen AS (SELECT d.* FROM dens d JOIN (SELECT doc_id, quantile_cont(density, 0.5) AS t FROM dens GROUP BY doc_id) USING (doc_id) WHERE density >= t),
@@ -83,10 +82,9 @@ hits AS (SELECT doc_id, cluster, sent_id, count(*) AS n_phrases FROM (SELECT DIS
 scored AS (SELECT *, round(density * (1 + n_stems + coalesce(n_phrases, 0)), 4) AS score FROM found LEFT JOIN hits USING (doc_id, cluster, sent_id))
 SELECT doc_id, cluster, sent_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cluster ORDER BY score DESC, sent_id) AS rank FROM scored) WHERE rank <= 3""")
 def f30(spark, sf):
-    rows, stems, clusters = sentences_and_clusters(spark, sf)
-    grams = selection.sentence_grams(rows)
-    hits = selection.phrase_hits(grams, selection.cluster_phrases(grams, clusters))
-    return selection.informative(rows, stems, clusters, 0.5, 3, hits).select("doc_id", "cluster", "sent_id", "score", "rank")
+    texts, clusters = texts_and_clusters(spark, sf)
+    hits = selection.phrase_hits(selection.cluster_phrases(selection.sentence_grams(texts), clusters))
+    return selection.informative(selection.dense_sentences(texts, 0.5), whole.clusters_of_words(clusters), 3, hits).select("doc_id", "cluster", "sent_id", "score", "rank")
 
 
 SUMMARY = DENSITY + """, picked AS (SELECT * FROM (SELECT *, sum(len(words)) OVER (PARTITION BY doc_id) * 0.25 AS target, sum(len(words)) OVER (PARTITION BY doc_id ORDER BY density DESC, sent_id ROWS UNBOUNDED PRECEDING) AS running FROM dens) WHERE running <= target)"""
@@ -181,9 +179,11 @@ pairs AS (SELECT a.doc_id, a.term AS term_a, a.cluster AS cluster_a, a.cnt AS cn
 near AS (SELECT x.doc_id, x.term AS term_a, y.term AS term_b, count(DISTINCT x.pos) AS hits FROM (SELECT *, unnest(range(pos - 10, pos + 11)) AS q FROM pl) x JOIN pl y ON y.doc_id = x.doc_id AND y.pos = x.q AND y.pos <> x.pos GROUP BY ALL)
 SELECT doc_id, term_a, cluster_a, term_b, cluster_b, hits, greatest(cnt_a, cnt_b) >= 5 * median AS confounded FROM pairs JOIN near USING (doc_id, term_a, term_b) JOIN med USING (doc_id)""")
 def j17(spark, sf):
-    places, clusters, _, _ = places_of(spark, sf)
-    found = reading.collocation_pairs(places, reading.term_pool(places, clusters), 10)
-    return found.select("doc_id", "term_a", "cluster_a", "term_b", "cluster_b", "hits", "confounded")
+    return collocations_of(spark, sf).select("doc_id", "term_a", "cluster_a", "term_b", "cluster_b", "hits", "confounded")
+
+
+def collocations_of(spark, sf):
+    return whole.collocation_pairs(whole.dealt(docs_of(spark, sf)), 0.9, 150, 10)
 
 
 @query("O16_word_cloud_table", W.with_sql("tokens") + f"SELECT lower AS word, count(*) AS cnt FROM tokens WHERE regexp_matches(lower, '^[a-z]+$') AND lower NOT IN ({STOP}) GROUP BY lower ORDER BY cnt DESC, word LIMIT 100")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import words as W
 from lectern.operators import phrases, reading, reviews, selection, vocabulary
-from lectern.plans.analysis import CLUSTERS, DENSITY, PHRASES, POOL, parts, places_of, sentences_and_clusters
+from lectern.plans.analysis import CLUSTERS, DENSITY, PHRASES, POOL, collocations_of, parts, places_of, texts_and_clusters
 from lectern.plans.audits import CALLS_SQL, calls
 from lectern.plans.basics import OCCURRENCES, UPTO_TOP, docs_of, grams_sql
 from lectern.plans.registry import query
@@ -348,11 +348,10 @@ def l06(spark, sf):
 p AS (SELECT doc_id, cluster, sum((length(lower(text)) - length(replace(lower(text), gram, ''))) // length(gram)) AS n FROM phrases JOIN documents USING (doc_id) GROUP BY ALL)
 SELECT doc_id, cluster, CAST(coalesce(s.n, 0) AS BIGINT) AS stem_hits, CAST(coalesce(p.n, 0) AS BIGINT) AS phrase_hits FROM s FULL JOIN p USING (doc_id, cluster)""")
 def a15(spark, sf):
-    places, clusters, _, _ = places_of(spark, sf)
-    stems = places.join(clusters.select("doc_id", F.col("stem").alias("term"), "cluster"), ["doc_id", "term"]).groupBy("doc_id", "cluster").agg(F.count("*").alias("stem_hits"))
-    rows, _, named = sentences_and_clusters(spark, sf)
-    grams = selection.cluster_phrases(selection.sentence_grams(rows), named).select("doc_id", "cluster", "gram")
-    texts = docs_of(spark, sf).select("doc_id", F.lower("text").alias("text"))
+    texts, clusters = texts_and_clusters(spark, sf)
+    stems = clusters.filter("doc_id is not null").groupBy("doc_id", "cluster").agg(F.sum("hits").alias("stem_hits"))
+    grams = selection.cluster_phrases(selection.sentence_grams(texts), clusters).select("doc_id", "cluster", "gram")
+    texts = texts.select("doc_id", F.lower("text").alias("text"))
     n = F.floor((F.length("text") - F.length(F.replace(F.col("text"), F.col("gram"), F.lit("")))) / F.length("gram"))
     found = grams.join(texts, "doc_id").groupBy("doc_id", "cluster").agg(F.sum(n).alias("phrase_hits"))
     return stems.join(found, ["doc_id", "cluster"], "full").select("doc_id", "cluster", F.coalesce("stem_hits", F.lit(0)).cast("long").alias("stem_hits"), F.coalesce("phrase_hits", F.lit(0)).cast("long").alias("phrase_hits"))
@@ -418,8 +417,7 @@ pairs AS (SELECT a.doc_id, a.term AS term_a, b.term AS term_b FROM pool a JOIN p
 near AS (SELECT x.doc_id, x.term AS term_a, y.term AS term_b, count(DISTINCT x.pos) AS hits FROM (SELECT *, unnest(range(pos - 10, pos + 11)) AS q FROM pl) x JOIN pl y ON y.doc_id = x.doc_id AND y.pos = x.q AND y.pos <> x.pos GROUP BY ALL)
 SELECT doc_id, term_a, term_b, hits, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, term_a, term_b) AS rank FROM pairs JOIN near USING (doc_id, term_a, term_b)) WHERE rank <= 20""")
 def o05(spark, sf):
-    places, clusters, _, _ = places_of(spark, sf)
-    found = reading.collocation_pairs(places, reading.term_pool(places, clusters), 10)
+    found = collocations_of(spark, sf)
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("hits"), "term_a", "term_b")).cast("long")
     return found.withColumn("rank", rank).filter("rank <= 20").select("doc_id", "term_a", "term_b", "hits", "rank")
 
