@@ -8,8 +8,9 @@ every pivot. Therefore regions are made in two levels.
    of shingles, two linked texts share one among the first ``n - ceil(t n) + 1`` of either, so a text is put into the
    regions of those only. Texts are classed by their sets first: equal sets are one class. A first pass orders
    shingles by hash and counts the regions that come of it; shingles of large regions, and those that recur within
-   runs of texts, are last in the order of the second pass, the most frequent at the very end. So a common passage
-   makes no region as long as its texts hold enough of their own.
+   runs of texts, are last in the order of the second pass, the most frequent at the very end. Before them come those
+   of small regions, by a map of fixed size, as texts meet by chance in more shingles the more texts there are. So a
+   common passage, of two texts or of many, makes no region as long as its texts hold enough of their own.
 2. Document pivots. Each region's first pivot is its least class; all others are compared with it. Links join
    classes to components, and a region whose other classes are all in one component is done. Each region that is
    left is joined by itself: pivots make Voronoi regions, classes within the triangle inequality's window of a region
@@ -57,6 +58,8 @@ LARGE, LARGE_SHINGLES = 4, 1 << 20
 BATCH_BYTES, PART_BYTES = 8 << 20, 2 << 20
 #: Rows with texts that a Python worker gets at once.
 BATCH_ROWS = 2_000
+#: How much longer a prefix is in the first pass, whose map tells which shingles come late in the second.
+WIDER = 1.5
 #: Bits of the map of shingles that more than one text holds: so many for each document, and at most.
 MAP_BITS_A_DOCUMENT, MAP_BITS = 128, 1 << 28
 #: Classes whose ids may be broadcast to fetch their texts; beyond, that is a shuffled join.
@@ -123,14 +126,16 @@ def _often(sets: list[np.ndarray]) -> bytes | None:
     return np.stack([h[c >= 3], c[c >= 3].astype(np.uint64)]).tobytes() if (c >= 3).any() else None
 
 
-def _in_order(s: np.ndarray, last: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
-    """The first k of a set: by hash, but those of ``last`` (shingles, ranks) at the end by their ranks."""
+def _in_order(s: np.ndarray, last: tuple[np.ndarray, np.ndarray], k: int, shared: np.ndarray | None = None) -> np.ndarray:
+    """The first k of a set: by hash, but those that the map ``shared`` has after others, and those of ``last`` (shingles,
+    ranks) at the end by their ranks."""
     names, ranks = last
+    met = _in_map(s, shared) if shared is not None else np.zeros(len(s), bool)
     if not len(names):
-        return s[:k]
+        return np.concatenate([s[~met][:k], s[met]])[:k]
     at = np.minimum(np.searchsorted(names, s), len(names) - 1)
     late = names[at] == s
-    first = s[~late][:k]
+    first = np.concatenate([s[~late & ~met][:k], s[~late & met]])[:k]
     if len(first) == k:
         return first
     rest = np.flatnonzero(late)
@@ -141,13 +146,16 @@ def _in_order(s: np.ndarray, last: tuple[np.ndarray, np.ndarray], k: int) -> np.
 NO_LAST = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, last: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, last: tuple[np.ndarray, np.ndarray] | None = None, shared: np.ndarray | None = None) -> DataFrame:
     """doc_id, key (null without words), n, prefix and histogram of each document; repeats in a run have neither of the
-    latter. Without ``last`` also ``often``, once a run: shingles that recur in it."""
-    sent = docs.sparkSession.sparkContext.broadcast(last or NO_LAST)
+    latter. Without ``last`` also ``often``, once a run: shingles that recur in it, and prefixes are longer by ``WIDER``."""
+    sent = docs.sparkSession.sparkContext.broadcast((last or NO_LAST, shared))
     counting = last is None
 
+    wider = WIDER if counting else 1
+
     def make(batches):
+        order, met = sent.value
         for batch in batches:
             data, bounds = buffers(batch.column(1))
             for i, j in runs(bounds, BATCH_BYTES):
@@ -164,7 +172,7 @@ def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, last: tup
                             histograms.append(None)
                             continue
                         seen[key] = s if counting else s[:0]
-                        prefixes.append(signed(_in_order(s, sent.value, prefix_size(len(s), percent))))
+                        prefixes.append(signed(_in_order(s, order, min(len(s), int(prefix_size(len(s), percent) * wider)), met)))
                         histograms.append(histogram(s))
                     often = [None] * len(sets)
                     if b == j and counting:
@@ -220,7 +228,7 @@ def shared_shingles(made: DataFrame, bits: int) -> np.ndarray:
         for batch in batches:
             column = batch.column(0)
             h = np.concatenate([np.zeros(0, np.int64), column.flatten().to_numpy(zero_copy_only=False)]).astype(np.int64).view(np.uint64)
-            keys, counts = np.unique(h, return_counts=True)
+            keys, counts = np.unique(mix(h), return_counts=True)
             if len(keys):
                 shard = (keys >> np.uint64(64 - shards.bit_length() + 1)).astype(np.int64) if shards > 1 else np.zeros(len(keys), np.int64)
                 rows = [(s, pack_sorted(keys[at]), pack(np.packbits(counts[at] > 1))) for s, at in dealt(shard)]
@@ -250,9 +258,15 @@ def _bit_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
 
 
-def _prefix_rows(made: DataFrame, bits: int) -> DataFrame:
+def _in_map(h: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Which shingles the map has. They are mixed first: a prefix has the least hashes, which would share a part of it."""
+    bit = _bit_of(mix(h), 8 * len(shared))
+    return (shared[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _prefix_rows(made: DataFrame, shared: np.ndarray) -> DataFrame:
     """key, n, h and its place of the prefix shingles that the map has."""
-    sent = made.sparkSession.sparkContext.broadcast(shared_shingles(made, bits))
+    sent = made.sparkSession.sparkContext.broadcast(shared)
 
     def keep(batches):
         for batch in batches:
@@ -262,8 +276,7 @@ def _prefix_rows(made: DataFrame, bits: int) -> DataFrame:
             bounds = bounds - bounds[0]
             row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
             place = (np.arange(len(h)) - bounds[row]).astype(np.int32)
-            bit = _bit_of(h, bits)
-            good = (sent.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+            good = _in_map(h, sent.value)
             at = pa.array(row[good])
             yield pa.RecordBatch.from_arrays([keys.take(at), n.take(at).cast(pa.int32()), pa.array(signed(h[good])), pa.array(place[good])], ["key", "n", "h", "place"])
 
@@ -464,12 +477,13 @@ def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     made = stored(classes(docs, n, percent), "join-classes", BATCH_ROWS)
     bits = _map_bits(made.count())
-    rows = stored(_prefix_rows(made, bits), "join-prefixes")
-    last = large_shingles(rows, made)
-    if len(last[0]):
+    shared = shared_shingles(made, bits)
+    rows = stored(_prefix_rows(made, shared), "join-prefixes")
+    if shared.any():
+        last = large_shingles(rows, made)
         drop_folder(made, rows)
-        made = stored(classes(docs, n, percent, last), "join-classes", BATCH_ROWS)
-        rows = stored(_prefix_rows(made, bits), "join-prefixes")
+        made = stored(classes(docs, n, percent, last, shared), "join-classes", BATCH_ROWS)
+        rows = stored(_prefix_rows(made, shared_shingles(made, bits)), "join-prefixes")
     keys = stored(made.select("doc_id", "key", "n"), "join-keys")
     regions = rows.groupBy("h").agg(F.min(F.struct("key", "n", "place")).alias("p"), F.max("key").alias("top"), F.count("*").alias("size")).filter("p.key <> top")
     regions = stored(regions.select("h", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.place").alias("pivot_place"), "size"), "join-regions")

@@ -101,6 +101,25 @@ def test_common_shingles_come_last(spark, monkeypatch):
     check(spark.createDataFrame(near_copies(7), "doc_id long, text string").repartition(2))
 
 
+def test_passages_of_two_texts_make_no_region(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = [[f"w{i}x{j}" for j in range(200)] for i in range(40)]
+    for i, j in [(i, (i + k) % 40) for i in range(40) for k in (1, 7)]:
+        passage = [f"p{rng.random()}" for _ in range(8)]
+        texts[i], texts[j] = texts[i] + passage, passage + texts[j]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    stored, regions = jaccard_join.stored, []
+
+    def counted(df, name, *rest):
+        out = stored(df, name, *rest)
+        regions.extend([out.count()] if name == "join-regions" else [])
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    check(docs)
+    assert regions == [0]
+
+
 def test_edges(spark, edge_docs, empty_docs):
     check(edge_docs)
     assert jaccard_join.linked_components(empty_docs).count() == 0
