@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.pieces import END_ID, encoder, forget, text_runs
+from lectern.llm.pieces import END_ID, TEXTS, encoder, forget, text_runs
 from lectern.llm.storage import stored
 from lectern.llm.workers import tidy
 
@@ -92,8 +92,8 @@ def piece_rows(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
     def rows(batches):
         for batch in batches:
             docs, column = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(docs), 256):
-                texts = column.slice(i, 256).to_pylist()
+            for i in range(0, len(docs), TEXTS):
+                texts = column.slice(i, TEXTS).to_pylist()
                 for span in text_runs(texts):
                     out: list[list] = [[] for _ in range(6)]
                     for doc, raw in zip(docs[i:][span], encoder(vocabulary).encode(texts[span]), strict=True):

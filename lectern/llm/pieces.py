@@ -16,9 +16,12 @@ from collections.abc import Iterable, Iterator
 from operator import itemgetter
 
 import numpy as np
+import pyarrow as pa
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
+#: Texts that are encoded at once, if they are not long: the more, the fewer distinct pieces there are for each.
+TEXTS = 1024
 #: White space other than blank and newline, by any of Unicode's and Python's definitions, and the mark used here.
 _ODD = "\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(r"(?<=\S)(?=\s)")
@@ -38,9 +41,10 @@ def cut_pieces(text: str) -> list[str]:
 
 
 class PieceEncoder:
-    """Ids as little-endian unsigned 32-bit bytes. The memo holds at most ``limit`` pieces of one batch's end."""
+    """Ids as little-endian unsigned 32-bit bytes. The memo has two generations of ``limit / 2`` pieces at a batch's start: when
+    the younger is full it becomes the older, from which pieces that are met again come back."""
 
-    def __init__(self, path: str | None = None, limit: int = 400_000, keep: int = 8, special: bool = True):
+    def __init__(self, path: str | None = None, limit: int = 400_000, special: bool = True):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -54,10 +58,11 @@ class PieceEncoder:
         self.library.encode_special_tokens = not special
         names = sorted((t.content for t in self.library.get_added_tokens_decoder().values() if t.special), key=len, reverse=True) if special else []
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-        self.limit, self.keep, self.memo = limit, keep, {}
+        self.slow = (*_SLOW, *names)
+        self.limit, self.memo, self.old = limit, {}, {}
         newline = self.library.encode("\n", add_special_tokens=False).ids
         self.newline = newline[0] if len(newline) == 1 else None
-        self.pack = struct.Struct("<I").pack
+        self.packed = [struct.pack("<I", i) for i in range(max(self.library.get_vocab().values()) + 1)]
         self.marks = {p: np.array(self.library.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes() for p in ".,"}
 
     def _learn(self, new: set[str]) -> None:
@@ -68,11 +73,11 @@ class PieceEncoder:
             new.difference_update(marked)
             new.update({p[:-1] for p in marked}.difference(memo))
         # Letters, with a blank before them or not, are one word to the library: its model takes them as they are.
-        tokenize, pack = self.library.model.tokenize, self.pack
+        tokenize, packed = self.library.model.tokenize, self.packed
         words = [p for p in new if (p[1:] if p[:1] == " " else p).isalpha()] if self.marks else []
         for p in words:
             spelled = p if p.isascii() else p.encode().decode("latin-1").translate(_LETTERS)
-            memo[p] = b"".join([pack(t.id) for t in tokenize("\u0120" + spelled[1:] if p[0] == " " else spelled)])
+            memo[p] = b"".join([packed[t.id] for t in tokenize("\u0120" + spelled[1:] if p[0] == " " else spelled)])
         new.difference_update(words)
         # Pieces without a newline are encoded in one call, parted by newlines, whose id no other token holds.
         plain = [p for p in new if p and p.find("\n") < 0 and p.find(" ", 1) < 0 and p != " " and not _HAS_ODD(p)]
@@ -100,22 +105,58 @@ class PieceEncoder:
             return cut_pieces(text)
         return [p for k, part in enumerate(parts) if part for p in ([part] if k % 2 else cut_pieces(part))]
 
-    def pieces(self, texts: Iterable[str]) -> list[list[str]]:
-        """Pieces of each text; all of them are in the memo until the next call."""
-        if len(self.memo) > self.limit:
-            self.memo = {k: v for k, v in self.memo.items() if len(k) <= self.keep}
-            if len(self.memo) > self.limit:
-                self.memo = {}
-        cut = [self.cut(t) for t in texts]
-        new = set().union(*cut).difference(self.memo)
+    def _know(self, pieces: set[str]) -> None:
+        """All of the pieces are in the memo until the next call."""
+        if len(self.memo) > self.limit // 2:
+            self.memo, self.old = {}, self.memo
+        new = pieces.difference(self.memo)
+        again = new.intersection(self.old)
+        self.memo.update((p, self.old[p]) for p in again)
+        new.difference_update(again)
         if new:
             self._learn(new)
-        return cut
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        cut = self.pieces(texts)
-        memo = self.memo
-        return [b"".join(itemgetter(*p)(memo)) if len(p) > 1 else memo[p[0]] for p in cut]
+        texts = list(texts)
+        out = [b""] * len(texts)
+        slow = [k for k, t in enumerate(texts) if any(p in t for p in self.slow)]
+        if slow:
+            cut = [self.cut(texts[k]) for k in slow]
+            self._know(set().union(*cut))
+            memo = self.memo
+            for k, p in zip(slow, cut, strict=True):
+                out[k] = b"".join(itemgetter(*p)(memo)) if len(p) > 1 else memo[p[0]]
+        rest = sorted(set(range(len(texts))).difference(slow)) if slow else range(len(texts))
+        for k, raw in zip(rest, self._encode_plain([texts[k] for k in rest]), strict=True):
+            out[k] = raw
+        return out
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Texts whose white space is single blanks and newlines, cut as by ``cut_pieces``, and before a full stop or comma at a
+        piece's end that an ASCII letter precedes. Pieces are numbered by Arrow, and only distinct ones become strings."""
+        raw = [t.encode() for t in texts]
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in raw], dtype=np.int64))).astype(np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        if not len(data):
+            return raw
+        newline = data == 10
+        first = (data == 32) | newline
+        first[1:] |= newline[:-1]
+        first[bounds[:-1][bounds[:-1] < len(data)]] = True
+        if self.marks:
+            letter = (data | 32) - 97 < 26
+            mark = (data == 46) | (data == 44)
+            mark[1:] &= letter[:-1]
+            mark[:-1] &= first[1:]
+            first |= mark
+        offsets = np.append(np.flatnonzero(first), len(data))
+        coded = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._know(set(names))
+        ids = pa.array(itemgetter(*names, names[0])(self.memo)[:-1], pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[np.searchsorted(offsets, bounds)].tolist()
+        joined = memoryview(ids.buffers()[2])
+        return [bytes(joined[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
 
 _encoders: dict[tuple[str | None, bool], PieceEncoder] = {}
@@ -131,7 +172,7 @@ def encoder(path: str | None = None, special: bool = True) -> PieceEncoder:
 def forget() -> None:
     """Empty the memos of this process, for the end of a task."""
     for x in _encoders.values():
-        x.memo = {}
+        x.memo, x.old = {}, {}
 
 
 def text_runs(texts: list, most: int = 1 << 21) -> Iterator[slice]:

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lectern.llm import attribution, bitplanes, packing
-from lectern.llm.pieces import encoder
+from lectern.llm.pieces import PieceEncoder, encoder
 from lectern.llm.queries import op5_best_fit_packing, op7_bit_plane_output
 from lectern.llm.storage import shared_folder, stored
 from lectern.session import table
@@ -36,6 +36,35 @@ def test_pieces_equal_whole_texts(text):
     assert np.frombuffer(encoder().encode([text])[0], "<u4").tolist() == ids_of(text)
 
 
+def learned(monkeypatch):
+    """Pieces that encoders give to the library from now on, in order."""
+    learn, found = PieceEncoder._learn, []
+
+    def count(self, new):
+        found.extend(new)
+        learn(self, new)
+
+    monkeypatch.setattr(PieceEncoder, "_learn", count)
+    return found
+
+
+def test_a_full_memo_keeps_what_is_met_again(monkeypatch):
+    found, coder = learned(monkeypatch), PieceEncoder(limit=100)
+    common = " uncommonly internationalised"
+    for k in range(30):
+        text = "".join(f" longish{k}x{j}" for j in range(40)) + common
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == ids_of(text)
+    assert found.count(" internationalised") == 1
+    assert len(coder.memo) + len(coder.old) <= 200
+
+
+def test_marks_after_words_are_pieces(monkeypatch):
+    found, coder = learned(monkeypatch), PieceEncoder()
+    texts = ["one word, a word. Word", "", "word,\nword. a.b, 1. é. x", ".", "end of,", ",", "a", ". word"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [ids_of(t) for t in texts]
+    assert {" word,", " word.", "word,"}.isdisjoint(found)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "a", "word", ".", "\0"]), max_size=12))
 def test_special_tokens_in_texts(parts):
