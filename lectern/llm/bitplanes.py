@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.pieces import END_ID, encoder, forget, text_runs
+from lectern.llm.pieces import END_ID, TEXTS, encoder, forget, text_runs
 from lectern.llm.workers import tidy
 
 MAGIC = b"LPLANES1"
@@ -179,8 +179,8 @@ def write_ids(docs: DataFrame, folder: str, bits: bool = False, vocabulary: str
         total = 0
         for batch in batches:
             ids, column = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(ids), 256):
-                texts = column.slice(i, 256).to_pylist()
+            for i in range(0, len(ids), TEXTS):
+                texts = column.slice(i, TEXTS).to_pylist()
                 for span in text_runs(texts):
                     for doc, raw in zip(ids[i:][span], encoder(vocabulary).encode(texts[span]), strict=True):
                         if out is None:
