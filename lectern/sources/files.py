@@ -48,7 +48,7 @@ def read_texts(spark: SparkSession, path: str, pdf_pages: Callable[[Column], Col
 
 def read_condensed(spark: SparkSession, path: str) -> DataFrame:
     """corpus, rate, text of all condensed texts below a folder, whole files."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"))
     names = raw.select("value", F.regexp_extract("path", r"([^/]+)-condensed-(\d+)pct\.txt$", 1).alias("corpus"), F.regexp_extract("path", r"-condensed-(\d+)pct\.txt$", 1).alias("rate"))
     return names.filter("rate <> ''").select("corpus", F.col("rate").cast("int").alias("rate"), F.col("value").alias("text"))
 
