@@ -11,6 +11,8 @@ every pivot. Therefore regions are made in two levels.
    runs of texts, are last in the order of the second pass, the most frequent at the very end. Before them come those
    of small regions, by a map of fixed size, as texts meet by chance in more shingles the more texts there are. So a
    common passage, of two texts or of many, makes no region as long as its texts hold enough of their own.
+   Near texts share many shingles, whose regions hold the same classes: of those only the first in the order is kept,
+   as each pair's least common shingle of them is there.
 2. Document pivots. Each region's first pivot is its least class; all others are compared with it. Links join
    classes to components, and a region whose other classes are all in one component is done. Each region that is
    left is joined by itself: pivots make Voronoi regions, classes within the triangle inequality's window of a region
@@ -20,14 +22,15 @@ every pivot. Therefore regions are made in two levels.
 
 Two bounds hold before any distance is taken. Linked sets differ in size by the similarity at most, and the places i
 and j of their least common shingle add up to no more than their symmetric difference, ``n + m - 2 T``, as all that
-is before them is not common. Distances to document pivots are taken in a contraction of the space: a set's histogram
+is before them is not common; a class that is too late for the earliest of its region leaves it. Distances to document pivots are taken in a contraction of the space: a set's histogram
 over 256 hash buckets, of one byte each. The L1 distance of two histograms is a metric and never more than the sets'
 symmetric difference, which is at most ``(1 - t) / (1 + t) (n + m)`` for linked sets of sizes n and m. It parts
 unrelated texts well, where 1 - Jaccard is 1 for all, and needs no text. Pairs that pass are compared exactly by their
 texts; pairs within a component are skipped, as components need only enough links to connect them. So that a region
 of many near copies is not compared all with all, level 2 has rounds: in the first, each class is paired with the few
 nearest ones of other components, then components are joined, and so on with more of them, until in the last round
-all that are still of different components are paired. No link between components is lost.
+all that are still of different components are paired. A region of which no pair was left out is done and has no
+further round. No link between components is lost.
 
 Sets are compared as 64-bit hashes of shingles, and classes are known by a 64-bit hash of the set.
 
@@ -407,7 +410,8 @@ class Region:
             self.test(core, everyone)
 
 
-CANDIDATES = "a long, b long, more boolean"
+#: Pairs of classes; without b, a is a region of which pairs were left out.
+CANDIDATES = "a long, b long"
 
 
 def _join_regions(percent: int, most: int | None):
@@ -420,7 +424,7 @@ def _join_regions(percent: int, most: int | None):
         # Repeats of a class in a region come from runs of different partitions.
         order = order[np.concatenate(([True], (np.diff(h[order]) != 0) | (np.diff(key[order]) != 0)))]
         ends = np.flatnonzero(np.concatenate((np.diff(h[order]) != 0, [True]))) + 1
-        found, start, more = [np.zeros((0, 2), np.int64)], 0, False
+        found, start, more = [np.zeros((0, 2), np.int64)], 0, []
         for end in ends.tolist():
             at = order[start:end]
             start = end
@@ -428,10 +432,10 @@ def _join_regions(percent: int, most: int | None):
             names, number = np.unique(comp[at], return_counts=True)
             largest = comp[at] == names[number.argmax()]  # no pair lies within it
             region.join(np.flatnonzero(~largest), np.flatnonzero(largest))
-            more |= region.more
+            more += [h[at[0]]] if region.more else []
             found += [key[at[p[:, :2]]] for p in region.pairs]
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "more": pa.array([more] * len(pairs), pa.bool_())})
+        return pa.table({"a": np.concatenate([pairs[:, 0], np.array(more, np.int64)]), "b": pa.array([*pairs[:, 1].tolist(), *[None] * len(more)], pa.int64())})
 
     return run
 
@@ -472,6 +476,20 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
     return first.select(*names).unionByName(second.select(*names))
 
 
+def _regions(rows: DataFrame) -> DataFrame:
+    """h, pivot, its n and place, and size of the regions of several classes; of those that hold the same classes the first.
+
+    The order of shingles is the same in all texts, so any pair of a region's classes meets earlier in the first one, and
+    the bound by places is the wider there. Classes are told apart by the sums of the halves of a hash, besides the least
+    and the greatest; one that occurs twice does so in all of its regions.
+    """
+    mark = F.xxhash64("key")
+    halves = [F.sum(F.shiftrightunsigned(mark, 32)).alias("high"), F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low")]
+    found = rows.groupBy("h").agg(F.min(F.struct("key", "n", "place")).alias("p"), F.max("key").alias("top"), F.count("*").alias("size"), *halves).filter("p.key <> top")
+    found = found.groupBy(F.col("p.key").alias("pivot"), "top", "size", "high", "low").agg(F.min(F.struct("p.place", "h", "p.n")).alias("first"))
+    return found.select("first.h", "pivot", F.col("first.n").alias("pivot_n"), F.col("first.place").alias("pivot_place"), "size")
+
+
 def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Classes (doc_id, key, n) and links between them (a, b) that connect just what all links connect."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -485,8 +503,7 @@ def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
         made = stored(classes(docs, n, percent, last, shared), "join-classes", BATCH_ROWS)
         rows = stored(_prefix_rows(made, shared_shingles(made, bits)), "join-prefixes")
     keys = stored(made.select("doc_id", "key", "n"), "join-keys")
-    regions = rows.groupBy("h").agg(F.min(F.struct("key", "n", "place")).alias("p"), F.max("key").alias("top"), F.count("*").alias("size")).filter("p.key <> top")
-    regions = stored(regions.select("h", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.place").alias("pivot_place"), "size"), "join-regions")
+    regions = stored(_regions(rows), "join-regions")
 
     # The first pivot of each region against all others there.
     apart = F.col("key") != F.col("pivot")
@@ -522,9 +539,11 @@ def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
     few = made.filter("histogram is not null").select("key", "histogram")
 
     names = ["h", "key", "n", "place", "comp", "histogram"]
+    # Of classes that may be linked this adds up to 0 at most.
+    late = F.lit(100 + percent) * F.col("place").cast("long") - F.lit(100 - percent) * F.col("n").cast("long")
     for most in ROUNDS:
-        open_regions = inside.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).filter("c1 <> c2").select("h", "size")
-        left = stored(inside.join(open_regions, "h"), "join-open")
+        open_regions = inside.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size"), F.min(late).alias("least")).filter("c1 <> c2").select("h", "size", "least")
+        left = stored(inside.join(open_regions, "h").filter(late + F.col("least") <= 0).drop("least"), "join-open")
         seen = few.join(left.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
         members = stored(left.join(seen, "key"), "join-members")
         small = members.filter(F.col("size") <= block)
@@ -534,18 +553,20 @@ def similarity_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
         large = members.filter(F.col("size") > block)
         if not large.isEmpty():
             found = found.unionByName(_blocks(large.dropDuplicates(["h", "key"]).select(*names), block).groupBy("h", "b1", "b2").applyInArrow(tidy_group(_join_regions(percent, most)), CANDIDATES))
-        found = stored(found.groupBy("a", "b").agg(F.bool_or("more").alias("more")), "join-candidates")
+        found = stored(found.distinct(), "join-candidates")
         drop_folder(members, inside)
         inside = left
-        more = not found.filter("more").isEmpty()
-        if not found.isEmpty():
-            links = links.unionByName(verified(found))
-        drop_folder(found)
-        if not more:
+        pairs, more = found.filter("b is not null"), found.filter("b is null").select(F.col("a").alias("h"))
+        if not pairs.isEmpty():
+            links = links.unionByName(verified(pairs))
+        if more.isEmpty():
+            drop_folder(found)
             break
         component = connected(links).select(F.col("node").alias("key"), F.col("label").alias("now"))
-        inside = stored(left.select("h", "key", "n", "place", "comp").join(component, "key", "left").select("h", "key", "n", "place", F.coalesce("now", "comp").alias("comp")), "join-inside")
-        drop_folder(left)
+        left = left.select("h", "key", "n", "place", "comp").join(more, "h", "left_semi")
+        left = stored(left.join(component, "key", "left").select("h", "key", "n", "place", F.coalesce("now", "comp").alias("comp")), "join-inside")
+        drop_folder(found, inside)
+        inside = left
     drop_folder(made, inside)
     return keys, links
 

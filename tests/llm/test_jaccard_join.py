@@ -120,6 +120,49 @@ def test_passages_of_two_texts_make_no_region(spark, monkeypatch):
     assert regions == [0]
 
 
+def near_groups(sizes, common=200, own=24):
+    """Groups of texts with a long passage in common that are near, but not linked."""
+    texts = [[f"c{g}x{j}" for j in range(common)] + [f"o{g}x{i}x{j}" for j in range(own)] for g, size in enumerate(sizes) for i in range(size)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def counts(monkeypatch, step, of=lambda df: df.count()):
+    stored, found = jaccard_join.stored, []
+
+    def counted(df, name, *rest):
+        out = stored(df, name, *rest)
+        found.extend([of(out)] if name == step else [])
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    return found
+
+
+def test_regions_of_the_same_classes_are_one(spark, monkeypatch):
+    docs = spark.createDataFrame(near_groups([3] * 6), "doc_id long, text string").repartition(3)
+    found = counts(monkeypatch, "join-regions")
+    assert len({c for _, _, c in check(docs)}) == 18
+    # A group's texts have nested parts of one order, so that their regions hold all three or one pair.
+    assert 6 <= found[0] <= 12
+
+
+def test_finished_regions_have_no_further_round(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LARGE", 1000)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", (1, 2, None))
+    docs = spark.createDataFrame(near_groups([3] * 6 + [9], own=18), "doc_id long, text string").repartition(3)
+    found = counts(monkeypatch, "join-open", lambda df: df.select("key").distinct().count())
+    check(docs)
+    assert len(found) > 1 and found[1] <= 9 < found[0]
+
+
+def test_classes_late_in_their_region_leave_it(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "WIDER", 10)
+    docs = spark.createDataFrame(near_groups([3] * 6, own=20), "doc_id long, text string").repartition(3)
+    found = counts(monkeypatch, "join-open")
+    check(docs)
+    assert found == [0]
+
+
 def test_edges(spark, edge_docs, empty_docs):
     check(edge_docs)
     assert jaccard_join.linked_components(empty_docs).count() == 0
